@@ -235,7 +235,7 @@ def _append_new_keys(spark: SparkSession, folder: str) -> DataFrame:
 def _physical_layout(spark: SparkSession, folder: str) -> DataFrame:
     target = scratch_path(spark, "bucketed")
     prefix = "tallybook_" + target.rsplit("-", 1)[-1] + "_"
-    return _plain(views.order_totals(store.write_bucketed(star_tables(spark, folder), prefix, target, 8)))
+    return _plain(views.order_totals(store.write_layout(star_tables(spark, folder), prefix, target, 8)))
 
 
 def _register_views(spark: SparkSession, folder: str) -> DataFrame:

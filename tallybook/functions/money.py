@@ -16,15 +16,20 @@ MONEY = "decimal(20,2)"
 
 
 def line_cents(quantity: str = "quantity", unit_price: str = "unit_price") -> Column:
-    """quantity * unit_price of one line, in cents."""
-    return F.col(quantity).cast("bigint") * (F.col(unit_price) * 100).cast("bigint")
+    """quantity * unit_price of one line, in cents.
+
+    A DECIMAL(10,2) has ten digits and a double holds fifteen, so the nearest whole
+    cent is the exact one; multiplying decimals costs several times as much.
+    """
+    cents = F.rint(F.col(unit_price).cast("double") * 100).cast("bigint")
+    return F.col(quantity).cast("bigint") * cents
 
 
 def cents_to_money(cents: Column) -> Column:
     return (cents.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast(MONEY)
 
 
-def money_sum(amount: str) -> Column:
+def money_sum(amount: str | Column) -> Column:
     """Sum of a MONEY column, as MONEY."""
     return F.sum(amount).cast(MONEY)
 

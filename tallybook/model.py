@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -86,14 +86,20 @@ HOME_COUNTRY = "United Kingdom"
 
 @dataclass(frozen=True)
 class RetailTables:
-    """The five tables every analysis reads."""
+    """The five tables every analysis reads.
+
+    The last two fields may hold order totals and sales per product that were
+    computed and written before; the analyses then read those instead of the lines.
+    """
 
     countries: DataFrame
     customers: DataFrame
     products: DataFrame
     invoices: DataFrame
     invoice_items: DataFrame
+    totals: DataFrame | None = None
+    product_sales: DataFrame | None = None
 
     def items(self) -> list[tuple[str, DataFrame]]:
-        """(name, frame) pairs in foreign-key order."""
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
+        """(name, frame) pairs of the five tables, in foreign-key order."""
+        return [(name, getattr(self, name)) for name in TABLE_SCHEMAS]

@@ -114,30 +114,43 @@ def score_ntiles(
     return scored.groupBy(key).agg(*picked)
 
 
-def exact_percentile(df: DataFrame, column: str, q: float, out: str) -> DataFrame:
-    """Interpolated percentile of a decimal column, as a one-row frame.
+def sorted_counts(df: DataFrame, column: str) -> DataFrame:
+    """Distinct values of a column with their number of rows, sorted and written.
+
+    Equal values are counted together before the sort, so a value that a large
+    part of all rows share is one row in it.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return _sorted_slices(counts, [F.col(column)], "sorted-counts")
+
+
+def percentile_of_counts(counts: DataFrame, column: str, q: float, out: str) -> DataFrame:
+    """Interpolated percentile from sorted_counts, as a one-row frame.
 
-    Equal values are counted together first. The distinct values are range-sorted
-    with their counts, and only the one or two slices that hold the wanted ranks
-    are walked through. Built-in ``percentile`` would gather every distinct value
-    in one task.
+    Only the one or two slices that hold the wanted ranks are walked through.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    slices = _sorted_slices(counts, [F.col(column)], "percentile")
     position = (F.col("_total") - 1).cast("decimal(20,0)") * F.lit(Decimal(str(q)))
     starts = (
-        _slice_starts(slices, F.sum("_n"))
+        _slice_starts(counts, F.sum("n"))
         .withColumn("_low", F.floor(position).cast("bigint"))
         .withColumn("_high", F.ceil(position).cast("bigint"))
         .withColumn("_part", position - F.floor(position))
         .filter((F.col("_low") < F.col("_start") + F.col("_size")) & (F.col("_high") >= F.col("_start")))
     )
     running = Window.partitionBy("_slice").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    walked = slices.join(F.broadcast(starts), "_slice").withColumn("_end", F.col("_start") + F.sum("_n").over(running))
+    walked = counts.join(F.broadcast(starts), "_slice").withColumn("_end", F.col("_start") + F.sum("n").over(running))
 
     def at(rank: str) -> Column:
-        inside = (F.col(rank) < F.col("_end")) & (F.col(rank) >= F.col("_end") - F.col("_n"))
+        inside = (F.col(rank) < F.col("_end")) & (F.col(rank) >= F.col("_end") - F.col("n"))
         return F.max(F.when(inside, F.col(column)))
 
     low, high, part = at("_low"), at("_high"), F.max("_part")
     return walked.agg((low + (high - low) * part.cast("decimal(12,10)")).alias(out))
+
+
+def exact_percentile(df: DataFrame, column: str, q: float, out: str) -> DataFrame:
+    """Interpolated percentile of a decimal column, as a one-row frame.
+
+    Built-in ``percentile`` would gather every distinct value in one task.
+    """
+    return percentile_of_counts(sorted_counts(df, column), column, q, out)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.model import COPIES, RetailTables
 from tallybook.operators.scratch import materialize
-from tallybook.plans.clean import clean_sales, quarantined
+from tallybook.plans.clean import clean_sales, quarantine_reason
 from tallybook.plans.normalize import normalize
 from tallybook.sources.tables import write_tables
 
@@ -21,11 +21,23 @@ class Load:
     counts: DataFrame
 
 
-def _step(df: DataFrame, order: int, name: str, rows=None) -> DataFrame:
-    total = F.count(F.lit(1)) if rows is None else F.coalesce(rows, F.lit(0))
-    return df.agg(total.cast("bigint").alias("rows")).select(
-        F.lit(order).alias("step_no"), F.lit(name).alias("step"), "rows"
-    )
+def _raw_counts(raw: DataFrame, null_keys: str) -> Column:
+    """(read, set aside) in one pass over the sheet."""
+    aside = F.count_if(quarantine_reason(raw, null_keys).isNotNull())
+    return raw.agg(F.struct(F.count(F.lit(1)).alias("read"), aside.alias("aside"))).scalar()
+
+
+def _clean_counts(clean: DataFrame) -> DataFrame:
+    """One row (copies, kept): lines before and after duplicate removal."""
+    return clean.agg(F.coalesce(F.sum(COPIES), F.lit(0)).alias("copies"), F.count(F.lit(1)).alias("kept"))
+
+
+def _as_steps(counts: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
+    entries = [
+        F.struct(F.lit(i + 1).alias("step_no"), F.lit(step).alias("step"), rows.alias("rows"))
+        for i, (step, rows) in enumerate(steps)
+    ]
+    return counts.select(F.inline(F.array(*entries)))
 
 
 def load_counts(raw: DataFrame, clean: DataFrame, tables: RetailTables, null_keys: str = "quarantine") -> DataFrame:
@@ -36,37 +48,31 @@ def load_counts(raw: DataFrame, clean: DataFrame, tables: RetailTables, null_key
     before duplicate removal are the copies of the cleaned lines; tables are
     counted from the footers of their files.
     """
-    copies, kept = F.sum(COPIES), F.count(F.lit(1))
+    source, copies, kept = F.col("source"), F.col("copies"), F.col("kept")
+    counts = _clean_counts(clean).withColumn("source", _raw_counts(raw, null_keys))
     steps = [
-        _step(raw, 1, "raw"),
-        _step(quarantined(raw, null_keys), 2, "quarantined"),
-        _step(clean, 3, "before duplicate removal", copies),
-        _step(clean, 4, "duplicates removed", copies - kept),
-        _step(clean, 5, "clean"),
+        ("raw", source["read"]),
+        ("quarantined", source["aside"]),
+        ("before duplicate removal", copies),
+        ("duplicates removed", copies - kept),
+        ("clean", kept),
+        *((name, df.agg(F.count(F.lit(1))).scalar()) for name, df in tables.items()),
     ]
-    steps += [_step(df, 6 + i, name) for i, (name, df) in enumerate(tables.items())]
-    counts = steps[0]
-    for step in steps[1:]:
-        counts = counts.union(step)
-    return counts
+    return _as_steps(counts, steps)
 
 
 def cleaning_report(raw: DataFrame, clean: DataFrame, null_keys: str = "quarantine") -> DataFrame:
     """How the raw rows become the loaded ones: (step_no, step, rows), in order."""
-    read = raw.agg(F.count(F.lit(1)).alias("_raw")).scalar()
-    aside = quarantined(raw, null_keys).agg(F.count(F.lit(1))).scalar()
-    totals = clean.agg(F.coalesce(F.sum(COPIES), F.lit(0)).alias("_copies"), F.count(F.lit(1)).alias("_clean"))
-    totals = totals.select(read.alias("_raw"), aside.alias("_aside"), "_copies", "_clean")
-    copies, kept = F.col("_copies"), F.col("_clean")
+    source, copies, kept = F.col("source"), F.col("copies"), F.col("kept")
+    counts = _clean_counts(clean).withColumn("source", _raw_counts(raw, null_keys))
     steps = [
-        ("rows in the source", F.col("_raw")),
-        ("set aside", F.col("_aside")),
-        ("no description, or a price of zero or less", F.col("_raw") - F.col("_aside") - copies),
+        ("rows in the source", source["read"]),
+        ("set aside", source["aside"]),
+        ("no description, or a price of zero or less", source["read"] - source["aside"] - copies),
         ("exact duplicates", copies - kept),
         ("loaded", kept),
     ]
-    entries = [F.struct(F.lit(i + 1).alias("step_no"), F.lit(s).alias("step"), n.alias("rows")) for i, (s, n) in enumerate(steps)]
-    return totals.select(F.inline(F.array(*entries)))
+    return _as_steps(counts, steps)
 
 
 def load_sales(raw: DataFrame, folder: str, contiguous_ids: bool = False, null_keys: str = "quarantine") -> Load:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.aggregates import revenue, rows
 from tallybook.functions.dates import month_start
-from tallybook.functions.money import percent, ratio
+from tallybook.functions.money import MONEY, money_sum, percent, ratio
 from tallybook.model import RetailTables
-from tallybook.operators.ranking import exact_percentile
+from tallybook.operators.ranking import percentile_of_counts, sorted_counts
 from tallybook.plans.trends import hourly_revenue
 from tallybook.plans.views import order_totals, sales_invoices
 
@@ -17,18 +17,22 @@ from tallybook.plans.views import order_totals, sales_invoices
 def order_value_stats(tables: RetailTables, exact: bool = True) -> DataFrame:
     """Average and median order value.
 
-    ``exact=False`` takes Spark's approximate percentile, which does not
+    Both come from the written counts of distinct order values, so the lines are
+    read once. ``exact=False`` takes Spark's approximate percentile, which does not
     interpolate, and saves the sort.
     """
-    orders = order_totals(tables)
-    totals = orders.agg(revenue(), rows("orders"))
-    average = ratio(F.col("revenue"), F.col("orders"), 2).alias("avg_order_value")
+    orders = order_totals(tables).select("order_total")
     if exact:
-        middle = exact_percentile(orders, "order_total", 0.5, "_median")
+        counts = sorted_counts(orders, "order_total")
+        totals = counts.agg(money_sum(F.col("order_total") * F.col("n")).alias("revenue"), F.sum("n").alias("orders"))
+        middle = percentile_of_counts(counts, "order_total", 0.5, "median")
+        totals = totals.withColumn("median", middle.scalar())
     else:
-        middle = orders.agg(F.percentile_approx("order_total", 0.5).alias("_median"))
-    median = F.round(middle.scalar(), 2).cast("decimal(20,2)").alias("median_order_value")
-    return totals.select(average, median)
+        totals = orders.agg(revenue(), rows("orders"), F.percentile_approx("order_total", 0.5).alias("median"))
+    return totals.select(
+        ratio(F.col("revenue"), F.col("orders"), 2).alias("avg_order_value"),
+        F.round("median", 2).cast(MONEY).alias("median_order_value"),
+    )
 
 
 def monthly_cancellations(tables: RetailTables) -> DataFrame:

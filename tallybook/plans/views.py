@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tallybook.functions.aggregates import revenue, rows
 from tallybook.functions.dates import month_start
 from tallybook.functions.money import cents_to_money, line_cents, money_sum
 from tallybook.model import RetailTables
+from tallybook.operators.scratch import materialize
 
 
 def sales_invoices(tables: RetailTables) -> DataFrame:
@@ -31,6 +34,8 @@ def order_totals(tables: RetailTables) -> DataFrame:
     Lines are summed per invoice before the join: a huge invoice shrinks to one
     row on the map side, and the join moves one row per invoice, not per line.
     """
+    if tables.totals is not None:
+        return tables.totals
     per_invoice = tables.invoice_items.groupBy("invoice_no").agg(
         F.sum(line_cents()).alias("_cents"), F.sum("quantity").alias("units")
     )
@@ -76,6 +81,8 @@ def country_revenue(tables: RetailTables) -> DataFrame:
 
 
 def sales_per_product(tables: RetailTables) -> DataFrame:
+    if tables.product_sales is not None:
+        return tables.product_sales
     return (
         lines_of(sales_invoices(tables), tables)
         .groupBy("stock_code")
@@ -111,6 +118,15 @@ def customer_rfm(tables: RetailTables) -> DataFrame:
     )
 
 
+def with_shared_views(tables: RetailTables) -> RetailTables:
+    """Compute the two views that go over all lines once, for several reports to share."""
+    return replace(
+        tables,
+        totals=materialize(order_totals(tables), "order-totals"),
+        product_sales=materialize(sales_per_product(tables), "product-sales"),
+    )
+
+
 VIEWS = {
     "v_order_totals": order_totals,
     "v_monthly_revenue": monthly_revenue,

@@ -57,15 +57,15 @@ def with_source_order(scan: DataFrame, out: str = SOURCE_ORDER, fmt: str = "parq
     located = scan.withColumn("_position", _position_in_file(fmt))
     if len(files) <= 1:
         return located.withColumnRenamed("_position", out)
+    # One short row per file, and the number of files was checked above.
     paths = scan.sparkSession.createDataFrame(
         list(zip(files, range(len(files)), strict=True)), "_file string, _ordinal bigint"
     )
     known = F.col("_ordinal").isNotNull()
     ordinal = F.when(known, F.col("_ordinal")).otherwise(F.raise_error(F.concat(F.lit("unlisted file "), F.col("_file"))))
-    # No broadcast hint: Spark broadcasts the file list while it is below its threshold.
     return (
         located.withColumn("_file", F.input_file_name())
-        .join(paths, "_file", "left")
+        .join(F.broadcast(paths), "_file", "left")
         .withColumn(out, F.shiftleft(ordinal.cast("bigint"), _POSITION_BITS) + F.col("_position"))
         .drop("_file", "_ordinal", "_position")
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,27 +70,39 @@ def append_new_keys(incoming: RetailTables, folder: str) -> RetailTables:
     return read_tables(spark, folder)
 
 
-def write_bucketed(
-    tables: RetailTables,
-    prefix: str,
-    folder: str,
-    buckets: int,
-    bucketed: Sequence[str] = ("invoices", "invoice_items"),
-) -> RetailTables:
-    """Write catalog tables with invoices and items bucketed by invoice number.
+def largest_bucket_share(df: DataFrame, key: str, buckets: int) -> float:
+    """Rows of the fullest bucket, as a multiple of an even share."""
+    bucket = F.pmod(F.hash(key), F.lit(buckets))
+    rows = df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
+    fullest, total = rows.agg(F.max("rows"), F.sum("rows")).first()
+    return fullest * buckets / total if total else 0.0
+
 
-    Every analysis joins those two on the invoice number; with equal buckets that
-    join, and the sum per invoice before it, need no shuffle. Choose ``buckets`` so
-    that one bucket of items fits a task. Do not bucket when a single invoice
-    outgrows that: a bucket is not split at run time as a shuffled partition is.
+def write_layout(
+    tables: RetailTables, prefix: str, folder: str, buckets: int, max_bucket_share: float = 4.0
+) -> RetailTables:
+    """Write catalog tables laid out for the joins and filters of the analyses.
+
+    Invoices and items are bucketed by invoice number: their join, and the sum per
+    invoice before it, then need no shuffle. A bucket is read by one task and is
+    not split at run time, so when one invoice makes a bucket of items several
+    times as large as the others, both tables are range-sorted instead: items by
+    invoice and line, which cuts through a huge invoice, and invoices by date, so
+    that a date filter skips files.
     """
     spark = tables.invoices.sparkSession
+    even = largest_bucket_share(tables.invoice_items, "invoice_no", buckets) <= max_bucket_share
+    ranges = {"invoices": ["invoice_date", "invoice_no"], "invoice_items": ["invoice_no", "item_id"]}
     for name, df in tables.items():
         shaped = _shaped(name, df)
-        if name in bucketed:
+        if name not in ranges:
+            writer = shaped.write
+        elif even:
             # One task per bucket, so a bucket is one sorted file and not one per task.
-            writer = shaped.repartition(buckets, "invoice_no").write.bucketBy(buckets, "invoice_no").sortBy("invoice_no")
+            placed = shaped.repartition(buckets, "invoice_no")
+            writer = placed.write.bucketBy(buckets, "invoice_no").sortBy("invoice_no")
         else:
-            writer = shaped.write
+            order = ranges[name]
+            writer = shaped.repartitionByRange(buckets, *order).sortWithinPartitions(*order).write
         writer.mode("overwrite").option("path", f"{folder}/{name}").saveAsTable(f"{prefix}{name}")
     return RetailTables(**{name: spark.table(f"{prefix}{name}") for name in TABLE_SCHEMAS})
