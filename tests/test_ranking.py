@@ -1,0 +1,65 @@
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tallybook.operators.ranking import exact_percentile, global_ntile, global_row_number, score_ntiles
+from tests.conftest import rows
+
+
+@pytest.mark.parametrize("size", [0, 1, 3, 5, 12, 1003])
+def test_ntile_equals_the_window(spark, size):
+    df = spark.range(size).select("id", (F.col("id") * 7919 % 10).alias("v"))
+    order = [F.desc("v"), F.col("id")]
+    expected = df.withColumn("part", F.ntile(5).over(Window.orderBy(*order)))
+    got = global_ntile(df, 5, order, "part")
+    assert sorted(rows(got.select("id", "part"))) == sorted(rows(expected.select("id", "part")))
+
+
+def test_row_number_is_contiguous_when_one_value_has_most_rows(spark):
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("v"))
+    got = global_row_number(df, [F.col("v"), F.col("id")])
+    numbers = [r.row_number for r in got.orderBy("v", "id").collect()]
+    assert numbers == list(range(1, 20_001))
+
+
+def test_scores_equal_separate_windows(spark):
+    df = spark.range(1, 504).select(
+        "id",
+        (F.col("id") * 31 % 40).cast("int").alias("days"),
+        F.lit(2).cast("bigint").alias("orders"),
+        (F.col("id") * 17 % 97).cast("decimal(20,2)").alias("spend"),
+    )
+    expected = df.select(
+        "id",
+        "days",
+        "orders",
+        "spend",
+        F.ntile(5).over(Window.orderBy(F.desc("days"), "id")).alias("r"),
+        F.ntile(5).over(Window.orderBy("orders", "id")).alias("f"),
+        F.ntile(5).over(Window.orderBy("spend", "id")).alias("m"),
+    )
+    got = score_ntiles(df, 5, "id", {"r": ("days", True), "f": ("orders", False), "m": ("spend", False)})
+    assert got.select(df.columns).schema == df.schema or got.select("days").schema[0].dataType == df.schema["days"].dataType
+    assert sorted(rows(got.select(*expected.columns))) == sorted(rows(expected))
+
+
+def test_scores_of_three_rows(spark):
+    df = spark.range(3).select("id", F.lit(1).cast("bigint").alias("v"))
+    got = score_ntiles(df, 5, "id", {"s": ("v", False)})
+    assert sorted(rows(got.select("id", "s"))) == [(0, 1), (1, 2), (2, 3)]
+
+
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.9, 1.0])
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_percentile_equals_the_builtin(spark, q, size):
+    values = spark.range(size).select((F.col("id") * 7919 % 613).cast("decimal(20,2)").alias("v"))
+    expected = values.agg(F.percentile("v", F.lit(q))).first()[0]
+    assert float(exact_percentile(values, "v", q, "p").first()[0]) == pytest.approx(expected, abs=1e-9)
+
+
+def test_percentile_of_one_value_and_of_nothing(spark):
+    many = spark.range(5000).select(F.lit(Decimal("2.50")).alias("v"))
+    assert exact_percentile(many, "v", 0.5, "p").first()[0] == Decimal("2.50")
+    assert exact_percentile(many.filter("false"), "v", 0.5, "p").first()[0] is None
