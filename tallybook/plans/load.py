@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallybook.model import COPIES, RetailTables
 from tallybook.operators.scratch import materialize
 from tallybook.plans.clean import clean_sales, quarantine_reason
-from tallybook.plans.normalize import normalize
+from tallybook.plans.normalize import build_countries, normalize
 from tallybook.sources.tables import write_tables
 
 
@@ -78,5 +78,6 @@ def cleaning_report(raw: DataFrame, clean: DataFrame, null_keys: str = "quaranti
 def load_sales(raw: DataFrame, folder: str, contiguous_ids: bool = False, null_keys: str = "quarantine") -> Load:
     """Clean once, write the five tables, count every step."""
     clean = materialize(clean_sales(raw, null_keys), "clean")
-    tables = write_tables(normalize(clean, contiguous_ids), folder)
+    countries = materialize(build_countries(clean), "countries")
+    tables = write_tables(normalize(clean, contiguous_ids, countries), folder)
     return Load(clean, tables, load_counts(raw, clean, tables, null_keys))

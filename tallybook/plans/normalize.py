@@ -96,9 +96,13 @@ def build_items(clean: DataFrame, contiguous_ids: bool = False) -> DataFrame:
     return numbered.select(*TABLE_SCHEMAS["invoice_items"].fieldNames())
 
 
-def normalize(clean: DataFrame, contiguous_ids: bool = False) -> RetailTables:
-    """All five tables. ``clean`` is read five times: pass a written table."""
-    countries = build_countries(clean)
+def normalize(clean: DataFrame, contiguous_ids: bool = False, countries: DataFrame | None = None) -> RetailTables:
+    """All five tables. ``clean`` is read five times: pass a written table.
+
+    Pass ``countries`` when they are written already, so the ids are read back.
+    """
+    if countries is None:
+        countries = build_countries(clean)
     return RetailTables(
         countries=countries,
         customers=build_customers(clean, countries),

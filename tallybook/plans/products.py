@@ -13,7 +13,8 @@ from tallybook.plans.views import lines_of, sales_invoices, sales_per_product, w
 
 
 def _top(df: DataFrame, by: str, n: int, tables: RetailTables, *columns: str) -> DataFrame:
-    """The n best codes; only these meet the product table."""
+    """The n best codes; only these meet the product table, which has every code
+    that is sold (fk_exists checks it)."""
     best = df.orderBy(F.desc(by), "stock_code").limit(n)
     return with_description(best, tables, *columns).orderBy(F.desc(by), "stock_code")
 

@@ -16,11 +16,12 @@ def revenue_by_month(tables: RetailTables) -> DataFrame:
     return monthly_revenue(tables).orderBy("month")
 
 
-def revenue_by_weekday(tables: RetailTables) -> DataFrame:
-    """Monday first; the day name is not padded."""
+def revenue_by_weekday(tables: RetailTables, padded: bool = False) -> DataFrame:
+    """Monday first. ``padded`` fills the day name up to nine characters."""
+    day = F.date_format("invoice_date", "EEEE")
     return (
         order_totals(tables)
-        .groupBy(F.date_format("invoice_date", "EEEE").alias("day_name"), iso_weekday().alias("dow"))
+        .groupBy((F.rpad(day, 9, " ") if padded else day).alias("day_name"), iso_weekday().alias("dow"))
         .agg(rows("orders"), revenue())
         .orderBy("dow")
     )

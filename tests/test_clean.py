@@ -18,10 +18,12 @@ def test_prices(make_sheet):
 
 
 def test_descriptions(make_sheet):
-    texts = [None, "nan", " nan ", "", "\ttab\t", " hard ", "two  inside", "   "]
+    hard, thin = "\u00a0", "\u2009"
+    texts = [None, "nan", " nan ", "", "\ttab\t", f"{hard}hard{thin}", "two  inside", "   "]
+    texts += [f"{thin}é", "é", "\x7f", f"a{hard}"]
     sheet = make_sheet(*[dict(StockCode=str(i), Description=t) for i, t in enumerate(texts)])
     got = {r.StockCode: r.Description for r in clean_sales(sheet).collect()}
-    assert got == {"3": "", "4": "tab", "5": "hard", "6": "two  inside", "7": ""}
+    assert got == {"3": "", "4": "tab", "5": "hard", "6": "two  inside", "7": "", "8": "é", "9": "é", "10": "\x7f", "11": "a"}
 
 
 def test_duplicates_are_found_after_trimming_and_nulls_are_equal(make_sheet):

@@ -44,6 +44,7 @@ def test_invoice_without_lines(make_tables):
     assert [r.invoice_no for r in order_totals(tables).collect()] == ["1"]
     assert rows(basket_size_distribution(tables)) == [(2, 1)]
     assert rows(revenue_by_weekday(tables)) == [("Monday", 1, 1, Decimal("6.00"))]
+    assert rows(revenue_by_weekday(tables, padded=True))[0][0] == "Monday   "
 
 
 def test_week_matrix_has_all_days_and_hours(make_tables):
