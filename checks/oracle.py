@@ -388,5 +388,5 @@ ORACLE: dict[str, str] = {
     "reset_tables": _star(_TABLE_ROWS.replace("{}", "count(*) FILTER (WHERE false)")),
     "physical_layout": _star(f"SELECT invoice_no, invoice_date, customer_id, {_big('country_id')}, {money('cents')} AS order_total, {_big('units')} FROM totals"),
     "register_views": _star(f"SELECT month, orders, {money('cents')} AS revenue FROM months"),
-    "run_query": _star(f"SELECT country, orders, {money('cents')} AS revenue FROM per_country WHERE orders >= 300"),
+    "run_query": _star(f"SELECT country, orders, {money('cents')} AS revenue FROM per_country WHERE orders >= 40"),
 }

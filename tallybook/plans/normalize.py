@@ -18,8 +18,8 @@ def most_frequent(lines: DataFrame, key: str, value: str) -> DataFrame:
     very many lines, or very many values, never meets in one task as raw lines.
     """
     counts = lines.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    rank = F.struct(-F.col("_n"), F.col(value))
-    return counts.groupBy(key).agg(F.min_by(value, rank).alias(value))
+    best = F.min(F.struct((-F.col("_n")).alias("_order"), F.col(value)))
+    return counts.groupBy(key).agg(best[value].alias(value))
 
 
 def build_countries(clean: DataFrame) -> DataFrame:

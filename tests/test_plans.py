@@ -1,8 +1,10 @@
 """Properties of the physical plans that matter on large tables."""
 
 import re
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallybook.plans import customers, products, views
 from tallybook.sources.tables import write_tables
@@ -57,3 +59,27 @@ def test_no_python_and_no_cartesian_product(written):
         plan_of(products.return_rate(written)),
     ):
         assert not re.search(r"Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)
+
+
+def test_a_hot_invoice_is_split_in_joins_of_lines(spark, written, tmp_path):
+    """Half of all lines belong to one invoice; its shuffled partition is read in parts."""
+    hot = written.invoices.filter(~F.col("is_cancellation")).agg(F.min("invoice_no")).first()[0]
+    moved = F.when(F.col("item_id") % 2 == 0, F.lit(hot)).otherwise(F.col("invoice_no"))
+    items = written.invoice_items.withColumn("invoice_no", moved).repartition(8)
+    skewed = write_tables(replace(written, invoice_items=items), str(tmp_path / "skewed"))
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        for plan in (views.sales_per_product, products.return_rate):
+            df = plan(skewed)
+            df.collect()
+            final = plan_of(df)
+            assert "skew=true" in final
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
