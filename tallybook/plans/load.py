@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from tallybook.model import COPIES, RetailTables
 from tallybook.operators.scratch import materialize
 from tallybook.plans.clean import clean_sales, quarantine_reason
 from tallybook.plans.normalize import build_countries, normalize
-from tallybook.sources.tables import write_tables
+from tallybook.sources.tables import append_new_keys, new_keys, table_scan, write_tables
 
 
 @dataclass(frozen=True)
@@ -81,3 +81,33 @@ def load_sales(raw: DataFrame, folder: str, contiguous_ids: bool = False, null_k
     countries = materialize(build_countries(clean), "countries")
     tables = write_tables(normalize(clean, contiguous_ids, countries), folder)
     return Load(clean, tables, load_counts(raw, clean, tables, null_keys))
+
+
+def _extend_countries(clean: DataFrame, folder: str) -> DataFrame:
+    """Add the names that are not there yet, numbered on, and read all ids back."""
+    spark = clean.sparkSession
+    known = table_scan(spark, folder, "countries")
+    last = known.agg(F.coalesce(F.max("country_id"), F.lit(0))).scalar()
+    names = clean.select(F.col("Country").alias("name")).distinct()
+    fresh = build_countries(new_keys(names, known, "name").withColumnRenamed("name", "Country"))
+    numbered = fresh.select((F.col("country_id") + last).alias("country_id"), "name")
+    # Written before it is appended, because it reads the folder it goes to.
+    materialize(numbered, "new-countries").write.mode("append").parquet(f"{folder}/countries")
+    return table_scan(spark, folder, "countries")
+
+
+def append_sales(raw: DataFrame, folder: str, null_keys: str = "quarantine") -> Load:
+    """Load another sheet into existing tables.
+
+    Countries, customers, products and invoices that are there already stay as they
+    are; new ones are added, with the country ids of the existing table. All lines
+    are added, numbered on from the last item.
+    """
+    clean = materialize(clean_sales(raw, null_keys), "clean")
+    countries = _extend_countries(clean, folder)
+    incoming = normalize(clean, countries=countries)
+    items = table_scan(raw.sparkSession, folder, "invoice_items")
+    last = items.agg(F.coalesce(F.max("item_id"), F.lit(0).cast("bigint"))).scalar()
+    numbered = incoming.invoice_items.withColumn("item_id", F.col("item_id") + last)
+    tables = append_new_keys(replace(incoming, invoice_items=numbered), folder)
+    return Load(clean, tables, load_counts(raw, clean, tables, null_keys))

@@ -56,7 +56,10 @@ def new_keys(incoming: DataFrame, existing: DataFrame, key: str, order: str | No
 
 
 def append_new_keys(incoming: RetailTables, folder: str) -> RetailTables:
-    """Add a load to existing tables: rows whose key is there already stay as they are.
+    """Add rows to existing tables: rows whose key is there already stay as they are.
+
+    Country ids in ``incoming`` must be those of the existing table, as
+    load.append_sales makes sure.
 
     The items have no such key; they are all added, so loading a sheet twice
     doubles its lines, as it does with a plain insert.

@@ -1,6 +1,7 @@
 from tallybook.plans.clean import clean_sales
-from tallybook.plans.load import cleaning_report, load_sales
+from tallybook.plans.load import append_sales, cleaning_report, load_sales
 from tallybook.plans.normalize import build_items, build_products, most_frequent, normalize
+from tallybook.plans.quality import check_constraints
 from tallybook.sources.tables import read_tables
 from tests.conftest import rows, time_of
 
@@ -87,3 +88,20 @@ def test_load(spark, make_sheet, tmp_path):
     assert [r.rows for r in cleaning_report(sheet, load.clean).orderBy("step_no").collect()] == [6, 1, 2, 1, 2]
     again = read_tables(spark, str(tmp_path / "load"))
     assert sorted(rows(again.invoice_items)) == sorted(rows(load.tables.invoice_items))
+
+
+def test_second_sheet_into_existing_tables(make_sheet, tmp_path):
+    folder = str(tmp_path / "load")
+    load_sales(make_sheet(dict(InvoiceNo="1", Country="M"), dict(InvoiceNo="2", Country="P")), folder)
+    second = make_sheet(
+        dict(InvoiceNo="2", Country="A", Quantity=2),
+        dict(InvoiceNo="3", Country="P", CustomerID=8.0),
+        dict(InvoiceNo="4", Country="A", StockCode="B", CustomerID=9.0),
+    )
+    tables = append_sales(second, folder).tables
+    assert sorted(rows(tables.countries)) == [(1, "M"), (2, "P"), (3, "A")]
+    assert sorted(rows(tables.customers)) == [(7, 1), (8, 2), (9, 3)]
+    assert {r.invoice_no: r.country_id for r in tables.invoices.collect()} == {"1": 1, "2": 2, "3": 2, "4": 3}
+    items = sorted((r.item_id, r.invoice_no, r.quantity) for r in tables.invoice_items.collect())
+    assert items == [(1, "1", 1), (2, "2", 1), (3, "2", 2), (4, "3", 1), (5, "4", 1)]
+    assert {r.violations for r in check_constraints(tables).collect()} == {0}
