@@ -18,6 +18,14 @@ from tallybook.sources import tables as store
 from tallybook.sources.sales import read_sales, with_source_order
 from tallybook.sources.star import star_sheet, star_tables
 
+try:
+    import corpus_pipeline
+    from tallybook.llm import queries as llm
+except ModuleNotFoundError as missing:  # the subpackage may be left out as a whole
+    if missing.name not in ("corpus_pipeline", "tallybook.llm"):
+        raise
+    llm = corpus_pipeline = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # In the given tables every product sells at least 66 units.
@@ -351,8 +359,13 @@ def queries() -> dict[str, Query]:
         "physical_layout": _physical_layout,
         "register_views": _register_views,
         "run_query": _run_query,
+        **_llm_queries(),
     }
 
 
+def _llm_queries() -> dict[str, Query]:
+    return {**llm.queries(), "pipeline": corpus_pipeline.run} if llm else {}
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return {**ORACLE, **(llm.oracle_sql() if llm else {})}
