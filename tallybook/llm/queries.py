@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import bpe, shards
+from tallybook.llm import bpe, shards, simhash, vectors
+from tallybook.operators.scratch import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,16 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    printed = simhash.with_fingerprint(_table(spark, folder, "documents", "doc_id", "text")).drop("text")
+    grouped = simhash.near_duplicates(materialize(printed, "fingerprints"))
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_hyperplane_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(_table(spark, folder, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op7_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = _table(spark, folder, "documents", "doc_id", "text").select(
@@ -51,6 +62,8 @@ def op7_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op5_simhash_groups": op5_simhash_groups,
+        "op6_hyperplane_groups": op6_hyperplane_groups,
         "op7_feistel_shards": op7_feistel_shards,
     }
 
