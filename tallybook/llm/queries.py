@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import bpe, shards, simhash, vectors
-from tallybook.operators.scratch import materialize
+from tallybook.llm import bpe, idfiles, shards, simhash, vectors
+from tallybook.operators.scratch import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,12 +59,23 @@ def op7_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_arrow_id_files(spark: SparkSession, folder: str) -> DataFrame:
+    target = scratch_path(spark, "id-files")
+    docs = _table(spark, folder, "documents", "doc_id", "text")
+    index = idfiles.write_id_files(docs, target, public_tokenizers.path("word_bpe_49k.json"))
+    index = index.select("doc_id", F.col("file").alias("_file"), F.col("ordinal").alias("_ordinal"), "start")
+    stored = idfiles.read_id_files(index.withColumnRenamed("_file", "file"), target)
+    here = (F.col("file") == F.col("_file")) & (F.col("ordinal") == F.col("_ordinal"))
+    return index.join(stored, here).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op5_simhash_groups": op5_simhash_groups,
         "op6_hyperplane_groups": op6_hyperplane_groups,
         "op7_feistel_shards": op7_feistel_shards,
+        "op10_arrow_id_files": op10_arrow_id_files,
     }
 
 
