@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -88,8 +88,10 @@ def decode_ids(ids: pa.ListArray, rank_file: str) -> pa.BinaryArray:
     return pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), taken.buffers()[2]])
 
 
-def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Adds the ids of each text."""
+def encode(
+    df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids", drop: Sequence[str] = ()
+) -> DataFrame:
+    """Adds the ids of each text and leaves out the columns in ``drop``."""
 
     def run(batch: pa.RecordBatch) -> pa.Array:
         coder = encoder(rank_file, pattern)
@@ -97,7 +99,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out:
         offsets = offsets_of(np.array([len(x) for x in each], np.int64)).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(each), pa.int32()))
 
-    return map_batches(df, {out: T.ArrayType(T.IntegerType())}, lambda b: [run(b)], lambda bs: slices(bs, text))
+    return map_batches(df, {out: T.ArrayType(T.IntegerType())}, lambda b: [run(b)], lambda bs: slices(bs, text), drop)
 
 
 def decode(df: DataFrame, rank_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

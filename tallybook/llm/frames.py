@@ -24,12 +24,14 @@ def map_batches(
     added: dict[str, T.DataType],
     columns: Callable[[pa.RecordBatch], Sequence[pa.Array]],
     cut: Callable[[Batches], Batches] = lambda batches: batches,
+    drop: Sequence[str] = (),
 ) -> DataFrame:
     """The frame with columns that ``columns`` gives for each batch.
 
-    A column of the frame with an added column's name (in any case) is replaced.
+    A column of the frame with an added column's name (in any case) is replaced;
+    those in ``drop`` are read but not handed back.
     """
-    new = {n.lower() for n in added}
+    new = {n.lower() for n in (*added, *drop)}
     kept = [f for f in df.schema if f.name.lower() not in new]
     schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in added.items())])
     places = [df.schema.names.index(f.name) for f in kept]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import bpe, idfiles, shards, simhash, vectors
+from tallybook.llm import bpe, decontam, idfiles, shards, simhash, vectors
 from tallybook.operators.scratch import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,8 @@ def _table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFr
 
 def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(_table(spark, folder, "documents", "doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode(coded.drop("text"), ranks)
+    docs = _table(spark, folder, "documents", "doc_id", "text")
+    decoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, drop=["text"]), ranks)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
@@ -30,8 +30,15 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents", "doc_id", "text")
+    items = _table(spark, folder, "benchmark", "item_id", "text")
+    found = decontam.with_leaks(docs, items, drop=["text"])
+    return found.select("doc_id", F.inline("leaks"))
+
+
 def op5_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
-    printed = simhash.with_fingerprint(_table(spark, folder, "documents", "doc_id", "text")).drop("text")
+    printed = simhash.with_fingerprint(_table(spark, folder, "documents", "doc_id", "text"), drop=["text"])
     grouped = simhash.near_duplicates(materialize(printed, "fingerprints"))
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -72,6 +79,7 @@ def op10_arrow_id_files(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op4_benchmark_leaks": op4_benchmark_leaks,
         "op5_simhash_groups": op5_simhash_groups,
         "op6_hyperplane_groups": op6_hyperplane_groups,
         "op7_feistel_shards": op7_feistel_shards,

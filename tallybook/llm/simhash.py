@@ -20,7 +20,7 @@ component; repeated rows are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ _RUN = 255  # counts that fit one byte
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The bits set in over half of each text's hashes; zero for no hashes."""
     result = np.zeros((len(counts), 64), bool)
     filled = np.flatnonzero(counts)
@@ -81,16 +81,18 @@ def fingerprints(texts: pa.Array, shingle: int) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
     spans = zip(ends[first].tolist(), (ends[last] - 1).tolist(), strict=True)
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(first))
-    return _majority(hashes, shingles)
+    return majority(hashes, shingles)
 
 
-def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", shingle: int = 3) -> DataFrame:
-    """Adds the fingerprint as a BIGINT with the same bits."""
+def with_fingerprint(
+    df: DataFrame, text: str = "text", out: str = "fingerprint", shingle: int = 3, drop: Sequence[str] = ()
+) -> DataFrame:
+    """Adds the fingerprint as a BIGINT with the same bits and leaves out the columns in ``drop``."""
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         return [pa.array(fingerprints(batch.column(text), shingle).view(np.int64))]
 
-    return map_batches(df, {out: T.LongType()}, run, lambda bs: slices(bs, text))
+    return map_batches(df, {out: T.LongType()}, run, lambda bs: slices(bs, text), drop)
 
 
 def _tile_links(x: np.ndarray, rows: np.ndarray, others: np.ndarray | None, distance: int) -> Iterator[tuple]:
