@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import bpe, decontam, idfiles, shards, simhash, vectors
+from tallybook.llm import bpe, decontam, idfiles, language, shards, simhash, toxicity, vectors
+from tallybook.llm.tagging import held_out
 from tallybook.operators.scratch import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,36 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def toxicity_model(spark: SparkSession, folder: str) -> toxicity.ToxicityModel:
+    """Learned from the labelled documents of four folds of five."""
+    docs = _table(spark, folder, "documents", "doc_id", "text")
+    labels = _table(spark, folder, "labels", "doc_id", "toxic").filter(~held_out("doc_id", 5, 0))
+    return toxicity.learn(docs.join(labels, "doc_id"))
+
+
+def op2_toxic_spans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents", "doc_id", "text")
+    scored = toxicity.with_toxicity(docs, toxicity_model(spark, folder), drop=["text"])
+    return scored.select(
+        "doc_id",
+        held_out("doc_id", 5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "spans",
+    )
+
+
+def language_model(spark: SparkSession, folder: str):
+    """Learned from the documents of three folds of four."""
+    return language.learn(_table(spark, folder, "documents", "doc_id", "text", "lang").filter(~held_out("doc_id", 4, 2)))
+
+
+def op3_language_words(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents", "doc_id", "text")
+    found = language.with_language(docs, language_model(spark, folder), drop=["text"])
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents", "doc_id", "text")
     items = _table(spark, folder, "benchmark", "item_id", "text")
@@ -79,6 +110,8 @@ def op10_arrow_id_files(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_toxic_spans": op2_toxic_spans,
+        "op3_language_words": op3_language_words,
         "op4_benchmark_leaks": op4_benchmark_leaks,
         "op5_simhash_groups": op5_simhash_groups,
         "op6_hyperplane_groups": op6_hyperplane_groups,
