@@ -3,7 +3,7 @@
 The merges are done by the tiktoken library from a local rank file. A long text
 is first cut at safe boundaries: places where no match of the pattern can cross,
 and no match looks across, so the pieces' ids are the text's ids. A place counts
-as safe if an ASCII letter stands before a single space and an ASCII letter after
+as safe if a Latin letter stands before a single space and a Latin letter after
 it: the pattern ends a run of letters there and begins the next match with the
 space. A text without such a place is encoded in one piece.
 
@@ -29,7 +29,9 @@ from tallybook.llm.frames import map_batches
 from tallybook.llm.text import offsets_of, slices
 
 PIECE_CHARS = 1 << 16
-_SAFE = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+# Letters that are letters in every version of Unicode.
+_LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
+SAFE_BOUNDARY = re.compile(f"(?<={_LETTER})(?= {_LETTER})")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -57,7 +59,7 @@ def safe_pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     """The text in pieces of about ``size`` characters, cut at safe boundaries only."""
     start = 0
     while len(text) - start > size:
-        cut = _SAFE.search(text, start + size)
+        cut = SAFE_BOUNDARY.search(text, start + size)
         if cut is None:
             break
         yield text[start : cut.start()]

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import bpe, decontam, idfiles, language, shards, simhash, toxicity, vectors
+from tallybook.llm import bpe, decontam, editcounts, idfiles, language, shards, simhash, toxicity, vectors
 from tallybook.llm.tagging import held_out
 from tallybook.operators.scratch import materialize, scratch_path
 
@@ -97,6 +97,36 @@ def op7_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _with_edits(docs: DataFrame) -> DataFrame:
+    """Three edits of each document: a few characters at a place go, a piece of its own text comes."""
+    size = F.char_length("text")
+
+    def drawn(seed: int, below) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.coalesce(below, F.lit(0)) + 1)
+
+    def edit(k: int) -> Column:
+        piece = F.substring(F.col("text"), drawn(3 * k, size).cast("int") + 1, F.lit(24))
+        fields = (drawn(3 * k + 1, size), drawn(3 * k + 2, F.lit(11)), piece)
+        return F.struct(*(f.alias(n) for f, n in zip(fields, ("position", "deleted", "inserted"), strict=True)))
+
+    return docs.withColumn("edits", F.array(*(edit(k) for k in range(3))))
+
+
+def op8_edited_counts(spark: SparkSession, folder: str) -> DataFrame:
+    coder = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = editcounts.with_tree(_with_edits(_table(spark, folder, "documents", "doc_id", "text")), *coder)
+    tokens = F.col("tree.tokens")[1].cast("bigint")
+    edited = editcounts.with_edits(docs.withColumn("tokens_before", tokens), *coder, drop=["edits"])
+    return edited.select(
+        "doc_id",
+        "tokens_before",
+        tokens.alias("n_tokens"),
+        F.char_length("text").cast("bigint").alias("n_chars"),
+        "encoded_chars",
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+    )
+
+
 def op10_arrow_id_files(spark: SparkSession, folder: str) -> DataFrame:
     target = scratch_path(spark, "id-files")
     docs = _table(spark, folder, "documents", "doc_id", "text")
@@ -116,6 +146,7 @@ def queries() -> dict[str, Query]:
         "op5_simhash_groups": op5_simhash_groups,
         "op6_hyperplane_groups": op6_hyperplane_groups,
         "op7_feistel_shards": op7_feistel_shards,
+        "op8_edited_counts": op8_edited_counts,
         "op10_arrow_id_files": op10_arrow_id_files,
     }
 

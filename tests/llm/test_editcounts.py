@@ -1,0 +1,77 @@
+from __future__ import annotations
+
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tallybook.llm.bpe import encoder
+from tallybook.llm.editcounts import SegmentTree, apply_edits, with_edits, with_tree
+
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+texts = st.text(st.sampled_from(list("ab cdé'ts.  \n\t12!ñ日")), max_size=120) | st.text(max_size=40)
+edits = st.lists(
+    st.fixed_dictionaries(
+        {"position": st.integers(-3, 140), "deleted": st.integers(-1, 60), "inserted": texts | st.none()}
+    ),
+    max_size=5,
+)
+
+
+def count(text: str) -> int:
+    return len(encoder(RANKS, PATTERN).encode_ordinary(text))
+
+
+def edited(text: str, changes: list[dict]) -> str:
+    for c in changes:
+        at = min(max(c["position"], 0), len(text))
+        text = text[:at] + (c["inserted"] or "") + text[at + max(c["deleted"], 0) :]
+    return text
+
+
+@settings(max_examples=400, deadline=None)
+@given(texts, edits, st.sampled_from([1, 5, 30]))
+def test_counts_after_edits_equal_a_full_count(text, changes, size):
+    tree = SegmentTree.of(text, count, size)
+    assert tree.tokens[1] == count(text)
+    after, _ = apply_edits(text, tree, changes, count, size)
+    assert after == edited(text, changes)
+    assert tree.chars[1] == len(after)
+    assert tree.tokens[1] == count(after)
+
+
+def test_sums_hold_in_every_node():
+    tree = SegmentTree.of("some words of a text " * 50, count, 20)
+    apply_edits("some words of a text " * 50, tree, [{"position": 300, "deleted": 40, "inserted": "new words " * 9}], count, 20)
+    for node in range(1, tree.leaves):
+        assert tree.tokens[node] == tree.tokens[2 * node] + tree.tokens[2 * node + 1]
+        assert tree.chars[node] == tree.chars[2 * node] + tree.chars[2 * node + 1]
+
+
+def test_an_edit_encodes_little_of_a_long_text():
+    text = "words that go on and on " * 20_000
+    tree = SegmentTree.of(text, count)
+    _, encoded = apply_edits(text, tree, [{"position": 200_000, "deleted": 3, "inserted": "xyz"}], count)
+    assert encoded < 600
+
+
+def test_frame_with_nulls_ties_and_extra_columns(spark):
+    rows = [
+        (1, "one two three", [(4, 3, "2"), None], "x"),
+        (1, "one two three", [(4, 3, "2"), None], "x"),
+        (2, None, [(0, 0, "new")], None),
+        (None, "", None, "y"),
+        (3, "kept as it is", [], "z"),
+    ]
+    edit = "array<struct<position: bigint, deleted: bigint, inserted: string>>"
+    df = spark.createDataFrame(rows, f"doc_id bigint, text string, edits {edit}, encoded_chars string")
+    found = with_edits(with_tree(df, RANKS, PATTERN), RANKS, PATTERN).selectExpr("doc_id", "text", "tree.tokens[1] AS n").collect()
+    assert [tuple(r) for r in found] == [
+        (1, "one 2 three", count("one 2 three")),
+        (1, "one 2 three", count("one 2 three")),
+        (2, "new", 1),
+        (None, "", 0),
+        (3, "kept as it is", count("kept as it is")),
+    ]
+    empty = with_edits(with_tree(df.limit(0), RANKS, PATTERN), RANKS, PATTERN)
+    assert empty.collect() == []
