@@ -1,11 +1,11 @@
 """Byte-level BPE: token ids of whole texts, and their bytes back from the ids.
 
 The merges are done by the tiktoken library from a local rank file. A long text
-is first cut at safe boundaries: places where no match of the pattern can cross,
-and no match looks across, so the pieces' ids are the text's ids. A place counts
-as safe if a Latin letter stands before a single space and a Latin letter after
-it: the pattern ends a run of letters there and begins the next match with the
-space. A text without such a place is encoded in one piece.
+is first cut at safe boundaries: places that no match of the pattern crosses or
+looks across, so the pieces' ids are the text's ids. A place is safe before a
+single space with an ASCII character or Latin letter on each side that is not
+white space: no run of letters, digits or signs goes on over the space, and the
+next match begins with it. A text without such a place is encoded in one piece.
 
 Defined results: a null or empty text has no ids; null ids decode to no bytes, as
 do ids that the rank file does not have. Columns of the input are kept, except
@@ -29,9 +29,9 @@ from tallybook.llm.frames import map_batches
 from tallybook.llm.text import offsets_of, slices
 
 PIECE_CHARS = 1 << 16
-# Letters that are letters in every version of Unicode.
-_LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
-SAFE_BOUNDARY = re.compile(f"(?<={_LETTER})(?= {_LETTER})")
+# ASCII that is not white space, and letters that are letters in every version of Unicode.
+_SOLID = "[!-~À-ÖØ-öø-ɏ]"
+SAFE_BOUNDARY = re.compile(f"(?<={_SOLID})(?= {_SOLID})")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
