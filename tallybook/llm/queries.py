@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import bpe, decontam, editcounts, idfiles, language, shards, simhash, toxicity, vectors
+from tallybook.llm import bpe, decontam, editcounts, idfiles, language, maxent, shards, simhash, toxicity, vectors
 from tallybook.llm.tagging import held_out
 from tallybook.operators.scratch import materialize, scratch_path
 
@@ -127,6 +127,14 @@ def op8_edited_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_maxent_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents", "doc_id", "text")
+    training = docs.filter(~held_out("doc_id", 5, 1))
+    counts = maxent.count_words(training)
+    scored = maxent.score(docs, maxent.train(training, counts), counts)
+    return scored.withColumn("held_out", held_out("doc_id", 5, 1))
+
+
 def op10_arrow_id_files(spark: SparkSession, folder: str) -> DataFrame:
     target = scratch_path(spark, "id-files")
     docs = _table(spark, folder, "documents", "doc_id", "text")
@@ -147,6 +155,7 @@ def queries() -> dict[str, Query]:
         "op6_hyperplane_groups": op6_hyperplane_groups,
         "op7_feistel_shards": op7_feistel_shards,
         "op8_edited_counts": op8_edited_counts,
+        "op9_maxent_scores": op9_maxent_scores,
         "op10_arrow_id_files": op10_arrow_id_files,
     }
 
