@@ -3,8 +3,8 @@
 Documents are put in order of their key, their ids followed by an end id, and the
 ids packed without gaps into sequences of a fixed length. A file is an Arrow
 stream whose batches all have the same number of rows, with two fixed-size-list
-columns: ``ids`` (unsigned 32-bit) and ``mask`` (0 filling, 1 an id, 2 the last id
-of a document). So every batch is a message of the same length: sequence i is at
+columns: ``ids`` (unsigned, 16-bit if the vocabulary fits, else 32-bit) and
+``mask`` (0 filling, 1 an id, 2 the last id of a document). So every batch is a message of the same length: sequence i is at
 a computed place of the file, and a memory map gives it without a copy. The end
 of a file is filled with zeros under mask 0. A document lies in one file whole.
 
@@ -96,8 +96,13 @@ def _coder(path: str) -> WordCoder:
     return WordCoder(path)
 
 
-def _schema(sequence: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+def _schema(sequence: int, kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+
+
+def id_type(tokenizer: str, end_id: int) -> pa.DataType:
+    """The smallest type for the tokenizer's ids and the end id."""
+    return pa.uint16() if max(_tokenizer(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else pa.uint32()
 
 
 def _open(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -107,11 +112,19 @@ def _open(path: str) -> tuple[pa.fs.FileSystem, str]:
 class IdFileWriter:
     """Writes one file; ``close`` moves it into place."""
 
-    def __init__(self, path: str, sequence: int = SEQUENCE, batch_rows: int = BATCH_ROWS, attempt: str = "0") -> None:
+    def __init__(
+        self,
+        path: str,
+        kind: pa.DataType,
+        sequence: int = SEQUENCE,
+        batch_rows: int = BATCH_ROWS,
+        attempt: str = "0",
+    ) -> None:
         self._fs, self._path = _open(path)
         self._draft = f"{self._path}.{attempt}.draft"
         self._fs.create_dir(self._path.rpartition("/")[0], recursive=True)
-        self._schema, self._sequence, self._rows = _schema(sequence), sequence, batch_rows
+        self._schema, self._kind = _schema(sequence, kind), kind
+        self._sequence, self._rows = sequence, batch_rows
         self._sink = self._fs.open_output_stream(self._draft)
         self._stream = pa.ipc.new_stream(self._sink, self._schema)
         self._parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -131,7 +144,7 @@ class IdFileWriter:
 
     def _write(self, ids: np.ndarray, mask: np.ndarray) -> None:
         arrays = [
-            pa.FixedSizeListArray.from_arrays(pa.array(ids, pa.uint32()), self._sequence),
+            pa.FixedSizeListArray.from_arrays(pa.array(ids).cast(self._kind), self._sequence),
             pa.FixedSizeListArray.from_arrays(pa.array(mask, pa.uint8()), self._sequence),
         ]
         self._stream.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self._schema))
@@ -192,7 +205,8 @@ def _write_partition(batches: Iterable[pa.RecordBatch], folder: str, tokenizer:
             if writer is None:
                 file, ordinal = f"{task.partitionId():08d}-{number:06d}.arrow", 0
                 sizes = {k: options[k] for k in ("sequence", "batch_rows")}
-                writer = IdFileWriter(f"{folder}/{file}", **sizes, attempt=str(task.taskAttemptId()))
+                kind = id_type(tokenizer, end_id)
+                writer = IdFileWriter(f"{folder}/{file}", kind, **sizes, attempt=str(task.taskAttemptId()))
             room = begin + options["file_ids"] - writer.size
             stop = min(len(ends), int(np.searchsorted(ends, room)) + 1)
             files += [file] * (stop - row)

@@ -161,10 +161,10 @@ def near_duplicates(
     links = units.mapInArrow(lambda batches: _links(batches, distance), "a bigint, b bigint")
     linked = connected_components(links)
     merged = prints.join(linked, F.col("_print") == F.col("node"), "left")
-    merged = materialize(merged.select("_print", "_least", F.coalesce("component", "_print").alias("_group")), "groups")
-    least = materialize(merged.groupBy(F.col("_group").alias("_root")).agg(F.min("_least").alias(out)), "least")
-    named = merged.join(least, F.col("_group") == F.col("_root")).select("_print", out)
-    named = materialize(named, "components")
-    name = spare_name(df, "_print")
-    kept = df.drop(out)
-    return kept.join(named.withColumnRenamed("_print", name), F.col(fingerprint) == F.col(name), "left").drop(name)
+    merged = materialize(merged.select("_print", "_least", F.coalesce("component", "_print").alias("_root")), "groups")
+    least = merged.groupBy(F.col("_root").alias("_of")).agg(F.min("_least").alias("_smallest"))
+    named = merged.join(materialize(least, "least"), F.col("_root") == F.col("_of"))
+    mark, found = spare_name(df, "_print"), spare_name(df, "_smallest")
+    named = materialize(named.select(F.col("_print").alias(mark), F.col("_smallest").alias(found)), "components")
+    joined = df.join(named, F.col(fingerprint) == F.col(mark), "left").drop(mark)
+    return joined.drop(out).withColumnRenamed(found, out)
