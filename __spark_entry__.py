@@ -88,14 +88,8 @@ def _sevenths(tables: RetailTables) -> DataFrame:
 
 def _percentiles(tables: RetailTables) -> DataFrame:
     totals = views.order_totals(tables)
-    low = _lower_quarter(totals)
-    return exact_percentile(totals, "order_total", 0.9, "p90").select(low.alias("exact_low"), "p90")
-
-
-def _lower_quarter(totals: DataFrame):
-    numbered = global_row_number(totals.select("order_total", "invoice_no"), [F.col("order_total"), F.col("invoice_no")])
-    count = totals.agg(F.count(F.lit(1))).scalar()
-    return numbered.filter(F.col("row_number") - 1 == F.floor((count - 1) / 4)).select("order_total").scalar()
+    low = exact_percentile(totals, "order_total", 0.25, "p25").select(F.round("p25", 4).alias("p25"))
+    return low.crossJoin(exact_percentile(totals, "order_total", 0.9, "p90"))  # one row each
 
 
 def _pruned_pairs(tables: RetailTables) -> DataFrame:
@@ -205,6 +199,80 @@ def _source_order(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Lines of the exported sheet that cannot be loaded, by the rest of the order number by 40.
+_SPOILED = {
+    "Quantity": {0: "many", 2: None},
+    "InvoiceDate": {1: "13/45/2011 99:00"},
+    "UnitPrice": {4: "1e12"},
+    "StockCode": {5: "A code of over twenty characters"},
+}
+
+
+def _exported(spark: SparkSession, folder: str) -> DataFrame:
+    """The sheet as a spreadsheet exports it: text with quotes and commas, US dates, some lines spoiled."""
+    sheet = star_sheet(spark, folder)
+    rest = F.regexp_extract("InvoiceNo", r"\d+", 0).cast("bigint") % 40
+    text = {c: F.col(c).cast("string") for c in RAW_COLUMNS}
+    text["Description"] = F.concat("Description", F.lit(' "A", B'))
+    text["InvoiceDate"] = F.date_format("InvoiceDate", "M/d/yyyy H:mm")
+    for column, values in _SPOILED.items():
+        for value, bad in values.items():
+            text[column] = F.when(rest == value, F.lit(bad).cast("string")).otherwise(text[column])
+    path = scratch_path(spark, "export")
+    writer = sheet.select(*(text[c].alias(c) for c in RAW_COLUMNS)).write.option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return read_sales(spark, path, "csv", timestamp_format="M/d/yyyy H:mm")
+
+
+def _read_exported(spark: SparkSession, folder: str) -> DataFrame:
+    return _plain(_lines(clean.clean_sales(_exported(spark, folder)), "is_cancellation"))
+
+
+def _load_exported(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of the load, set-aside rows by reason, and what narrow questions about them give."""
+    raw = _exported(spark, folder)
+    done = load.load_sales(raw, scratch_path(spark, "load"))
+    aside = done.set_aside.groupBy(F.concat(F.lit("aside: "), "reason").alias("step")).agg(F.count(F.lit(1)).alias("rows"))
+    narrow = clean.quarantined(raw).select("InvoiceNo").agg(F.lit("aside, one column").alias("step"), F.count(F.lit(1)).alias("rows"))
+    return done.counts.select("step", "rows").union(aside).union(narrow)
+
+
+def _split_order(spark: SparkSession, folder: str) -> DataFrame:
+    """A sheet of many files and splits, read by three tasks."""
+    lines = with_source_order(spark.read.parquet(f"{folder}/lineitem.parquet"), "number")
+    number = F.lpad(F.col("number").cast("string"), 12, "0")
+    other = {"Quantity": "1", "InvoiceDate": "2011-01-05T10:00:00", "UnitPrice": "1.0"}
+    sheet = lines.select(*(number.alias(c) if c == "InvoiceNo" else F.lit(other.get(c, "7")).alias(c) for c in RAW_COLUMNS))
+    path = scratch_path(spark, "files")
+    sheet.repartitionByRange(24, "InvoiceNo").sortWithinPartitions("InvoiceNo").write.option("header", True).csv(path)
+    settings = {"spark.sql.files.maxPartitionNum": "3", "spark.sql.files.maxPartitionBytes": "20000"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        read = read_sales(spark, path)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    items = normalize.build_items(read)
+    misplaced = F.count_if(F.col("item_id") != F.col("invoice_no").cast("bigint") + 1)
+    return items.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("item_id").alias("ids"), misplaced.alias("misplaced"))
+
+
+def _append_sales(spark: SparkSession, folder: str) -> DataFrame:
+    """The sheet loaded in two halves, the second one tried twice under one id."""
+    sheet, target = star_sheet(spark, folder), scratch_path(spark, "load")
+    odd = F.regexp_extract("InvoiceNo", r"\d+", 0).cast("bigint") % 2 == 1
+    load.load_sales(sheet.filter(~odd), target, contiguous_ids=True)
+    second = sheet.filter(odd)
+    load.append_sales(second, target, contiguous_ids=True, load_id="second")
+    tables = load.append_sales(second, target, contiguous_ids=True, load_id="second").tables
+    ids = tables.invoice_items.agg(F.max("item_id").alias("last"), F.countDistinct("item_id").alias("distinct"))
+    last = ids.select(F.lit("last item").alias("table_name"), F.col("last").alias("rows"))
+    distinct = ids.select(F.lit("distinct items").alias("table_name"), F.col("distinct").alias("rows"))
+    return _row_counts(tables).union(last).union(distinct)
+
+
 def _row_counts(tables: RetailTables) -> DataFrame:
     counts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n, df in tables.items()]
     total = counts[0]
@@ -240,10 +308,13 @@ def _append_new_keys(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(store.append_new_keys(incoming, target).customers)
 
 
-def _physical_layout(spark: SparkSession, folder: str) -> DataFrame:
-    target = scratch_path(spark, "bucketed")
-    prefix = "tallybook_" + target.rsplit("-", 1)[-1] + "_"
-    return _plain(views.order_totals(store.write_layout(star_tables(spark, folder), prefix, target, 8)))
+def _layout(by: str) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        target = scratch_path(spark, by)
+        prefix = "tallybook_" + target.rsplit("-", 1)[-1] + "_"
+        return _plain(views.order_totals(store.write_layout(star_tables(spark, folder), prefix, target, 8, by)))
+
+    return run
 
 
 def _register_views(spark: SparkSession, folder: str) -> DataFrame:
@@ -251,6 +322,14 @@ def _register_views(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(spark.table("v_monthly_revenue"))
 
 
+def _all_views(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and a total of each view."""
+    views.register_views(star_tables(spark, folder))
+    amount = {"v_order_totals": "order_total", "v_customer_rfm": "monetary"}
+    parts = [f"SELECT '{v}' AS view, count(*) AS rows, sum({amount.get(v, 'revenue')}) AS total FROM {v}" for v in views.VIEWS]
+    return _plain(spark.sql(" UNION ALL ".join(parts)))
+
+
 def _run_query(spark: SparkSession, folder: str) -> DataFrame:
     views.register_views(star_tables(spark, folder))
     sql = "SELECT country, orders, revenue FROM v_country_revenue WHERE orders >= :least"
@@ -338,7 +417,7 @@ def queries() -> dict[str, Query]:
         "build_customers": _with_countries(normalize.build_customers),
         "build_products": _from_clean(normalize.build_products),
         "build_invoices": _with_countries(normalize.build_invoices),
-        "build_items": _from_clean(lambda c: normalize.build_items(c).drop("item_id")),
+        "build_items": _from_clean(lambda c: normalize.build_items(c, contiguous_ids=True)),
         "lookup_country": _with_countries(
             lambda lines, countries: normalize.lookup_country(lines.select("InvoiceNo", "Country").distinct(), countries)
         ),
@@ -351,13 +430,19 @@ def queries() -> dict[str, Query]:
         "check_constraints": _sheet(_checked_load),
         # sources and sinks
         "read_sales": _read_sales,
+        "read_exported_sales": _read_exported,
+        "load_exported_sales": _load_exported,
         "source_order": _source_order,
+        "split_order": _split_order,
         "write_tables": _write_tables,
         "table_scan": _table_scan,
         "append_new_keys": _append_new_keys,
+        "append_sales": _append_sales,
         "reset_tables": _reset_tables,
-        "physical_layout": _physical_layout,
+        "physical_layout": _layout("bucket"),
+        "range_layout": _layout("range"),
         "register_views": _register_views,
+        "all_views": _all_views,
         "run_query": _run_query,
         **_llm_queries(),
     }

@@ -83,19 +83,19 @@ sheet AS (
               WHEN (l_orderkey + l_linenumber) % 211 = 1 THEN -1.0
               ELSE CAST({_LINE_CENTS} AS DOUBLE) / 100 END::DOUBLE AS "UnitPrice",
          CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_custkey AS DOUBLE) END AS "CustomerID",
-         n_name AS "Country"
+         n_name AS "Country", 2 * place + copy AS pos
   FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN 'C' ELSE '' END || CAST(500000 + l_orderkey AS VARCHAR) AS number
-        FROM lineitem, unnest(CASE WHEN l_orderkey % 100 = 3 THEN [0, 1] ELSE [0] END) AS copies(copy))
+        FROM (SELECT *, row_number() OVER () AS place FROM lineitem), unnest(CASE WHEN l_orderkey % 100 = 3 THEN [0, 1] ELSE [0] END) AS copies(copy))
   JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey
   JOIN nation ON n_nationkey = CASE WHEN o_orderkey % 50 = 7 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END),
 trimmed AS (
   SELECT trim("InvoiceNo") AS "InvoiceNo", trim("StockCode") AS "StockCode", trim("Description") AS "Description",
-         "Quantity", "InvoiceDate", "UnitPrice", "CustomerID", trim("Country") AS "Country"
+         "Quantity", "InvoiceDate", "UnitPrice", "CustomerID", trim("Country") AS "Country", pos
   FROM sheet),
 kept AS (
   SELECT *, "InvoiceNo" LIKE 'C%' AS is_cancellation FROM trimmed
   WHERE "Description" IS NOT NULL AND "Description" <> 'nan' AND "UnitPrice" > 0),
-clean AS (SELECT DISTINCT * FROM kept),
+clean AS (SELECT DISTINCT * EXCLUDE (pos) FROM kept),
 s_countries AS (
   SELECT row_number() OVER (ORDER BY name) AS country_id, name FROM (SELECT DISTINCT "Country" AS name FROM clean)),
 s_customers AS (
@@ -211,6 +211,31 @@ _STEPS = """
   UNION ALL SELECT 8, 'products', (SELECT count(*) FROM s_products)
   UNION ALL SELECT 9, 'invoices', (SELECT count(*) FROM s_invoices)
   UNION ALL SELECT 10, 'invoice_items', (SELECT count(*) FROM clean)"""
+# The sheet as exported, with lines that cannot be loaded.
+_EXPORT = """, exported AS (
+  SELECT * REPLACE (trim("InvoiceNo") AS "InvoiceNo", trim("Description" || ' "A", B') AS "Description"),
+         CAST(regexp_extract("InvoiceNo", '[0-9]+') AS BIGINT) % 40 AS rest FROM sheet),
+reasons AS (
+  SELECT CASE rest WHEN 0 THEN 'unreadable line' WHEN 1 THEN 'unreadable line' WHEN 2 THEN 'missing quantity'
+              WHEN 4 THEN 'price out of range' WHEN 5 THEN 'key too long' END AS reason FROM exported),
+e_kept AS (
+  SELECT * EXCLUDE (pos, rest), "InvoiceNo" LIKE 'C%' AS is_cancellation FROM exported
+  WHERE rest NOT IN (0, 1, 2, 4, 5) AND "Description" IS NOT NULL AND "UnitPrice" > 0),
+e_clean AS (SELECT DISTINCT * FROM e_kept)
+"""
+_EXPORT_STEPS = """
+  SELECT 'raw' AS step, (SELECT count(*) FROM exported) AS rows
+  UNION ALL SELECT 'quarantined', (SELECT count(reason) FROM reasons)
+  UNION ALL SELECT 'before duplicate removal', (SELECT count(*) FROM e_kept)
+  UNION ALL SELECT 'duplicates removed', (SELECT count(*) FROM e_kept) - (SELECT count(*) FROM e_clean)
+  UNION ALL SELECT 'clean', (SELECT count(*) FROM e_clean)
+  UNION ALL SELECT 'countries', (SELECT count(DISTINCT "Country") FROM e_clean)
+  UNION ALL SELECT 'customers', (SELECT count(DISTINCT "CustomerID") FROM e_clean)
+  UNION ALL SELECT 'products', (SELECT count(DISTINCT "StockCode") FROM e_clean)
+  UNION ALL SELECT 'invoices', (SELECT count(DISTINCT "InvoiceNo") FROM e_clean)
+  UNION ALL SELECT 'invoice_items', (SELECT count(*) FROM e_clean)
+  UNION ALL SELECT 'aside: ' || reason, count(*) FROM reasons WHERE reason IS NOT NULL GROUP BY reason
+  UNION ALL SELECT 'aside, one column', (SELECT count(reason) FROM reasons)"""
 _REPORT = """
   SELECT 1 AS step_no, 'rows in the source' AS step, (SELECT count(*) FROM sheet) AS rows
   UNION ALL SELECT 2, 'set aside', 0
@@ -351,8 +376,7 @@ ORACLE: dict[str, str] = {
         {', '.join(f'"{c}"' for c in _SHEET_COLUMNS if c != 'CustomerID')} FROM clean"""),
     "global_ntile": _star(f"SELECT invoice_no, {money('cents')} AS order_total, ntile(7) OVER (ORDER BY cents, invoice_no) AS part FROM totals"),
     "exact_percentile": _star(f""", ranked AS (SELECT cents, row_number() OVER (ORDER BY cents) - 1 AS n FROM totals)
-      SELECT {money('(SELECT cents FROM ranked WHERE n = (total - 1) // 4)')} AS exact_low,
-             ({_percentile('0.9')}) AS p90 FROM (SELECT count(*) AS total FROM totals)"""),
+      SELECT round(({_percentile('0.25')}), 4) AS p25, ({_percentile('0.9')}) AS p90 FROM (SELECT count(*) AS total FROM totals)"""),
     "top_pairs": _star(_PAIRS),
     # cleaning
     "trim_strings": _lines("trimmed"),
@@ -373,20 +397,34 @@ ORACLE: dict[str, str] = {
     "build_customers": _sheet("SELECT customer_id, country_id FROM s_customers"),
     "build_products": _sheet("SELECT stock_code, description FROM s_products"),
     "build_invoices": _sheet("SELECT * FROM s_invoices"),
-    "build_items": _sheet("""SELECT "InvoiceNo" AS invoice_no, "StockCode" AS stock_code,
-        CAST("Quantity" AS BIGINT) AS quantity, "UnitPrice" AS unit_price FROM clean"""),
+    "build_items": _sheet("""SELECT row_number() OVER (ORDER BY min(pos)) AS item_id, "InvoiceNo" AS invoice_no,
+        "StockCode" AS stock_code, CAST("Quantity" AS BIGINT) AS quantity, "UnitPrice" AS unit_price
+      FROM kept GROUP BY "InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID", "Country"
+      """),
     "lookup_country": _sheet("""SELECT DISTINCT "InvoiceNo", country_id FROM clean JOIN s_countries ON name = "Country" """),
     # rules
     **{name: f"WITH {BROKEN} {' UNION ALL '.join(rules)}" for name, rules in _RULES.items()},
     "check_constraints": f"WITH {SHEET} {_CLEAN_TABLES} {_ALL_RULES}",
     # sources and sinks
     "read_sales": _lines("sheet"),
+    "read_exported_sales": _sheet(f"""{_EXPORT} SELECT * REPLACE ({_INT_CUSTOMER} AS "CustomerID",
+        CAST("Quantity" AS BIGINT) AS "Quantity") FROM e_clean"""),
+    "load_exported_sales": _sheet(_EXPORT + _EXPORT_STEPS),
+    "split_order": "SELECT count(*) AS rows, count(*) AS ids, 0 AS misplaced FROM lineitem",
     "source_order": "SELECT count(*) AS rows, count(*) AS numbers, 0 AS first, count(*) - 1 AS last FROM lineitem",
     "write_tables": _star(_TABLE_ROWS.replace("{}", "count(*)")),
     "table_scan": _star(f"SELECT invoice_no, invoice_date, customer_id, {_big('country_id')}, is_cancellation FROM invoices"),
     "append_new_keys": _star("SELECT customer_id, CAST(CASE WHEN customer_id % 2 = 0 THEN country_id ELSE country_id + 1 END AS BIGINT) AS country_id FROM customers"),
+    "append_sales": _sheet(" UNION ALL ".join([
+        *(f"SELECT '{t}' AS table_name, count(*) AS rows FROM s_{t}" for t in ("countries", "customers", "products", "invoices")),
+        *(f"SELECT '{t}', count(*) FROM clean" for t in ("invoice_items", "last item", "distinct items"))])),
     "reset_tables": _star(_TABLE_ROWS.replace("{}", "count(*) FILTER (WHERE false)")),
     "physical_layout": _star(f"SELECT invoice_no, invoice_date, customer_id, {_big('country_id')}, {money('cents')} AS order_total, {_big('units')} FROM totals"),
+    "range_layout": _star(f"SELECT invoice_no, invoice_date, customer_id, {_big('country_id')}, {money('cents')} AS order_total, {_big('units')} FROM totals"),
+    "all_views": _star(" UNION ALL ".join(
+        f"SELECT '{view}' AS view, count(*) AS rows, {money('sum(cents)')} AS total FROM {cte}" for view, cte in (
+            ("v_order_totals", "totals"), ("v_monthly_revenue", "months"), ("v_country_revenue", "per_country"),
+            ("v_product_performance", "performance"), ("v_customer_rfm", "rfm")))),
     "register_views": _star(f"SELECT month, orders, {money('cents')} AS revenue FROM months"),
     "run_query": _star(f"SELECT country, orders, {money('cents')} AS revenue FROM per_country WHERE orders >= 40"),
 }

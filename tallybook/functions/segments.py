@@ -5,22 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The first rule that holds names the segment.
-# (name, recency score at least, at most, frequency + spend score at least, at most)
-SEGMENT_RULES = [
-    ("Champions", 4, 5, 8, 10),
-    ("Loyal", 3, 5, 6, 10),
-    ("New / Promising", 4, 5, 2, 5),
-    ("At Risk", 1, 2, 7, 10),
-    ("Lost", 1, 2, 2, 4),
-]
 OTHER_SEGMENT = "Regular"
 
 
 def rfm_segment(r: str = "r", f: str = "f", m: str = "m") -> Column:
+    """The first rule that holds names the segment."""
     recency, value = F.col(r), F.col(f) + F.col(m)
-    label = F.lit(OTHER_SEGMENT)
-    for name, r_low, r_high, v_low, v_high in reversed(SEGMENT_RULES):
-        fits = recency.between(r_low, r_high) & value.between(v_low, v_high)
-        label = F.when(fits, name).otherwise(label)
-    return label
+    # Fixed values.
+    return (
+        F.when((recency >= 4) & (value >= 8), "Champions")
+        .when((recency >= 3) & (value >= 6), "Loyal")
+        .when((recency >= 4) & (value <= 5), "New / Promising")
+        .when((recency <= 2) & (value >= 7), "At Risk")
+        .when((recency <= 2) & (value <= 4), "Lost")
+        .otherwise(OTHER_SEGMENT)
+    )

@@ -31,8 +31,10 @@ SMALL_BASKET = 64
 SEED_ITEMS = 256
 #: Below this many pairs per line, listing all of them is cheaper than a floor.
 CHEAP_PAIRS_PER_LINE = 8
-#: A large basket's pairs are listed in this many separate blocks.
-BLOCKS = 16
+#: A large basket's pairs are listed in blocks of about this many.
+BLOCK_PAIRS = 1 << 18
+#: Blocks are dealt to this many tasks at most.
+MOST_TASKS = 1 << 14
 
 _SLACK = 1 + 1e-9  # keeps a bound from being rounded below the true value
 
@@ -133,11 +135,20 @@ def _count_large(lines: DataFrame, norms: DataFrame, floor: _Floor) -> DataFrame
     tagged = lines.join(norms.select("item", "norm_large").filter(floor.reachable(item_bound)), "item")
     left, right = _sides(tagged, "norm_large")
     left = left.filter(floor.reachable_as_first(_bound(F.col("norm_large_a"), F.lit(top)), F.col("a")))
-    # One basket's pairs are spread over BLOCKS x shuffle partitions. The number is
-    # given, so that blocks which are small in bytes but long to pair stay apart.
-    left = left.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(BLOCKS)).cast("int"))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A basket of n lines has up to n * n / 2 pairs, cut into blocks of at most about
+    # BLOCK_PAIRS by a hash of the first item. The number of tasks follows the pairs,
+    # so blocks that are small in bytes but long to pair stay apart.
+    sizes = tagged.groupBy("basket").agg(F.count(F.lit(1)).cast("double").alias("_size"))
+    share = F.col("_size") * F.col("_size") / (2 * BLOCK_PAIRS)
+    sizes = sizes.select("basket", F.ceil(share).cast("int").alias("_blocks"), share.alias("_share"))
+    sizes = materialize(sizes, "basket-blocks")
+    total = math.ceil(sizes.agg(F.sum("_share")).first()[0] or 0)
+    sizes = sizes.drop("_share")
+    parts = min(MOST_TASKS, max(total, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    block = F.pmod(F.xxhash64("a"), F.col("_blocks").cast("bigint")).cast("int")
+    left = left.join(sizes, "basket").withColumn("block", block).drop("_blocks")
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    right = right.join(sizes, "basket").withColumn("block", every).drop("_blocks")
     left = left.repartition(parts, "basket", "block")
     right = right.repartition(parts, "basket", "block")
     open_pair = floor.reachable_pair(_bound(F.col("norm_large_a"), F.col("norm_large_b")), F.col("a"), F.col("b"))

@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from tallybook.functions.text import MISSING_TEXT, strip
 from tallybook.model import COPIES, CORRUPT, RAW_COLUMNS, SOURCE_ORDER
 
+# The sheet's text columns.
 TEXT_COLUMNS = ["InvoiceNo", "StockCode", "Description", "Country"]
 KEY_COLUMNS = ["InvoiceNo", "StockCode", "Country"]
 CLEAN_COLUMNS = [*RAW_COLUMNS, "is_cancellation"]
+REASON = "reason"
+# The longest keys the tables hold, and the first price that rounds
+# to more than DECIMAL(10,2) holds.
+KEY_LENGTHS = {"InvoiceNo": 20, "StockCode": 20, "Country": 64}
+PRICE_LIMIT = 99_999_999.995
 
 
 def trim_strings(raw: DataFrame) -> DataFrame:
@@ -34,15 +40,40 @@ def _fractional_customer() -> Column:
     return F.coalesce(customer != F.floor(customer), F.lit(False))
 
 
+def _too_long() -> Column:
+    long = F.lit(False)
+    for key, most in KEY_LENGTHS.items():
+        long = long | F.coalesce(F.char_length(strip(key)) > most, F.lit(False))
+    return long
+
+
+def _price_out_of_range() -> Column:
+    price = F.nanvl(F.col("UnitPrice"), F.lit(None).cast("double"))
+    return F.coalesce(price >= PRICE_LIMIT, F.lit(False))
+
+
 def quarantine_reason(raw: DataFrame, null_keys: str = "quarantine") -> Column:
-    """Why a raw row cannot be loaded; null when it can."""
+    """Why a raw row cannot be loaded; null when it can.
+
+    Every rule that the tables have for single rows is one of the reasons, so what
+    is left can be loaded. A column ``reason`` that is there already is taken.
+    """
+    if REASON in raw.columns:
+        return F.col(REASON)
     reason = F.when(_unreadable(raw), "unreadable line").when(_fractional_customer(), "fractional customer")
-    return reason if null_keys == "text" else reason.when(_missing_keys(), "missing key")
+    if null_keys != "text":
+        reason = reason.when(_missing_keys(), "missing key")
+    return (
+        reason.when(F.col("Quantity").isNull(), "missing quantity")
+        .when(F.col("InvoiceDate").isNull(), "missing date")
+        .when(_too_long(), "key too long")
+        .when(_price_out_of_range(), "price out of range")
+    )
 
 
 def quarantined(raw: DataFrame, null_keys: str = "quarantine") -> DataFrame:
-    """The rows that cleaning sets aside, each with its reason; nothing is dropped unseen."""
-    return raw.withColumn("reason", quarantine_reason(raw, null_keys)).filter(F.col("reason").isNotNull())
+    """The rows that cleaning sets aside, each with its reason."""
+    return raw.withColumn(REASON, quarantine_reason(raw, null_keys)).filter(F.col(REASON).isNotNull())
 
 
 def null_as_text(raw: DataFrame) -> DataFrame:

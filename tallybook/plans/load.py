@@ -1,24 +1,54 @@
-"""The whole load: raw sheet to written tables, with the row counts of each step."""
+"""The whole load: raw sheet to written tables, with the row counts of each step.
+
+The raw rows are written once, each with the reason why it cannot be loaded, if
+there is one; cleaning, the rows set aside and all counts are made from that.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallybook.model import COPIES, RetailTables
+from tallybook.model import COPIES, CORRUPT, RAW_SCHEMA, SOURCE_ORDER, RetailTables
 from tallybook.operators.scratch import materialize
-from tallybook.plans.clean import clean_sales, quarantine_reason
+from tallybook.plans.clean import REASON, clean_sales, quarantine_reason, quarantined
 from tallybook.plans.normalize import build_countries, normalize
-from tallybook.sources.tables import append_new_keys, new_keys, table_scan, write_tables
+from tallybook.plans.quality import row_violations
+from tallybook.sources.tables import (
+    added_rows,
+    commit_load,
+    committed_loads,
+    load_path,
+    new_keys,
+    new_load_id,
+    read_tables,
+    table_scan,
+    write_load,
+)
+
+_EXTRA = [(CORRUPT, T.StringType()), (SOURCE_ORDER, T.LongType()), (REASON, T.StringType())]
+SET_ASIDE = T.StructType([*RAW_SCHEMA.fields, *(T.StructField(n, t) for n, t in _EXTRA)])
+COUNTS = "step_no int, step string, rows bigint"
 
 
 @dataclass(frozen=True)
 class Load:
-    clean: DataFrame
+    """What a load did. ``clean`` is None if the load had been done before."""
+
+    clean: DataFrame | None
     tables: RetailTables
     counts: DataFrame
+    set_aside: DataFrame
+
+
+def _staged(raw: DataFrame, null_keys: str) -> DataFrame:
+    """The raw rows with their reason, written once."""
+    if REASON in raw.columns:
+        return raw
+    return materialize(raw.withColumn(REASON, quarantine_reason(raw, null_keys)), "raw")
 
 
 def _raw_counts(raw: DataFrame, null_keys: str) -> Column:
@@ -46,7 +76,7 @@ def load_counts(raw: DataFrame, clean: DataFrame, tables: RetailTables, null_key
     The counts come from the data and not from counters filled while writing: a
     task that is run again after a lost executor would count twice there. Rows
     before duplicate removal are the copies of the cleaned lines; tables are
-    counted from the footers of their files.
+    counted from the footers of the files that the load wrote.
     """
     source, copies, kept = F.col("source"), F.col("copies"), F.col("kept")
     counts = _clean_counts(clean).withColumn("source", _raw_counts(raw, null_keys))
@@ -75,39 +105,92 @@ def cleaning_report(raw: DataFrame, clean: DataFrame, null_keys: str = "quaranti
     return _as_steps(counts, steps)
 
 
-def load_sales(raw: DataFrame, folder: str, contiguous_ids: bool = False, null_keys: str = "quarantine") -> Load:
-    """Clean once, write the five tables, count every step."""
-    clean = materialize(clean_sales(raw, null_keys), "clean")
+def _set_aside_columns(staged: DataFrame) -> DataFrame:
+    there = set(staged.columns)
+    columns = [F.col(f.name) if f.name in there else F.lit(None).cast(f.dataType).alias(f.name) for f in SET_ASIDE]
+    return staged.select(*columns)
+
+
+def set_aside_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows that the committed loads set aside, each with its reason."""
+    return table_scan(spark, folder, "set_aside", SET_ASIDE)
+
+
+def _published(
+    staged: DataFrame, clean: DataFrame, incoming: RetailTables, folder: str, load_id: str, fresh: bool
+) -> Load:
+    """Write all of a load, check it, and only then make it count."""
+    spark = staged.sparkSession
+    aside = _set_aside_columns(quarantined(staged))
+    aside.write.mode("overwrite").parquet(load_path(folder, "set_aside", load_id))
+    written = write_load(incoming, folder, load_id)
+    broken = row_violations(written).filter("violations > 0").collect()
+    if broken:
+        found = ", ".join(f"{r['table_name']} {r['rule']}: {r['violations']}" for r in broken)
+        raise ValueError(f"load {load_id} is not published, its rows break rules: {found}")
+    counts = load_counts(staged, clean, written)
+    counts.write.mode("overwrite").parquet(load_path(folder, "counts", load_id))
+    commit_load(spark, folder, load_id, fresh)
+    return _reported(spark, clean, folder, load_id)
+
+
+def _reported(spark: SparkSession, clean: DataFrame | None, folder: str, load_id: str) -> Load:
+    counts = spark.read.schema(COUNTS).parquet(load_path(folder, "counts", load_id))
+    aside = spark.read.schema(SET_ASIDE).parquet(load_path(folder, "set_aside", load_id))
+    return Load(clean, read_tables(spark, folder), counts, aside)
+
+
+def load_sales(
+    raw: DataFrame,
+    folder: str,
+    contiguous_ids: bool = False,
+    null_keys: str = "quarantine",
+    load_id: str | None = None,
+) -> Load:
+    """Clean once, write the five tables and the rows set aside, count every step.
+
+    Takes the place of what the folder had. Nothing of it counts before all is
+    written and its rows keep the rules of the tables.
+    """
+    staged = _staged(raw, null_keys)
+    clean = materialize(clean_sales(staged, null_keys), "clean")
     countries = materialize(build_countries(clean), "countries")
-    tables = write_tables(normalize(clean, contiguous_ids, countries), folder)
-    return Load(clean, tables, load_counts(raw, clean, tables, null_keys))
+    incoming = normalize(clean, contiguous_ids, countries)
+    return _published(staged, clean, incoming, folder, load_id or new_load_id(), fresh=True)
 
 
-def _extend_countries(clean: DataFrame, folder: str) -> DataFrame:
-    """Add the names that are not there yet, numbered on, and read all ids back."""
-    spark = clean.sparkSession
-    known = table_scan(spark, folder, "countries")
+def _new_countries(clean: DataFrame, known: DataFrame) -> DataFrame:
+    """The names that are not there yet, numbered on."""
     last = known.agg(F.coalesce(F.max("country_id"), F.lit(0))).scalar()
     names = clean.select(F.col("Country").alias("name")).distinct()
-    fresh = build_countries(new_keys(names, known, "name").withColumnRenamed("name", "Country"))
-    numbered = fresh.select((F.col("country_id") + last).alias("country_id"), "name")
-    # Written before it is appended, because it reads the folder it goes to.
-    materialize(numbered, "new-countries").write.mode("append").parquet(f"{folder}/countries")
-    return table_scan(spark, folder, "countries")
+    fresh = build_countries(new_keys(names, known, "name", None).withColumnRenamed("name", "Country"))
+    return fresh.select((F.col("country_id") + last).cast("int").alias("country_id"), "name")
 
 
-def append_sales(raw: DataFrame, folder: str, null_keys: str = "quarantine") -> Load:
-    """Load another sheet into existing tables.
+def append_sales(
+    raw: DataFrame,
+    folder: str,
+    contiguous_ids: bool = False,
+    null_keys: str = "quarantine",
+    load_id: str | None = None,
+) -> Load:
+    """Load another sheet into existing tables; the counts are those of this load.
 
     Countries, customers, products and invoices that are there already stay as they
     are; new ones are added, with the country ids of the existing table. All lines
-    are added, numbered on from the last item.
+    are added, numbered on from the last item. Without a ``load_id`` the same sheet
+    loaded twice doubles its lines; with one, a load that is in the log is not done
+    again, and one that failed is done over.
     """
-    clean = materialize(clean_sales(raw, null_keys), "clean")
-    countries = _extend_countries(clean, folder)
-    incoming = normalize(clean, countries=countries)
-    items = table_scan(raw.sparkSession, folder, "invoice_items")
-    last = items.agg(F.coalesce(F.max("item_id"), F.lit(0).cast("bigint"))).scalar()
+    spark, load_id = raw.sparkSession, load_id or new_load_id()
+    if load_id in committed_loads(spark, folder):
+        return _reported(spark, None, folder, load_id)
+    staged = _staged(raw, null_keys)
+    clean = materialize(clean_sales(staged, null_keys), "clean")
+    existing = read_tables(spark, folder)
+    fresh = materialize(_new_countries(clean, existing.countries), "new-countries")
+    incoming = normalize(clean, contiguous_ids, existing.countries.union(fresh))
+    last = existing.invoice_items.agg(F.coalesce(F.max("item_id"), F.lit(0).cast("bigint"))).scalar()
     numbered = incoming.invoice_items.withColumn("item_id", F.col("item_id") + last)
-    tables = append_new_keys(replace(incoming, invoice_items=numbered), folder)
-    return Load(clean, tables, load_counts(raw, clean, tables, null_keys))
+    added = added_rows(replace(incoming, countries=fresh, invoice_items=numbered), existing)
+    return _published(staged, clean, added, folder, load_id, fresh=False)

@@ -12,10 +12,14 @@ from tallybook.operators.pairs import top_pairs
 from tallybook.plans.views import lines_of, sales_invoices, sales_per_product, with_description
 
 
+def listed_products(df: DataFrame, tables: RetailTables) -> DataFrame:
+    """Rows per product whose code is in the product table."""
+    return df.join(tables.products.select("stock_code"), "stock_code", "left_semi")
+
+
 def _top(df: DataFrame, by: str, n: int, tables: RetailTables, *columns: str) -> DataFrame:
-    """The n best codes; only these meet the product table, which has every code
-    that is sold (fk_exists checks it)."""
-    best = df.orderBy(F.desc(by), "stock_code").limit(n)
+    """The n best codes; only these fetch their descriptions."""
+    best = listed_products(df, tables).orderBy(F.desc(by), "stock_code").limit(n)
     return with_description(best, tables, *columns).orderBy(F.desc(by), "stock_code")
 
 
@@ -38,9 +42,8 @@ def slow_movers(tables: RetailTables, max_units: int = 10, n: int = 30) -> DataF
         .groupBy("stock_code")
         .agg(F.sum("_units").alias("units_sold"), rows("appearances"))
         .filter(F.col("units_sold") < max_units)
-        .orderBy("units_sold", "stock_code")
-        .limit(n)
     )
+    slow = listed_products(slow, tables).orderBy("units_sold", "stock_code").limit(n)
     return with_description(slow, tables, "units_sold", "appearances").orderBy("units_sold", "stock_code")
 
 
@@ -61,7 +64,8 @@ def return_rate(tables: RetailTables, min_sold: int = 50, n: int = 20) -> DataFr
     )
     rate = percent(F.col("returned"), F.col("sold")).alias("return_rate_pct")
     order = [F.desc_nulls_last("return_rate_pct"), F.col("stock_code")]
-    worst = units.select("stock_code", "sold", "returned", rate).orderBy(*order).limit(n)
+    rates = listed_products(units, tables).select("stock_code", "sold", "returned", rate)
+    worst = rates.orderBy(*order).limit(n)
     return with_description(worst, tables, "sold", "returned", "return_rate_pct").orderBy(*order)
 
 

@@ -34,29 +34,48 @@ MAX_LENGTH = {
 }
 
 
-def _result(violations: DataFrame, table: str, rule: str) -> DataFrame:
-    return violations.select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "violations")
-
-
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, frames)
 
 
-def _repeats(df: DataFrame, key: str) -> DataFrame:
-    """How many key values occur more than once; the count folds on the map side."""
-    uses = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_uses"))
-    return uses.agg(F.count_if(F.col("_uses") > 1).alias("violations"))
+def _key_uses(tables: RetailTables, sources: list[tuple[str, str]]) -> DataFrame:
+    """One row per value of a key: how often it occurs in each of the columns.
+
+    The rows of all columns are counted in one aggregation; the counts fold on the map side, so a key that a large part of all
+    rows point to is one row per task in the shuffle.
+    """
+    rows = [
+        getattr(tables, t).select(F.col(c).alias("_key"), *(F.lit(int(j == i)).alias(f"_{j}") for j in range(len(sources))))
+        for i, (t, c) in enumerate(sources)
+    ]
+    used = _union(rows).filter(F.col("_key").isNotNull()).groupBy("_key")
+    return used.agg(*(F.sum(f"_{j}").alias(f"_{j}") for j in range(len(sources))))
+
+
+def _pointing_to(table: str, key: str) -> list[tuple[str, str]]:
+    return [(t, c) for t, c, to, k in FOREIGN_KEYS if (to, k) == (table, key)]
 
 
-def _orphans(df: DataFrame, column: str, target: DataFrame, key: str) -> DataFrame:
-    """How many rows point to a key that is not there; a null points nowhere and passes.
+def _key_rules(tables: RetailTables, table: str, key: str, unique: bool, exists: bool) -> DataFrame:
+    """Violations of the rules about one key, from one aggregation.
 
-    Rows are counted per key before the join, so a key that a large part of all
-    rows point to is one row in it.
+    Unique: how many values occur more than once. Exists: how many rows point to a
+    value that is not there; a null points nowhere and passes.
     """
-    uses = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_key")).agg(F.count(F.lit(1)).alias("_uses"))
-    missing = uses.join(target.select(F.col(key).alias("_key")), "_key", "left_anti")
-    return missing.agg(F.coalesce(F.sum("_uses"), F.lit(0)).alias("violations"))
+    rules, sources = {}, [(table, key)]
+    if unique:
+        rules[(table, f"unique({key})")] = F.count_if(F.col("_0") > 1)
+    if exists:
+        sources += _pointing_to(table, key)
+        for j, (t, c) in enumerate(_pointing_to(table, key), 1):
+            missing = F.sum(F.when(F.col("_0") == 0, F.col(f"_{j}")).otherwise(0))
+            rules[(t, f"exists({c} in {table})")] = F.coalesce(missing, F.lit(0))
+    counted = _key_uses(tables, sources).agg(*(v.alias(f"v{i}") for i, v in enumerate(rules.values())))
+    entries = [
+        F.struct(F.lit(t).alias("table_name"), F.lit(rule).alias("rule"), F.col(f"v{i}").alias("violations"))
+        for i, (t, rule) in enumerate(rules)
+    ]
+    return counted.select(F.inline(F.array(*entries)))
 
 
 def _row_rules(df: DataFrame, table: str, rules: dict[str, Column]) -> DataFrame:
@@ -67,16 +86,12 @@ def _row_rules(df: DataFrame, table: str, rules: dict[str, Column]) -> DataFrame
 
 
 def pk_unique(tables: RetailTables) -> DataFrame:
-    return _union([_result(_repeats(getattr(tables, t), key), t, f"unique({key})") for t, key in UNIQUE_KEYS])
+    return _union([_key_rules(tables, t, key, unique=True, exists=False) for t, key in UNIQUE_KEYS])
 
 
 def fk_exists(tables: RetailTables) -> DataFrame:
-    return _union(
-        [
-            _result(_orphans(getattr(tables, t), column, getattr(tables, to), key), t, f"exists({column} in {to})")
-            for t, column, to, key in FOREIGN_KEYS
-        ]
-    )
+    targets = dict.fromkeys((to, key) for _, _, to, key in FOREIGN_KEYS)
+    return _union([_key_rules(tables, to, key, unique=False, exists=True) for to, key in targets])
 
 
 def _null_rules(table: str) -> dict[str, Column]:
@@ -112,7 +127,15 @@ def max_length(tables: RetailTables) -> DataFrame:
     return _row_checks(tables, _length_rules)
 
 
+def row_violations(tables: RetailTables) -> DataFrame:
+    """The rules on single rows, in one pass over each table."""
+    return _row_checks(tables, _null_rules, _price_rules, _length_rules)
+
+
 def check_constraints(tables: RetailTables) -> DataFrame:
-    """Every rule; a clean load has zero violations everywhere."""
-    row_rules = _row_checks(tables, _null_rules, _price_rules, _length_rules)
-    return _union([pk_unique(tables), fk_exists(tables), row_rules])
+    """Every rule; a clean load has zero violations everywhere.
+
+    A key's uniqueness and the references to it share one aggregation.
+    """
+    keys = [_key_rules(tables, t, key, unique=True, exists=True) for t, key in UNIQUE_KEYS]
+    return _union([*keys, row_violations(tables)])

@@ -12,10 +12,11 @@ from tallybook.model import HOME_COUNTRY, RetailTables
 from tallybook.plans.customers import rfm_labelled
 from tallybook.plans.markets import revenue_by_country
 from tallybook.plans.operations import monthly_cancellations
-from tallybook.plans.products import top_products_revenue
+from tallybook.plans.products import listed_products, top_products_revenue
 from tallybook.plans.trends import previous_month, revenue_by_month, weekday_hour_orders
 from tallybook.plans.views import (
     country_revenue,
+    customer_rfm,
     monthly_revenue,
     order_totals,
     sales_per_product,
@@ -52,8 +53,9 @@ def overview_top_countries(tables: RetailTables, n: int = 5) -> DataFrame:
 
 
 def rfm_kpis(tables: RetailTables, labelled: DataFrame | None = None) -> DataFrame:
+    """Averages over customers; no scores are needed for them."""
     customers = F.count(F.lit(1)).cast("double")
-    return (labelled or rfm_labelled(tables)).agg(
+    return (labelled or customer_rfm(tables)).agg(
         rows("customers"),
         (F.sum("recency_days") / customers).alias("avg_recency_days"),
         (F.sum("monetary").cast("double") / customers).alias("avg_spend"),
@@ -93,7 +95,7 @@ def products_top(tables: RetailTables, n: int = 20) -> DataFrame:
 
 def products_kpis(tables: RetailTables) -> DataFrame:
     """How many products sold, and the revenue of the best one."""
-    sold = sales_per_product(tables).join(tables.products, "stock_code", "left_semi")
+    sold = listed_products(sales_per_product(tables), tables)
     return sold.agg(rows("products_sold"), F.max("revenue").alias("top_product_revenue"))
 
 
@@ -102,7 +104,8 @@ def products_slow(tables: RetailTables, lo: int = 0, hi: int = 10, n: int = 25)
     that outweigh sales do not show."""
     units = F.col("units_sold")
     order = ["units_sold", "stock_code"]
-    slow = sales_per_product(tables).filter((units > lo) & (units < hi)).orderBy(*order).limit(n)
+    sold = sales_per_product(tables).filter((units > lo) & (units < hi))
+    slow = listed_products(sold, tables).orderBy(*order).limit(n)
     return with_description(slow, tables, "units_sold", "revenue").orderBy(*order)
 
 

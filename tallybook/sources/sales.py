@@ -2,70 +2,100 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybook.model import CORRUPT, RAW_SCHEMA, SOURCE_ORDER
+from tallybook.model import CORRUPT, RAW_COLUMNS, RAW_SCHEMA, SOURCE_ORDER
+from tallybook.operators.scratch import materialize
 
-# Layout of the source-order number: which file, then where in the file.
-_POSITION_BITS = 43
-_MAX_FILES = 1 << (63 - _POSITION_BITS)
 _ROW_BITS = 33  # row within a scan task, from monotonically_increasing_id
+_EPOCH = "1970-01-01 00:00:00"
 
 
-def read_sales(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_sales(
+    spark: SparkSession,
+    path: str,
+    fmt: str = "csv",
+    timestamp_format: str | None = None,
+    multi_line: bool = False,
+) -> DataFrame:
     """Scan the sheet with its fixed schema and number the rows in source order.
 
+    CSV is read as RFC 4180 writes it: quotes inside quoted text are doubled. Text
+    with line breaks needs ``multi_line``, which reads each file in one task.
+    ``timestamp_format`` is a Spark datetime pattern, such as ``M/d/yyyy H:mm``;
+    without one the dates are ISO 8601.
+
     A CSV line that does not fit the schema is kept as text in the corrupt-record
-    column instead of stopping the load; cleaning sets such lines aside.
+    column, with nulls where a value does not fit; cleaning sets such lines aside.
+    All of it is ordinary columns, so no later selection of columns changes which
+    lines count as unreadable.
     """
     if fmt == "parquet":
         return with_source_order(spark.read.schema(RAW_SCHEMA).parquet(path))
     if fmt == "csv":
-        schema = T.StructType([*RAW_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+        text = T.StructType([T.StructField(c, T.StringType()) for c in (*RAW_COLUMNS, CORRUPT)])
         sheet = (
-            spark.read.schema(schema)
+            spark.read.schema(text)
             .option("header", True)
             .option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", CORRUPT)
+            .option("columnPruning", False)  # else a line is only checked as far as columns are asked for
+            .option("escape", '"')
+            .option("multiLine", multi_line)
             .csv(path)
         )
-        return with_source_order(sheet, fmt="csv")
+        return _typed(with_source_order(sheet, fmt="csv"), timestamp_format)
     raise ValueError(f"unsupported format: {fmt}")
 
 
-def _position_in_file(fmt: str) -> Column:
-    if fmt == "parquet":
-        return F.col("_metadata.row_index")
-    # CSV has no row index. The rows of one split follow its first byte, and a row
-    # takes at least one byte, so split start + row number keeps the order.
-    row = F.monotonically_increasing_id().bitwiseAND((1 << _ROW_BITS) - 1)
-    return F.col("_metadata.file_block_start") + row
+def _timestamp(text: Column, pattern: str | None) -> Column:
+    """Wall-clock time; read as if in UTC, so no time zone moves it or has a gap in it."""
+    if pattern is None:
+        return text.try_cast("timestamp_ntz")
+    instant = F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{pattern} xx"))
+    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_seconds(instant).cast("decimal(18,6)"))
+    return F.lit(_EPOCH).cast("timestamp_ntz") + since
+
+
+def _typed(lines: DataFrame, timestamp_format: str | None) -> DataFrame:
+    """Text columns as the types of the sheet; what does not fit goes to the corrupt-record column."""
+    typed = {}
+    for field in RAW_SCHEMA.fields:
+        text = F.col(field.name)
+        if isinstance(field.dataType, T.TimestampNTZType):
+            typed[field.name] = _timestamp(text, timestamp_format)
+        elif not isinstance(field.dataType, T.StringType):
+            typed[field.name] = text.try_cast(field.dataType)
+    misfit = reduce(Column.__or__, (F.col(c).isNotNull() & value.isNull() for c, value in typed.items()))
+    line = F.coalesce(F.col(CORRUPT), F.when(misfit, F.to_csv(F.struct(*RAW_COLUMNS))))
+    return lines.withColumns({**typed, CORRUPT: line}).select(*RAW_COLUMNS, CORRUPT, SOURCE_ORDER)
 
 
 def with_source_order(scan: DataFrame, out: str = SOURCE_ORDER, fmt: str = "parquet") -> DataFrame:
-    """Number the rows of a file scan in source order: files by name, then by position.
+    """Number the rows of a file scan 0, 1, ... in source order: files by name, then by position.
 
-    The number is one BIGINT, unique and increasing but not contiguous. Taking the
-    minimum of a BIGINT keeps aggregations in hash mode; a (file, row) pair would
-    make Spark sort instead.
+    Rows are counted per file (Parquet, which has row numbers) or per split of a
+    file (CSV), and a row's number is its place there plus the counts before. CSV
+    rows have no place of their own but follow each other in the task that reads
+    their split, whatever else it reads, so they are written once with the place
+    they were read at. Runs a job while the frame is built.
     """
-    files = sorted(scan.inputFiles())
-    if len(files) > _MAX_FILES:
-        raise ValueError(f"more than {_MAX_FILES} files; compact the sheet first")
-    located = scan.withColumn("_position", _position_in_file(fmt))
-    if len(files) <= 1:
-        return located.withColumnRenamed("_position", out)
-    # One short row per file, and the number of files was checked above.
-    paths = scan.sparkSession.createDataFrame(
-        list(zip(files, range(len(files)), strict=True)), "_file string, _ordinal bigint"
-    )
-    known = F.col("_ordinal").isNotNull()
-    ordinal = F.when(known, F.col("_ordinal")).otherwise(F.raise_error(F.concat(F.lit("unlisted file "), F.col("_file"))))
-    return (
-        located.withColumn("_file", F.input_file_name())
-        .join(F.broadcast(paths), "_file", "left")
-        .withColumn(out, F.shiftleft(ordinal.cast("bigint"), _POSITION_BITS) + F.col("_position"))
-        .drop("_file", "_ordinal", "_position")
-    )
+    if fmt == "parquet":
+        start, row = F.lit(0).cast("bigint"), F.col("_metadata.row_index")
+    else:
+        start = F.col("_metadata.file_block_start")
+        row = F.monotonically_increasing_id().bitwiseAND((1 << _ROW_BITS) - 1)
+    located = scan.select("*", F.col("_metadata.file_path").alias("_file"), start.alias("_start"), row.alias("_at"))
+    if fmt != "parquet":
+        located = materialize(located, "sheet")
+    # One row per file or split, however many lines they have.
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = located.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+    splits = materialize(splits, "splits")
+    offset = F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")
+    placed = located.join(splits.select("_file", "_start", offset.alias("_offset")), ["_file", "_start"])
+    return placed.withColumn(out, F.col("_offset") + F.col("_at")).drop("_file", "_start", "_at", "_offset")

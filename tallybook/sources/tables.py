@@ -1,34 +1,91 @@
-"""Writing, reading and extending the five tables."""
+"""Writing, reading and extending the five tables.
+
+A folder of tables holds, for every table, one subfolder per load, and a log of
+the loads that count. A load writes its files to its own subfolders and is added
+to the log last, in one row: readers see all of it or nothing. A load that failed
+left files that nobody reads; running it again under its id replaces them.
+One load writes to a folder at a time.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallybook.model import CONFLICT_KEYS, PRIMARY_KEYS, TABLE_SCHEMAS, RetailTables
 
-from tallybook.model import CONFLICT_KEYS, TABLE_SCHEMAS, RetailTables
+_LOG = "seq bigint, load_id string, fresh boolean"
 
 
 def _shaped(name: str, df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLE_SCHEMAS[name]])
 
 
-def write_tables(tables: RetailTables, folder: str, mode: str = "overwrite") -> RetailTables:
-    """Write the tables as Parquet in foreign-key order and return them as scans.
+def new_load_id() -> str:
+    return uuid.uuid4().hex
 
-    Parquet has no commit over five tables. Write to a new folder per load and
-    point readers to it when this returns, and no reader ever sees half a load.
-    """
+
+def _log(spark: SparkSession, folder: str) -> list[T.Row]:
+    try:
+        return spark.read.schema(_LOG).parquet(f"{folder}/loads").orderBy("seq").collect()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+
+
+def committed_loads(spark: SparkSession, folder: str) -> list[str]:
+    """The loads that count, oldest first: the last fresh one and all after it."""
+    log = _log(spark, folder)
+    first = max((i for i, row in enumerate(log) if row["fresh"]), default=0)
+    return [row["load_id"] for row in log[first:]]
+
+
+def commit_load(spark: SparkSession, folder: str, load_id: str, fresh: bool = False) -> None:
+    """Make a written load count; a fresh one takes the place of all before it."""
+    log = _log(spark, folder)
+    entry = [(log[-1]["seq"] + 1 if log else 0, load_id, fresh)]
+    spark.createDataFrame(entry, _LOG).coalesce(1).write.mode("append").parquet(f"{folder}/loads")
+
+
+def load_path(folder: str, name: str, load_id: str) -> str:
+    return f"{folder}/{name}/load={load_id}"
+
+
+def write_load(tables: RetailTables, folder: str, load_id: str) -> RetailTables:
+    """Write the rows of a load, in foreign-key order, and return them as scans."""
     for name, df in tables.items():
-        _shaped(name, df).write.mode(mode).parquet(f"{folder}/{name}")
-    return read_tables(tables.invoices.sparkSession, folder)
+        _shaped(name, df).write.mode("overwrite").parquet(load_path(folder, name, load_id))
+    return read_load(tables.invoices.sparkSession, folder, load_id)
+
+
+def read_load(spark: SparkSession, folder: str, load_id: str) -> RetailTables:
+    """What one load brought, whether it counts yet or not."""
+    scans = {n: spark.read.schema(s).parquet(load_path(folder, n, load_id)) for n, s in TABLE_SCHEMAS.items()}
+    return RetailTables(**scans)
+
+
+def write_tables(tables: RetailTables, folder: str, load_id: str | None = None) -> RetailTables:
+    """Write the tables as Parquet, in place of what counted before, and return them as scans."""
+    spark, load_id = tables.invoices.sparkSession, load_id or new_load_id()
+    write_load(tables, folder, load_id)
+    commit_load(spark, folder, load_id, fresh=True)
+    return read_tables(spark, folder)
 
 
 def read_tables(spark: SparkSession, folder: str) -> RetailTables:
     return RetailTables(**{name: table_scan(spark, folder, name) for name in TABLE_SCHEMAS})
 
 
-def table_scan(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{folder}/{name}")
+def table_scan(spark: SparkSession, folder: str, name: str, schema: T.StructType | None = None) -> DataFrame:
+    """A table as the committed loads have it."""
+    schema = schema or TABLE_SCHEMAS[name]
+    paths = [load_path(folder, name, load_id) for load_id in committed_loads(spark, folder)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def reset_tables(spark: SparkSession, folder: str) -> RetailTables:
@@ -37,14 +94,14 @@ def reset_tables(spark: SparkSession, folder: str) -> RetailTables:
     return write_tables(empty, folder)
 
 
-def new_keys(incoming: DataFrame, existing: DataFrame, key: str, order: str | None = None) -> DataFrame:
+def new_keys(incoming: DataFrame, existing: DataFrame, key: str, order: str | None) -> DataFrame:
     """Incoming rows whose key is not there yet, one per key.
 
-    Among incoming rows with the same key the first by ``order`` is kept.
+    Among incoming rows with the same key the first by ``order`` is kept. ``None``
+    says that no key occurs twice; it is not checked.
     """
-    if order is None:
-        first = incoming.dropDuplicates([key])
-    else:
+    first = incoming
+    if order is not None:
         rest = [c for c in incoming.columns if c not in (key, order)]
         first = (
             incoming.groupBy(key)
@@ -55,22 +112,33 @@ def new_keys(incoming: DataFrame, existing: DataFrame, key: str, order: str | No
     return first.join(existing.select(key), key, "left_anti").select(*first.columns)
 
 
-def append_new_keys(incoming: RetailTables, folder: str) -> RetailTables:
+def append_new_keys(incoming: RetailTables, folder: str, load_id: str | None = None) -> RetailTables:
     """Add rows to existing tables: rows whose key is there already stay as they are.
 
-    Country ids in ``incoming`` must be those of the existing table, as
-    load.append_sales makes sure.
+    Of incoming rows with the same key, the one with the smallest primary key is
+    kept; the primary keys must be unique. Country ids in ``incoming`` must be
+    those of the existing table, as load.append_sales makes sure.
 
-    The items have no such key; they are all added, so loading a sheet twice
-    doubles its lines, as it does with a plain insert.
+    The items have no such key; they are all added. A ``load_id`` that is in the
+    log already adds nothing, so a load can be repeated.
     """
-    spark = incoming.invoices.sparkSession
+    spark, load_id = incoming.invoices.sparkSession, load_id or new_load_id()
+    if load_id not in committed_loads(spark, folder):
+        write_load(added_rows(incoming, read_tables(spark, folder)), folder, load_id)
+        commit_load(spark, folder, load_id)
+    return read_tables(spark, folder)
+
+
+def added_rows(incoming: RetailTables, existing: RetailTables) -> RetailTables:
+    """Of the incoming tables, the rows with new keys and all items."""
+    added = {}
     for name, df in incoming.items():
-        added = _shaped(name, df)
         if name in CONFLICT_KEYS:
-            added = new_keys(added, table_scan(spark, folder, name), CONFLICT_KEYS[name])
-        added.write.mode("append").parquet(f"{folder}/{name}")
-    return read_tables(spark, folder)
+            key, unique = CONFLICT_KEYS[name], PRIMARY_KEYS[name]
+            ordered = df.withColumn("_order", F.col(unique)) if key != unique else df
+            df = new_keys(ordered, getattr(existing, name), key, None if key == unique else "_order")
+        added[name] = df
+    return RetailTables(**added)
 
 
 def largest_bucket_share(df: DataFrame, key: str, buckets: int) -> float:
@@ -81,26 +149,27 @@ def largest_bucket_share(df: DataFrame, key: str, buckets: int) -> float:
     return fullest * buckets / total if total else 0.0
 
 
-def write_layout(
-    tables: RetailTables, prefix: str, folder: str, buckets: int, max_bucket_share: float = 4.0
-) -> RetailTables:
+def write_layout(tables: RetailTables, prefix: str, folder: str, buckets: int, by: str = "bucket") -> RetailTables:
     """Write catalog tables laid out for the joins and filters of the analyses.
 
-    Invoices and items are bucketed by invoice number: their join, and the sum per
-    invoice before it, then need no shuffle. A bucket is read by one task and is
-    not split at run time, so when one invoice makes a bucket of items several
-    times as large as the others, both tables are range-sorted instead: items by
-    invoice and line, which cuts through a huge invoice, and invoices by date, so
-    that a date filter skips files.
+    ``by="bucket"``: invoices and items are bucketed by invoice number; their join,
+    and the sum per invoice before it, then need no shuffle. A bucket is read by
+    one task and is not split at run time; ``largest_bucket_share`` tells before
+    whether one invoice would make a bucket several times as large as the others.
+
+    ``by="range"``, for such tables: items are range-sorted by invoice and line,
+    which cuts through a huge invoice, and invoices by date, so that a date filter
+    skips files.
     """
+    if by not in ("bucket", "range"):
+        raise ValueError(f"by must be 'bucket' or 'range', not {by!r}")
     spark = tables.invoices.sparkSession
-    even = largest_bucket_share(tables.invoice_items, "invoice_no", buckets) <= max_bucket_share
     ranges = {"invoices": ["invoice_date", "invoice_no"], "invoice_items": ["invoice_no", "item_id"]}
     for name, df in tables.items():
         shaped = _shaped(name, df)
         if name not in ranges:
             writer = shaped.write
-        elif even:
+        elif by == "bucket":
             # One task per bucket, so a bucket is one sorted file and not one per task.
             placed = shaped.repartition(buckets, "invoice_no")
             writer = placed.write.bucketBy(buckets, "invoice_no").sortBy("invoice_no")
