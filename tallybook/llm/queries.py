@@ -35,7 +35,7 @@ def toxicity_model(spark: SparkSession, folder: str) -> toxicity.ToxicityModel:
     """Learned from the labelled documents of four folds of five."""
     docs = _table(spark, folder, "documents", "doc_id", "text")
     labels = _table(spark, folder, "labels", "doc_id", "toxic").filter(~held_out("doc_id", 5, 0))
-    return toxicity.learn(docs.join(labels, "doc_id"))
+    return toxicity.learn(docs, labels)
 
 
 def op2_toxic_spans(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,11 +6,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm.crf import letters_of
 from tallybook.llm.text import codes_of, offsets_of, words_of
+from tallybook.operators.scratch import materialize
 
 # The models are fitted on a bounded sample: at most so many distinct texts of a
 # label, and so many bytes of text of a label. Texts are used whole.
@@ -42,34 +43,37 @@ class Chains:
         return np.repeat(np.arange(len(self.lengths)), self.lengths)
 
 
+def text_marks(text: str = "text") -> list[Column]:
+    """What stands for a text where only its label matters: its hash and its size."""
+    return [F.xxhash64(text).alias("hash"), F.coalesce(F.octet_length(text), F.lit(0)).alias("bytes")]
+
+
 def labelled_sample(
-    texts: DataFrame, label: str, text: str = "text", most: int = SAMPLE_TEXTS, most_bytes: int = SAMPLE_BYTES
+    texts: DataFrame, labelled: DataFrame, text: str = "text", most: int = SAMPLE_TEXTS, most_bytes: int = SAMPLE_BYTES
 ) -> dict[object, list[str]]:
     """Up to ``most`` distinct texts of each label, picked by a hash of the text.
 
-    Equal texts of a label count once. Only hashes are ranked; the texts of the
-    picked ones are read in a second pass.
+    ``labelled`` has a row (label, hash, bytes) for each labelled text. Equal texts
+    of a label count once, empty ones not at all. Only hashes are joined and ranked;
+    the picked texts are read in a second pass. Runs jobs.
     """
-    keyed = texts.filter(F.col(label).isNotNull() & (F.octet_length(text) > 0))
-    keyed = keyed.select(F.col(label).alias("label"), F.xxhash64(text).alias("hash"), F.octet_length(text).alias("bytes"))
-    distinct = keyed.distinct()
+    known = labelled.filter(F.col("label").isNotNull() & (F.col("bytes") > 0)).distinct()
+    known = materialize(known, "labelled")
     picked: dict[object, list[int]] = {}
-    for (value,) in keyed.select("label").distinct().collect():
-        rows = distinct.filter(F.col("label") == value).orderBy(F.xxhash64("hash"), "hash").limit(most).collect()
+    for (value,) in known.select("label").distinct().collect():
+        rows = known.filter(F.col("label") == value).orderBy(F.xxhash64("hash"), "hash").limit(most).collect()
         sizes = np.cumsum([r["bytes"] for r in rows])
         picked[value] = [r["hash"] for r, size in zip(rows, sizes, strict=True) if size <= most_bytes or size == sizes[0]]
-    spark = texts.sparkSession
-    wanted = spark.createDataFrame([(h,) for h in {h for hs in picked.values() for h in hs}], "hash bigint")
-    found = texts.select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
-    found = found.join(F.broadcast(wanted), "hash", "left_semi").groupBy("label", "hash").agg(F.first("text").alias("text"))
-    by_label = {value: set(hashes) for value, hashes in picked.items()}
-    sample: dict[object, list[str]] = {value: [] for value in sorted(picked)}
-    for r in found.orderBy("label", "hash").collect():
-        if r["hash"] in by_label.get(r["label"], ()):
-            sample[r["label"]].append(r["text"])
-    return sample
-
-
-def held_out(key: str, parts: int, part: int):
+    if not picked:
+        return {}
+    hashes = sorted({h for each in picked.values() for h in each})
+    # At most ``most`` hashes of each label.
+    wanted = F.broadcast(texts.sparkSession.createDataFrame([(h,) for h in hashes], "hash bigint"))
+    found = texts.select(F.xxhash64(text).alias("hash"), F.col(text).alias("text")).join(wanted, "hash", "left_semi")
+    by_hash = {r["hash"]: r["text"] for r in found.groupBy("hash").agg(F.min("text").alias("text")).collect()}
+    return {value: [by_hash[h] for h in sorted(picked[value]) if h in by_hash] for value in sorted(picked)}
+
+
+def held_out(key: str, parts: int, part: int) -> Column:
     """Whether crc32 of the key as text leaves this remainder."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % parts == part, F.lit(False))

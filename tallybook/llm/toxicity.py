@@ -24,11 +24,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybook.llm import crf
 from tallybook.llm.frames import map_batches
-from tallybook.llm.tagging import Chains, labelled_sample
+from tallybook.llm.tagging import Chains, labelled_sample, text_marks
 from tallybook.llm.text import slices
 
 FEATURES = crf.Features(prefixes=(3, 4, 5, 6), suffixes=(3, 4))
@@ -153,9 +154,12 @@ def fit(clean: Sequence[str], toxic: Sequence[str]) -> ToxicityModel:
     return ToxicityModel(field, _fit_curve(_summary(chains, toxicity), label))
 
 
-def learn(texts: DataFrame, label: str = "toxic", text: str = "text") -> ToxicityModel:
-    """A model from a bounded sample of rows with a text and a 0/1 label."""
-    sample = labelled_sample(texts, label, text)
+def learn(
+    texts: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", text: str = "text"
+) -> ToxicityModel:
+    """A model from a bounded sample of the texts with a 0/1 label. Runs jobs."""
+    labelled = texts.select(key, *text_marks(text)).join(labels.select(key, F.col(label).alias("label")), key)
+    sample = labelled_sample(texts, labelled.select("label", "hash", "bytes"), text)
     return fit(sample.get(0, []), sample.get(1, []))
 
 
