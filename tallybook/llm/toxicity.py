@@ -49,7 +49,7 @@ SPANS = T.ArrayType(
 @dataclass
 class ToxicityModel:
     field: crf.Model | None
-    curve: np.ndarray  # constant, log of the expected number, log of its share
+    curve: np.ndarray  # of constant, expected number and share, the latter two as logarithms
     constant: float = 0.0
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, list[list[tuple]]]:
@@ -69,7 +69,7 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 def _summary(chains: Chains, toxic: np.ndarray) -> np.ndarray:
     number = np.bincount(chains.texts(), np.where(toxic >= _NOTICED, toxic, 0), len(chains.lengths))
     share = number / np.maximum(chains.lengths, 1)
-    return np.stack([np.ones(len(number)), np.log(number + 1e-2), np.log(share + 1e-4)], axis=1)
+    return np.stack([np.ones(len(number)), np.log1p(number), np.log(share + 1e-3)], axis=1)
 
 
 def _spans(texts: pa.Array, chains: Chains, toxic: np.ndarray) -> list[list[tuple]]:
@@ -149,7 +149,7 @@ def fit(clean: Sequence[str], toxic: Sequence[str]) -> ToxicityModel:
     evidence = _evidence(chains, label)
     marked = np.array([any(p in evidence for p in _pieces(w)) for w in chains.words], bool)
     tags = (marked[chains.codes] & (label[chains.texts()] == 1)).astype(np.int64)
-    field = crf.train(FEATURES, [0, 1], chains.words, chains.codes, chains.lengths, tags)
+    field = crf.train(FEATURES, [0, 1], chains.words, chains.codes, chains.lengths, tags, rounds=20)
     toxicity = field.marginals(chains.words, chains.codes, chains.lengths)[:, 1]
     return ToxicityModel(field, _fit_curve(_summary(chains, toxicity), label))
 
