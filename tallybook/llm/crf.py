@@ -58,7 +58,7 @@ class Features:
         for size in sorted({*self.prefixes, *self.suffixes, *self.grams}):
             gram = np.zeros(max(0, len(chars) - size + 1), np.uint64)
             for k in range(size):
-                gram = gram * _PRIME + chars[k : len(chars) - size + 1 + k]
+                gram = gram * _PRIME + chars[k : k + len(gram)]
             long = np.flatnonzero(lengths >= size)
             for wanted, at in ((self.prefixes, starts[:-1]), (self.suffixes, starts[1:] - size)):
                 kind += 1

@@ -61,7 +61,7 @@ def _shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of ``size`` word hashes."""
     total = np.zeros(max(0, len(words) - size + 1), np.uint64)
     for k in range(size):
-        total = total * _FACTOR + words[k : len(words) - size + 1 + k]
+        total = total * _FACTOR + words[k : k + len(total)]
     total ^= total >> np.uint64(29)
     return total * np.uint64(0xBF58476D1CE4E5B9) ^ (total >> np.uint64(32))
 

@@ -46,8 +46,9 @@ FILE_IDS = 1 << 24
 _CACHED_WORDS = 200_000  # in each of two generations
 _CACHED_CHARS = 64
 
-# Marks between a letter and punctuation, where the tokenizer cuts anyway.
-_BEFORE_MARK = r"([A-Za-zÀ-ÖØ-öø-ɏ])([.,!?;:]+)"
+# Marks between a letter and punctuation, where the tokenizer cuts anyway. Not after
+# a capital I with a dot (U+0130): its lower case ends in a combining dot.
+_BEFORE_MARK = r"([A-Za-zÀ-ÖØ-öø-įı-ɏ])([.,!?;:]+)"
 
 
 @lru_cache(maxsize=2)

@@ -106,28 +106,34 @@ class Vocabulary:
     tokens: int
     distinct: int
     discount: float
+    most: int = HEAD_WORDS
     topic: np.ndarray | None = None  # of each head word
     bucket_topic: np.ndarray | None = None
 
+    @property
+    def end_id(self) -> int:
+        """Ids: ranks of head words, then buckets of tail words, then the end."""
+        return self.most + BUCKETS
+
     @cached_property
     def rank(self) -> dict[str, int]:
         return {w: i for i, w in enumerate(self.words)}
 
     @classmethod
-    def of(cls, counts: DataFrame) -> Vocabulary:
+    def of(cls, counts: DataFrame, most: int = HEAD_WORDS) -> Vocabulary:
         ones = F.sum((F.col("n") == 1).cast("bigint"))
         twos = F.sum((F.col("n") == 2).cast("bigint"))
         total, distinct, one, two = counts.agg(F.sum("n"), F.count(F.lit(1)), ones, twos).first()
-        head = counts.filter(F.col("word") != END).orderBy(F.desc("n"), "word").limit(HEAD_WORDS).select("word", "n").toArrow()
+        head = counts.filter(F.col("word") != END).orderBy(F.desc("n"), "word").limit(most).select("word", "n").toArrow()
         discount = min(0.9, max(0.1, (one or 0) / max(1, (one or 0) + 2 * (two or 0))))
-        return cls(head.column("word").to_pylist(), head.column("n").to_numpy(), total or 0, distinct, discount)
+        return cls(head.column("word").to_pylist(), head.column("n").to_numpy(), total or 0, distinct, discount, most)
 
 
 @dataclass
 class Tokens:
     """The tokens of some texts, each text with its end."""
 
-    ids: np.ndarray  # rank of a head word, HEAD_WORDS + bucket of a tail word, or the end
+    ids: np.ndarray  # rank of a head word, bucket of a tail word, or the end (see Vocabulary.end_id)
     words: np.ndarray  # place of each token's word among the distinct words, -1 for the end
     distinct: list[str]
     owner: np.ndarray  # text of each token
@@ -135,9 +141,6 @@ class Tokens:
     lengths: np.ndarray
 
 
-END_ID = HEAD_WORDS + BUCKETS
-
-
 def tokens_of(texts: pa.Array, vocabulary: Vocabulary) -> Tokens:
     flat, counts = words_of(texts)
     codes, words = codes_of(flat)
@@ -145,12 +148,12 @@ def tokens_of(texts: pa.Array, vocabulary: Vocabulary) -> Tokens:
     rank = vocabulary.rank
     ids = np.fromiter((rank.get(w, -1) for w in distinct), np.int64, len(distinct))
     tail = np.flatnonzero(ids < 0)
-    ids[tail] = [HEAD_WORDS + _signed(distinct[i][-LETTERS:]) % BUCKETS for i in tail]
+    ids[tail] = [vocabulary.most + _signed(distinct[i][-LETTERS:]) % BUCKETS for i in tail]
     lengths = counts + 1
     ends = offsets_of(lengths)
     is_end = np.zeros(ends[-1], bool)
     is_end[ends[1:] - 1] = True
-    every, places = np.full(ends[-1], END_ID), np.full(ends[-1], -1)
+    every, places = np.full(ends[-1], vocabulary.end_id), np.full(ends[-1], -1)
     every[~is_end], places[~is_end] = ids[codes], codes
     owner = np.repeat(np.arange(len(counts)), lengths)
     return Tokens(every, places, distinct, owner, np.arange(ends[-1]) - ends[:-1][owner], lengths)
@@ -168,7 +171,7 @@ def _near_counts(vocabulary: Vocabulary):
                 a, b = tokens.ids[:-step], tokens.ids[step:]
                 same = tokens.owner[:-step] == tokens.owner[step:]
                 for word, near in ((a, b), (b, a)):
-                    rows = same & (near < NEAR_WORDS) & (word != END_ID)
+                    rows = same & (near < NEAR_WORDS) & (word != vocabulary.end_id)
                     keys.append(word[rows] * NEAR_WORDS + near[rows])
             key, n = np.unique(np.concatenate(keys), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
@@ -196,14 +199,14 @@ def find_topics(texts: DataFrame, vocabulary: Vocabulary) -> None:
     """Gives each head word and each bucket of last letters a topic."""
     rows = texts.select("text").mapInArrow(_near_counts(vocabulary), "key bigint, n bigint")
     found = rows.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    near = np.zeros(((HEAD_WORDS + BUCKETS) * NEAR_WORDS, ), np.float32)
+    near = np.zeros(vocabulary.end_id * NEAR_WORDS, np.float32)
     near[found.column("key").to_numpy()] = found.column("n").to_numpy()
     near = np.sqrt(near.reshape(-1, NEAR_WORDS))
     seen = np.square(near).sum(axis=1)
     unit = near / np.maximum(np.sqrt(seen), 1e-12)[:, None]
     centres = _clusters(unit, np.log1p(seen), TOPICS)
     topic = (unit @ centres.T).argmax(axis=1)
-    vocabulary.topic, vocabulary.bucket_topic = topic[: len(vocabulary.words)], topic[HEAD_WORDS:]
+    vocabulary.topic, vocabulary.bucket_topic = topic[: len(vocabulary.words)], topic[vocabulary.most :]
 
 
 # -- the model
@@ -220,10 +223,10 @@ class Model:
     @cached_property
     def id_class(self) -> np.ndarray:
         v = self.vocabulary
-        classes = np.full(END_ID + 1, END_CLASS)
+        classes = np.full(v.end_id + 1, END_CLASS)
         classes[: len(v.words)] = SINGLES + v.topic
         classes[: min(SINGLES, len(v.words))] = np.arange(min(SINGLES, len(v.words)))
-        classes[HEAD_WORDS:END_ID] = SINGLES + TOPICS + v.bucket_topic
+        classes[v.most : v.end_id] = SINGLES + TOPICS + v.bucket_topic
         return classes
 
     def rows_and_classes(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +260,7 @@ class Model:
 
 def _tail(counts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(discounted count, share that the discount takes) of each tail topic."""
-    least = int(vocabulary.counts[-1]) if len(vocabulary.words) == HEAD_WORDS else 0
+    least = int(vocabulary.counts[-1]) if len(vocabulary.words) == vocabulary.most else 0
     last = vocabulary.words[-1] if vocabulary.words else ""
     below = (F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > last)) if least else F.lit(False)
     tail = counts.filter(below & (F.col("word") != END)).groupBy(bucket_of(F.col("word")).alias("bucket"))
@@ -349,9 +352,9 @@ def _averaged(models: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     return np.frombuffer(found["weights"], np.float32).reshape(ROWS, CLASSES) / np.maximum(met, 1)[:, None], met
 
 
-def train(texts: DataFrame, counts: DataFrame) -> Model | None:
+def train(texts: DataFrame, counts: DataFrame, head_words: int = HEAD_WORDS) -> Model | None:
     """A model of all texts, from their word counts; None without texts. Runs jobs."""
-    vocabulary = Vocabulary.of(counts)
+    vocabulary = Vocabulary.of(counts, head_words)
     if not vocabulary.tokens:
         return None
     find_topics(texts, vocabulary)
@@ -390,12 +393,12 @@ def _scorer(shared):
     def run(batches) -> Iterator[pa.RecordBatch]:
         model = shared.value
         v = model.vocabulary
-        head_base, end_count = model.base(v.counts), None
+        head_base = model.base(v.counts)
         for batch in slices(batches, "text"):
             tokens = tokens_of(batch.column("text"), v)
             rows, classes = model.rows_and_classes(tokens)
             own, unknown = _log10_softmax(model, rows, classes)
-            is_head, is_end = tokens.ids < HEAD_WORDS, tokens.ids == END_ID
+            is_head, is_end = tokens.ids < v.most, tokens.ids == v.end_id
             score, base = np.where(is_head | is_end, own, 0), np.zeros(len(own))
             score[is_head] += model.in_class[tokens.ids[is_head]]
             base[is_head] = head_base[tokens.ids[is_head]]
@@ -410,7 +413,7 @@ def _scorer(shared):
             topic = np.zeros(len(key), np.int64)
             topic[group] = classes[tail] - SINGLES - TOPICS
             values = [hashes, np.bincount(group, minlength=len(key)), topic.astype(np.int32)]
-            values += [np.bincount(group, x[tail], len(key)) for x in (own, unknown)]
+            values += [np.bincount(group, x[tail], len(key)).astype(np.float64) for x in (own, unknown)]
             structs = pa.StructArray.from_arrays([pa.array(x) for x in values], fields=list(_TAIL.value_type))
             ends = np.searchsorted(key, np.arange(n + 1) * max(1, len(tokens.distinct))).astype(np.int32)
             columns = [batch.column("_row"), batch.column("doc_id"), pa.array(tokens.lengths), pa.array(heads)]
@@ -459,6 +462,7 @@ def score(docs: DataFrame, model: Model | None, counts: DataFrame) -> DataFrame:
 
 
 def _untrained() -> Model:
-    vocabulary = Vocabulary([], np.zeros(0, np.int64), 0, 0, 0.5, np.zeros(0, np.int64), np.zeros(BUCKETS, np.int64))
+    nothing = np.zeros(0, np.int64)
+    vocabulary = Vocabulary([], nothing, 0, 0, 0.5, topic=nothing, bucket_topic=np.zeros(BUCKETS, np.int64))
     weights = np.zeros((ROWS, CLASSES), np.float32)
     return Model(vocabulary, np.zeros(0), np.ones(TOPICS), np.zeros(TOPICS), weights)

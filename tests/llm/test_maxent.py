@@ -1,0 +1,106 @@
+from __future__ import annotations
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tallybook.llm import maxent
+from tallybook.llm.tagging import held_out
+from tallybook.operators.scratch import materialize
+
+
+def tokens(text):
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    return [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(lower)), maxent.END]
+
+
+def documents(n: int, seed: int) -> list[tuple]:
+    """Two kinds of text whose words follow their kind, with rare words."""
+    rng = np.random.default_rng(seed)
+    kinds = [[f"{k}{i}" for i in range(60)] for k in "ab"]
+    rows = []
+    for i in range(n):
+        words = kinds[i % 2]
+        picked = [words[min(59, int(rng.exponential(12)))] for _ in range(rng.integers(5, 60))]
+        picked += [f"rare{rng.integers(0, 4000)}x" for _ in range(3)]
+        rows.append((i, " ".join(rng.permutation(picked))))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def scored(spark):
+    rows = documents(600, 1) + [(1000, None), (1001, ""), (1002, "A1 a1\tunseen ÉÉ"), (3, "a1 a2"), (None, "b1 b2"), (1003, "b3 " * 30_000)]
+    frame = spark.createDataFrame([(k, t, 1.5) for k, t in rows], "doc_id bigint, text string, score double").repartition(5)
+    frame = materialize(frame, "documents")
+    training = frame.filter(~held_out("doc_id", 5, 1))
+    counts = maxent.count_words(training)
+    # A small head, so that words of the tail and their join matter.
+    found = maxent.score(frame, maxent.train(training, counts, head_words=80), counts)
+    found = found.withColumn("held_out", held_out("doc_id", 5, 1)).collect()
+    yield rows, found, [t for k, t in rows if k is None or not _held(k)]
+
+
+def _held(key: int) -> bool:
+    return zlib.crc32(str(key).encode()) % 5 == 1
+
+
+def test_counts_and_unigram_scores_equal_brute_force(scored):
+    rows, found, training = scored
+    count = Counter(w for t in training for w in tokens(t))
+    total, distinct = count.total(), len(count)
+    base = lambda t: sum(math.log10((count[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in tokens(t))
+    expected = sorted((repr(k), len(tokens(t)), sum(count[w] > 0 for w in tokens(t)), total, round(base(t), 5), k is not None and _held(k)) for k, t in rows)
+    got = sorted((repr(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), r["held_out"]) for r in found)
+    assert got == expected
+
+
+def test_held_out_texts_are_likelier_than_under_the_unigram_model(scored):
+    _, found, _ = scored
+    held = [r for r in found if r["held_out"]]
+    gain = sum(r["score"] for r in held) / sum(r["base_score"] for r in held)
+    assert gain < 0.98
+    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in found)
+
+
+def test_probabilities_add_up_to_one(spark):
+    texts = spark.createDataFrame(documents(200, 2), "doc_id bigint, text string")
+    counts = maxent.count_words(texts)
+    model = maxent.train(texts, counts)
+    v = model.vocabulary
+    classes = model.id_class[: len(v.words)]
+    mass = np.bincount(classes, 10**model.in_class, maxent.CLASSES)
+    assert np.allclose(mass[np.unique(classes)], 1)
+    tail = counts.filter("word != '\\n'").toPandas()
+    tail = tail[~tail.word.isin(set(v.words))]
+    assert tail.empty or np.isfinite(model.tail_mass).all()
+    rows, _ = model.rows_and_classes(maxent.tokens_of(pa.array(["a1 b2 unseen a3", None]), v))
+    logits = model.logits(rows).astype(np.float64)
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    assert np.allclose((p / p.sum(axis=1, keepdims=True)).sum(axis=1), 1)
+
+
+def test_tail_topics_hold_their_discounted_counts(spark):
+    texts = spark.createDataFrame(documents(200, 3), "doc_id bigint, text string")
+    counts = maxent.count_words(texts)
+    model = maxent.train(texts, counts, head_words=50)
+    v = model.vocabulary
+    rest = counts.toPandas()
+    rest = rest[(rest.word != maxent.END) & ~rest.word.isin(set(v.words))]
+    topic = [v.bucket_topic[maxent._signed(w[-maxent.LETTERS :]) % maxent.BUCKETS] for w in rest.word]
+    sums = np.bincount(topic, rest.n - v.discount, maxent.TOPICS)
+    assert np.allclose(np.maximum(sums, 1e-9), model.tail_mass)
+
+
+def test_no_training_texts(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
+    counts = maxent.count_words(docs.limit(0))
+    assert maxent.train(docs.limit(0), counts) is None
+    found = maxent.score(docs, None, counts).orderBy("doc_id").collect()
+    assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in found] == [(3, 0, 0, 0.0, 0.0), (1, 0, 0, 0.0, 0.0)]
+    assert maxent.score(docs.limit(0), None, counts).collect() == []
+    assert docs.filter(held_out("doc_id", 5, 1)).count() <= 2
