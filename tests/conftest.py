@@ -76,7 +76,7 @@ def make_sheet(spark):
 
 
 def time_of(text: str) -> datetime:
-    return datetime.fromisoformat(text)
+    return datetime.fromisoformat(text) if text else None
 
 
 def rows(df) -> list[tuple]:
