@@ -20,6 +20,7 @@ import numpy as np
 
 CHUNK = 32
 HASH_BITS = 18
+_WORDS_AT_ONCE = 1 << 17  # in training
 _PRIME = np.uint64(0x100000001B3)
 _MIX = 0x9E3779B97F4A7C15
 
@@ -200,18 +201,28 @@ def train(
     later[starts] = False
     rows = np.flatnonzero(later)
     seen_moves = np.bincount(tags[rows - 1] * s + tags[rows], minlength=s * s).reshape(s, s)
-    truth = np.eye(s)[tags]
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    cuts = np.searchsorted(ends, np.arange(0, ends[-1] + _WORDS_AT_ONCE, _WORDS_AT_ONCE))
+    cuts = np.minimum(cuts, len(lengths))
     for _ in range(rounds):
-        marginals, moves = forward_backward(
-            model.emissions(words)[codes], lengths, model.moves, model.first, with_moves=True
-        )
-        error = truth - marginals
-        by_word = np.stack([np.bincount(codes, error[:, k], len(words)) for k in range(s)], axis=1)
+        scores = model.emissions(words)
+        by_word, moves, begun = np.zeros((len(words), s)), np.zeros((s, s)), np.zeros(s)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if ends[a] == ends[b]:
+                continue
+            here = slice(ends[a], ends[b])
+            marginals, met = forward_backward(scores[codes[here]], lengths[a:b], model.moves, model.first, with_moves=True)
+            error = -marginals
+            error[np.arange(len(error)), tags[here]] += 1
+            for k in range(s):
+                by_word[:, k] += np.bincount(codes[here], error[:, k], len(words))
+            moves += met
+            begun += error[(ends[a:b] - ends[a])[lengths[a:b] > 0]].sum(axis=0)
         gradient = np.zeros_like(model.weights)
         for hashes, owner in kinds:
             for k in range(s):
                 gradient[:, k] += np.bincount(hashes, by_word[:, k] if owner is None else by_word[owner, k], len(gradient))
-        steps = [gradient, seen_moves - moves, error[starts].sum(axis=0)]
+        steps = [gradient, seen_moves - moves, begun]
         for part, square, slope in zip(parts, squares, steps, strict=True):
             slope = slope / np.sqrt(len(codes)) - decay * part
             square += slope * slope

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from tallybook.llm import crf
 from tallybook.llm.frames import map_batches
-from tallybook.llm.tagging import Chains, labelled_sample, text_marks
+from tallybook.llm.tagging import Chains, fitted, labelled_sample, text_marks
 from tallybook.llm.text import offsets_of, slices
 
 UNDETERMINED = "und"
@@ -94,7 +94,7 @@ def fit(sample: Mapping[str, Sequence[str]], seed: int = 3) -> crf.Model | None:
 def learn(texts: DataFrame, label: str = "lang", text: str = "text") -> crf.Model | None:
     """A model from a bounded sample of rows with a text and a language. Runs jobs."""
     labelled = texts.select(F.col(label).alias("label"), *text_marks(text))
-    return fit(labelled_sample(texts, labelled, text, SAMPLE_TEXTS, SAMPLE_BYTES))
+    return fitted(texts.sparkSession, fit, labelled_sample(texts, labelled, text, SAMPLE_TEXTS, SAMPLE_BYTES))
 
 
 def shares(model: crf.Model, texts: pa.Array) -> np.ndarray:

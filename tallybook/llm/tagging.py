@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.llm.crf import letters_of
@@ -74,6 +76,18 @@ def labelled_sample(
     return {value: [by_hash[h] for h in sorted(picked[value]) if h in by_hash] for value in sorted(picked)}
 
 
+def fitted(spark: SparkSession, fit: Callable, sample: dict) -> object:
+    """``fit(sample)``, run in a task: the sample is small, but fitting takes memory that the driver needs."""
+    shared = spark.sparkContext.broadcast(sample)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(shared.value))], pa.binary())], names=["model"])
+
+    return pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(run, "model binary").first()["model"])
+
+
 def held_out(key: str, parts: int, part: int) -> Column:
     """Whether crc32 of the key as text leaves this remainder."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % parts == part, F.lit(False))

@@ -18,7 +18,7 @@ be learned, and every score is the share of toxic labels in it (0 without any).
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from tallybook.llm import crf
 from tallybook.llm.frames import map_batches
-from tallybook.llm.tagging import Chains, labelled_sample, text_marks
+from tallybook.llm.tagging import Chains, fitted, labelled_sample, text_marks
 from tallybook.llm.text import slices
 
 FEATURES = crf.Features(prefixes=(3, 4, 5, 6), suffixes=(3, 4))
@@ -160,6 +160,10 @@ def learn(
     """A model from a bounded sample of the texts with a 0/1 label. Runs jobs."""
     labelled = texts.select(key, *text_marks(text)).join(labels.select(key, F.col(label).alias("label")), key)
     sample = labelled_sample(texts, labelled.select("label", "hash", "bytes"), text)
+    return fitted(texts.sparkSession, fit_sample, sample)
+
+
+def fit_sample(sample: Mapping[int, Sequence[str]]) -> ToxicityModel:
     return fit(sample.get(0, []), sample.get(1, []))
 
 
