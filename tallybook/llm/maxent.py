@@ -65,7 +65,7 @@ _FIRST_ROW = np.cumsum([0, 1, CONTEXTS, CONTEXTS, PAIR_ROWS])
 ROWS = int(_FIRST_ROW[-1]) + SKIP_ROWS
 BATCH = 1 << 14
 RATE = 0.15
-_FAN = 32  # tasks whose weights are averaged together
+_FAN = 8  # tasks whose weights are averaged together
 END = "\n"  # no word, as words hold no white space
 
 
