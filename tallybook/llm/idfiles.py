@@ -2,11 +2,11 @@
 
 Documents are put in order of their key, their ids followed by an end id, and the
 ids packed without gaps into sequences of a fixed length. A file is an Arrow
-stream whose batches all have the same number of rows, with two fixed-size-list
-columns: ``ids`` (unsigned, 16-bit if the vocabulary fits, else 32-bit) and
-``mask`` (0 filling, 1 an id, 2 the last id of a document). So every batch is a message of the same length: sequence i is at
+stream whose batches all have the same number of rows, with three fixed-size-list
+columns: ``ids`` (unsigned, 16-bit if the vocabulary fits, else 32-bit) and the
+bit masks ``mask`` (an id, not filling) and ``last`` (the last id of a document). So every batch is a message of the same length: sequence i is at
 a computed place of the file, and a memory map gives it without a copy. The end
-of a file is filled with zeros under mask 0. A document lies in one file whole.
+of a file is filled with zeros that the mask leaves out. A document lies in one file whole.
 
 Files are written by the tasks that encode, into a folder that all executors
 share, under a name that depends on the task's partition only; a task that runs
@@ -98,7 +98,8 @@ def _coder(path: str) -> WordCoder:
 
 
 def _schema(sequence: int, kind: pa.DataType) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+    bits = pa.list_(pa.bool_(), sequence)
+    return pa.schema([("ids", pa.list_(kind, sequence)), ("mask", bits), ("last", bits)])
 
 
 def id_type(tokenizer: str, end_id: int) -> pa.DataType:
@@ -131,29 +132,29 @@ class IdFileWriter:
         self._parts: list[tuple[np.ndarray, np.ndarray]] = []
         self._held = self.size = 0
 
-    def add(self, ids: np.ndarray, mask: np.ndarray) -> None:
-        self._parts.append((ids, mask))
+    def add(self, ids: np.ndarray, last: np.ndarray) -> None:
+        """Ids, and which of them end a document."""
+        self._parts.append((ids, last))
         self._held += len(ids)
         self.size += len(ids)
         full = self._sequence * self._rows
         if self._held >= full:
-            ids, mask = (np.concatenate(x) for x in zip(*self._parts, strict=True))
+            ids, last = (np.concatenate(x) for x in zip(*self._parts, strict=True))
             whole = self._held // full * full
             for at in range(0, whole, full):
-                self._write(ids[at : at + full], mask[at : at + full])
-            self._parts, self._held = [(ids[whole:], mask[whole:])], self._held - whole
-
-    def _write(self, ids: np.ndarray, mask: np.ndarray) -> None:
-        arrays = [
-            pa.FixedSizeListArray.from_arrays(pa.array(ids).cast(self._kind), self._sequence),
-            pa.FixedSizeListArray.from_arrays(pa.array(mask, pa.uint8()), self._sequence),
-        ]
+                self._write(ids[at : at + full], last[at : at + full])
+            self._parts, self._held = [(ids[whole:], last[whole:])], self._held - whole
+
+    def _write(self, ids: np.ndarray, last: np.ndarray) -> None:
+        short = self._sequence * self._rows - len(ids)
+        mask = np.arange(len(ids) + short) < len(ids)
+        values = [pa.array(np.pad(ids, (0, short))).cast(self._kind), pa.array(mask), pa.array(np.pad(last, (0, short)))]
+        arrays = [pa.FixedSizeListArray.from_arrays(v, self._sequence) for v in values]
         self._stream.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self._schema))
 
     def close(self) -> None:
         if self._held:
-            short = self._sequence * self._rows - self._held
-            self.add(np.zeros(short, np.uint32), np.zeros(short, np.uint8))
+            self._write(*(np.concatenate(x) for x in zip(*self._parts, strict=True)))
         self._stream.close()
         self._sink.close()
         self._fs.move(self._draft, self._path)
@@ -176,19 +177,18 @@ class IdFile:
     def __len__(self) -> int:
         return self.batches * self._rows
 
-    def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of a batch, one row for each sequence."""
+    def batch(self, k: int) -> dict[str, pa.Array]:
+        """The ids, mask and last bits of a batch, one after the other, as views of the file."""
         self._source.seek(self._start + k * self._length)
         batch = pa.ipc.read_record_batch(pa.ipc.read_message(self._source), self._schema)
-        ids, mask = (batch.column(c).values.to_numpy().reshape(-1, self.sequence) for c in ("ids", "mask"))
-        return ids, mask
+        return {name: batch.column(name).values for name in self._schema.names}
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """(ids, mask) of one sequence, without a copy where the file is local."""
         if not 0 <= i < len(self):
             raise IndexError(i)
-        ids, mask = self.batch(i // self._rows)
-        return ids[i % self._rows], mask[i % self._rows]
+        batch, at = self.batch(i // self._rows), i % self._rows * self.sequence
+        return batch["ids"].slice(at, self.sequence).to_numpy(), batch["mask"].slice(at, self.sequence)
 
 
 def _write_partition(batches: Iterable[pa.RecordBatch], folder: str, tokenizer: str, end_id: int, options: dict) -> Iterator:
@@ -199,8 +199,8 @@ def _write_partition(batches: Iterable[pa.RecordBatch], folder: str, tokenizer:
         ends = np.cumsum(counts)
         ids = np.insert(ids, ends, end_id)
         ends += np.arange(1, len(ends) + 1)
-        mask = np.ones(len(ids), np.uint8)
-        mask[ends - 1] = 2
+        last = np.zeros(len(ids), bool)
+        last[ends - 1] = True
         files, ordinals, starts, row, begin = [], [], [], 0, 0
         while row < len(ends):
             if writer is None:
@@ -214,7 +214,7 @@ def _write_partition(batches: Iterable[pa.RecordBatch], folder: str, tokenizer:
             ordinals += range(ordinal, ordinal + stop - row)
             lengths = np.diff(ends[row:stop], prepend=begin)
             starts += (writer.size + np.cumsum(lengths) - lengths).tolist()
-            writer.add(ids[begin : ends[stop - 1]], mask[begin : ends[stop - 1]])
+            writer.add(ids[begin : ends[stop - 1]], last[begin : ends[stop - 1]])
             ordinal, row, begin = ordinal + stop - row, stop, int(ends[stop - 1])
             if writer.size >= options["file_ids"]:
                 writer.close()
@@ -266,13 +266,13 @@ def _read_files(batches: Iterable[pa.RecordBatch], folder: str) -> Iterator[pa.R
         for name in names.column(0).to_pylist():
             file, crc, size, sizes, crcs = IdFile(f"{folder}/{name}"), 0, 0, [], []
             for k in range(file.batches):
-                ids, mask = (x.ravel() for x in file.batch(k))
-                octets, at = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), 0
-                for end in (np.flatnonzero(mask == 2) + 1).tolist():
+                batch = file.batch(k)
+                octets, at = memoryview(np.ascontiguousarray(batch["ids"].to_numpy(), "<u4")).cast("B"), 0
+                for end in (np.flatnonzero(batch["last"].to_numpy(zero_copy_only=False)) + 1).tolist():
                     sizes.append(size + end - at)
                     crcs.append(zlib.crc32(octets[4 * at : 4 * end], crc))
                     crc, size, at = 0, 0, end
-                rest = at + int(np.count_nonzero(mask[at:]))
+                rest = at + batch["mask"].slice(at).true_count
                 crc, size = zlib.crc32(octets[4 * at : 4 * rest], crc), size + rest - at
             columns = [pa.array([name] * len(sizes)), pa.array(range(len(sizes)), pa.int64())]
             columns += [pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())]
