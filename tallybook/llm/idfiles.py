@@ -43,7 +43,7 @@ from tallybook.operators.scratch import materialize
 SEQUENCE = 2048
 BATCH_ROWS = 16
 FILE_IDS = 1 << 24
-_CACHED_WORDS = 200_000  # in each of two generations
+_CACHED_WORDS = 400_000  # in each of two generations
 _CACHED_CHARS = 64
 
 # Marks between a letter and punctuation, where the tokenizer cuts anyway. Not after
