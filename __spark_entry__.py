@@ -21,7 +21,7 @@ from tallybook.sources.star import star_sheet, star_tables
 try:
     import corpus_pipeline
     from tallybook.llm import queries as llm
-except ModuleNotFoundError as missing:  # the subpackage may be left out as a whole
+except ImportError as missing:  # the subpackage may be left out as a whole
     if missing.name not in ("corpus_pipeline", "tallybook.llm"):
         raise
     llm = corpus_pipeline = None

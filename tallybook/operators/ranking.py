@@ -75,12 +75,12 @@ def _bucket(rank: Column, total: Column, n: int) -> Column:
 
 
 def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "row_number") -> DataFrame:
-    """Contiguous 1..N over the whole table."""
+    """Contiguous 1..N over the whole table. Runs jobs while the frame is built."""
     return _numbered(df, order, out, "row-number").drop("_total")
 
 
 def global_ntile(df: DataFrame, n: int, order: Sequence[Column], out: str = "ntile") -> DataFrame:
-    """NTILE(n) over the whole table."""
+    """NTILE(n) over the whole table. Runs jobs while the frame is built."""
     numbered = _numbered(df, order, "_rank", "ntile")
     return numbered.withColumn(out, _bucket(F.col("_rank"), F.col("_total"), n)).drop("_rank", "_total")
 
@@ -149,7 +149,7 @@ def percentile_of_counts(counts: DataFrame, column: str, q: float, out: str) ->
 
 
 def exact_percentile(df: DataFrame, column: str, q: float, out: str) -> DataFrame:
-    """Interpolated percentile of a decimal column, as a one-row frame.
+    """Interpolated percentile of a decimal column, as a one-row frame. Runs jobs.
 
     Built-in ``percentile`` would gather every distinct value in one task.
     """

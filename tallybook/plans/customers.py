@@ -37,7 +37,8 @@ def top_customers(tables: RetailTables, n: int = 20) -> DataFrame:
 def rfm_labelled(tables: RetailTables) -> DataFrame:
     """Every named customer with measures, scores r, f, m (5 is best) and segment.
 
-    Equal measures are ranked by customer_id, so the scores are reproducible.
+    Equal measures are ranked by customer_id, so the scores are reproducible. Runs
+    jobs while the frame is built, as do all frames made from it.
     """
     measures = {"r": ("recency_days", True), "f": ("frequency", False), "m": ("monetary", False)}
     return score_ntiles(customer_rfm(tables), SCORES, "customer_id", measures).select(
@@ -46,6 +47,7 @@ def rfm_labelled(tables: RetailTables) -> DataFrame:
 
 
 def rfm_scores(tables: RetailTables) -> DataFrame:
+    """Measures and scores of every customer. Runs jobs while the frame is built."""
     return (
         rfm_labelled(tables)
         .select(
@@ -63,6 +65,7 @@ def rfm_scores(tables: RetailTables) -> DataFrame:
 
 
 def rfm_segments(tables: RetailTables) -> DataFrame:
+    """Customers and revenue of each segment. Runs jobs while the frame is built."""
     return (
         rfm_labelled(tables)
         .groupBy("segment")

@@ -19,7 +19,7 @@ def order_value_stats(tables: RetailTables, exact: bool = True) -> DataFrame:
 
     Both come from the written counts of distinct order values, so the lines are
     read once. ``exact=False`` takes Spark's approximate percentile, which does not
-    interpolate, and saves the sort.
+    interpolate, and saves the sort. Runs jobs while the frame is built.
     """
     orders = order_totals(tables).select("order_total")
     if exact:

@@ -81,7 +81,8 @@ def basket_lines(tables: RetailTables) -> DataFrame:
 
 
 def bought_together(tables: RetailTables, n: int = 25) -> DataFrame:
-    """Product pairs that share the most invoices, counted in pairs of lines."""
+    """Product pairs that share the most invoices, counted in pairs of lines. Runs jobs
+    while the frame is built."""
     pairs = top_pairs(basket_lines(tables), n)
     first = tables.products.select(F.col("stock_code").alias("a"), F.col("description").alias("desc_a"))
     second = tables.products.select(F.col("stock_code").alias("b"), F.col("description").alias("desc_b"))
