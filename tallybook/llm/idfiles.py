@@ -157,7 +157,11 @@ class IdFileWriter:
             self._write(*(np.concatenate(x) for x in zip(*self._parts, strict=True)))
         self._stream.close()
         self._sink.close()
-        self._fs.move(self._draft, self._path)
+        try:
+            self._fs.move(self._draft, self._path)
+        except OSError:  # some stores do not move over what another attempt has left
+            self._fs.delete_file(self._path)
+            self._fs.move(self._draft, self._path)
 
 
 class IdFile:
