@@ -22,7 +22,7 @@ from tallybook.llm.queries import language_model, toxicity_model
 from tallybook.operators.scratch import materialize
 
 TOXIC = 0.5  # scores from here on are rejected
-LANGUAGE_SHARE = 0.4  # texts that are less than this in one language are rejected
+LANGUAGE_SHARE = 0.3  # texts of which less than this is in any one language are rejected
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -35,7 +35,7 @@ def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, mostly in one of the known languages."""
+    """Documents with letters that are not an even mixture of all languages."""
     name, score = spare_name(docs, "_lang"), spare_name(docs, "_share")
     found = language.with_language(docs, language_model(spark, sf_dir), language=name, score=score)
     kept = (F.col(name) != language.UNDETERMINED) & (F.col(score) >= LANGUAGE_SHARE)
