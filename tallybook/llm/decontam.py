@@ -10,7 +10,7 @@ bits or fewer in some block, so an index of the items by block value with that
 many bits flipped holds every item within the radius (multi-index Hamming
 search). Candidates count if their exact weighted-shingle similarity, the sum of
 the smaller weights over the sum of the larger, reaches ``similarity``. At 0.8,
-fingerprints differ in about 9 bits, and in over RADIUS for fewer than one window
+fingerprints differ in about 9 bits, and in over RADIUS for fewer than two windows
 in a thousand.
 
 Only windows that can pass are fingerprinted: a window of similarity s or more
