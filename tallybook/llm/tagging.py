@@ -16,9 +16,11 @@ from tallybook.llm.text import codes_of, offsets_of, words_of
 from tallybook.operators.scratch import materialize
 
 # The models are fitted on a bounded sample: at most so many distinct texts of a
-# label, and so many bytes of text of a label. Texts are used whole.
+# label, and so many bytes of text of a label. Texts are used whole; only of a label
+# whose texts are all over the bound, the beginning of one is used.
 SAMPLE_TEXTS = 1200
 SAMPLE_BYTES = 3_000_000
+_MET = 0.99  # the byte bound is met from this share on
 
 
 @dataclass
@@ -50,28 +52,50 @@ def text_marks(text: str = "text") -> list[Column]:
     return [F.xxhash64(text).alias("hash"), F.coalesce(F.octet_length(text), F.lit(0)).alias("bytes")]
 
 
+def _picked(rows: DataFrame, most: int, most_bytes: int) -> list[int]:
+    """Hashes of (hash, bytes) rows in the order of a hash of them, without those that no longer fit, until a bound is met."""
+    order, after, left = F.xxhash64("hash"), F.lit(True), most_bytes
+    picked: list[int] = []
+    while len(picked) < most and left > (1 - _MET) * most_bytes:
+        fitting = rows.filter(after & (F.col("bytes") <= left)).select(order.alias("place"), "hash", "bytes")
+        found = fitting.orderBy("place", "hash").limit(most).collect()
+        for r in found:
+            if r["bytes"] <= left and len(picked) < most:
+                picked.append(r["hash"])
+                left -= r["bytes"]
+        if len(found) < most:
+            break
+        place, last = found[-1]["place"], found[-1]["hash"]
+        after = (order > place) | ((order == place) & (F.col("hash") > last))
+    if not picked:
+        picked = [r["hash"] for r in rows.orderBy(order, "hash").limit(1).collect()]
+    return picked
+
+
 def labelled_sample(
     texts: DataFrame, labelled: DataFrame, text: str = "text", most: int = SAMPLE_TEXTS, most_bytes: int = SAMPLE_BYTES
 ) -> dict[object, list[str]]:
-    """Up to ``most`` distinct texts of each label, picked by a hash of the text.
+    """Up to ``most`` distinct texts of each label with up to ``most_bytes`` in all, picked by a hash of the text.
 
     ``labelled`` has a row (label, hash, bytes) for each labelled text. Equal texts
-    of a label count once, empty ones not at all. Only hashes are joined and ranked;
+    of a label count once, empty ones not at all. A text that does not fit is left
+    out, and the ones after it are looked at. Only hashes are joined and ranked;
     the picked texts are read in a second pass. Runs jobs.
     """
     known = labelled.filter(F.col("label").isNotNull() & (F.col("bytes") > 0)).distinct()
     known = materialize(known, "labelled")
     picked: dict[object, list[int]] = {}
     for (value,) in known.select("label").distinct().collect():
-        rows = known.filter(F.col("label") == value).orderBy(F.xxhash64("hash"), "hash").limit(most).collect()
-        sizes = np.cumsum([r["bytes"] for r in rows])
-        picked[value] = [r["hash"] for r, size in zip(rows, sizes, strict=True) if size <= most_bytes or size == sizes[0]]
+        picked[value] = _picked(known.filter(F.col("label") == value), most, most_bytes)
     if not picked:
         return {}
     hashes = sorted({h for each in picked.values() for h in each})
     # At most ``most`` hashes of each label.
     wanted = F.broadcast(texts.sparkSession.createDataFrame([(h,) for h in hashes], "hash bigint"))
-    found = texts.select(F.xxhash64(text).alias("hash"), F.col(text).alias("text")).join(wanted, "hash", "left_semi")
+    # A character has four bytes at most.
+    whole = F.octet_length(text) <= most_bytes
+    bounded = F.when(whole, F.col(text)).otherwise(F.left(text, F.lit(max(1, most_bytes // 4))))
+    found = texts.select(F.xxhash64(text).alias("hash"), bounded.alias("text")).join(wanted, "hash", "left_semi")
     by_hash = {r["hash"]: r["text"] for r in found.groupBy("hash").agg(F.min("text").alias("text")).collect()}
     return {value: [by_hash[h] for h in sorted(picked[value]) if h in by_hash] for value in sorted(picked)}
 
