@@ -36,6 +36,8 @@ FEATURES = crf.Features(prefixes=(3, 4, 5, 6), suffixes=(3, 4))
 _PREFIXES = (4, 5, 6)
 _CHANCE = 1e-5  # that a piece's texts are all toxic if labels were dealt at random
 _PURITY = 0.95  # of the texts with evidence that are toxic, both labels weighted alike
+_SKETCH = 64  # hashes in a sketch of a text
+_COPY = 0.8  # of the sketch: from this share on, texts are copies of each other
 _NOTICED = 0.1  # smaller marginals do not count towards a text's expected number
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -96,22 +98,52 @@ def _pieces(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in _PREFIXES if len(word) >= n)]
 
 
+def _copies(chains: Chains) -> np.ndarray:
+    """The first text that each text is a near copy of, itself if none; -1 without words.
+
+    A text's sketch has, for each of _SKETCH hashes, the smallest one of its runs of
+    three words, so the share of equal places estimates the share of runs that two
+    texts have in common.
+    """
+    words = np.fromiter(map(hash_of, chains.words), np.uint64, len(chains.words))[chains.codes]
+    owner, runs = chains.texts(), words.copy()
+    for step in (1, 2):
+        runs *= np.uint64(0x9E3779B97F4A7C15)
+        runs[:-step] += np.where(owner[step:] == owner[:-step], words[step:], np.uint64(0))
+    runs ^= runs >> np.uint64(29)
+    texts = np.flatnonzero(chains.lengths)
+    begins = (np.cumsum(chains.lengths) - chains.lengths)[texts]
+    sketch = np.empty((len(texts), _SKETCH), np.uint32)
+    for k in range(_SKETCH if len(texts) else 0):
+        mixed = (runs ^ np.uint64(hash_of(f"sketch {k}"))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        sketch[:, k] = np.minimum.reduceat(mixed >> np.uint64(32), begins)
+    first = np.full(len(texts), -1)
+    for i in range(len(texts)):
+        if first[i] < 0:
+            alike = (sketch[i:] == sketch[i]).mean(axis=1) >= _COPY
+            first[i:][alike & (first[i:] < 0)] = i
+    copies = np.full(len(chains.lengths), -1)
+    copies[texts] = texts[first]
+    return copies
+
+
 def _evidence(chains: Chains, toxic: np.ndarray) -> set[str]:
     """Words and prefixes (with a star) that occur almost only in toxic texts.
 
-    Texts with the same smallest word hash count once, as copies mostly have.
+    Near copies of a label count once.
     """
-    hashes = np.array([hash_of(w) for w in chains.words], np.uint64)
+    copies = _copies(chains)
     ends = np.concatenate([[0], np.cumsum(chains.lengths)])
     shown = ({}, {})
     for text in range(len(chains.lengths)):
         codes = np.unique(chains.codes[ends[text] : ends[text + 1]])
         if not len(codes):
             continue
-        sketch = int(hashes[codes].min())
+        first = int(copies[text])
         seen = shown[int(toxic[text])]
         for piece in {p for c in codes for p in _pieces(chains.words[c])}:
-            seen.setdefault(piece, set()).add(sketch)
+            seen.setdefault(piece, set()).add(first)
     clean, bad = ({p: len(s) for p, s in seen.items()} for seen in shown)
     weight = int((toxic == 0).sum()) / int(toxic.sum())
     least = np.log(_CHANCE) / np.log(toxic.mean())
