@@ -284,7 +284,11 @@ def _read_files(batches: Iterable[pa.RecordBatch], folder: str) -> Iterator[pa.R
 
 
 def read_id_files(index: DataFrame, folder: str) -> DataFrame:
-    """(file, ordinal, n_tokens, ids_crc32) of each document, from the files that the index names."""
-    files = index.select("file").distinct()
+    """(file, ordinal, n_tokens, ids_crc32) of each document, from the files that the index names. Runs a job.
+
+    About one file a task: adaptive execution does not put partitions of a given number together.
+    """
+    names = index.select("file").distinct()
+    files = names.repartition(max(1, names.count()))
     schema = "file string, ordinal bigint, n_tokens bigint, ids_crc32 bigint"
     return files.mapInArrow(lambda batches: _read_files(batches, folder), schema)

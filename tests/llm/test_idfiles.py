@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallybook.llm.idfiles import IdFile, IdFileWriter, WordCoder, read_id_files, write_id_files
@@ -72,6 +73,16 @@ def test_files_of_nulls_ties_and_long_texts(spark, tokenizer, tmp_path):
     assert len({r["file"] for r in index.collect()}) > 1
 
 
+def test_files_are_read_back_in_many_tasks(spark, tmp_path):
+    df = spark.range(40).selectExpr("id AS doc_id", "'some words' AS text")
+    index = write_id_files(df, str(tmp_path / "ids"), PATH, sequence=8, batch_rows=1, file_ids=6).cache()
+    files = index.select("file").distinct().count()
+    read = read_id_files(index, str(tmp_path / "ids")).select("file", F.spark_partition_id().alias("task")).distinct()
+    tasks = [r["n"] for r in read.groupBy("task").agg(F.count("file").alias("n")).collect()]
+    assert files >= 8 and sum(tasks) == files
+    assert max(tasks) <= 3
+
+
 def test_an_empty_table_writes_nothing(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     index = write_id_files(df, str(tmp_path / "none"), PATH)
