@@ -53,9 +53,7 @@ _BEFORE_MARK = r"([A-Za-zÀ-ÖØ-öø-įı-ɏ])([.,!?;:]+)"
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str) -> Tokenizer:
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 class WordCoder:

@@ -83,6 +83,17 @@ def test_files_are_read_back_in_many_tasks(spark, tmp_path):
     assert max(tasks) <= 3
 
 
+def test_special_strings_in_a_text_have_the_ids_of_the_plain_library():
+    plain = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "Word.<|endoftext|>,next", "<|startoftext|><|endoftext|>", "<|endoftext", "x<|ENDOFTEXT|>!"]
+    texts += ["É<|startoftext|>\u0301 ok\t<|endoftext|>.", "it's<|endoftext|>'s"]
+    ids, counts = WordCoder(PATH).encode(pa.array(texts))
+    expected = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert 49407 in expected[0]
+    assert counts.tolist() == [len(e) for e in expected]
+    assert ids.tolist() == [i for e in expected for i in e]
+
+
 def test_an_empty_table_writes_nothing(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     index = write_id_files(df, str(tmp_path / "none"), PATH)
