@@ -11,7 +11,9 @@ many bits flipped holds every item within the radius (multi-index Hamming
 search). Candidates count if their exact weighted-shingle similarity, the sum of
 the smaller weights over the sum of the larger, reaches ``similarity``. At 0.8,
 fingerprints differ in about 9 bits, and in over RADIUS for fewer than two windows
-in a thousand.
+in a thousand. That does not hold for repetitive or very short items, whose bits may
+stand at a tie: items that repeat a shingle or have fewer than FEW are compared
+exactly with every window that has enough of their shingles.
 
 Only windows that can pass are fingerprinted: a window of similarity s or more
 must have at least s times the item's shingles in common with it, so at least so
@@ -50,6 +52,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 20
 BLOCKS = 8
+FEW = 9  # different shingles, from which on fingerprints are trusted
 ITEM_BYTES = 4 << 20  # of item texts in a block
 _BITS = 64 // BLOCKS
 _FILTER_BITS = 22
@@ -89,6 +92,7 @@ class _ItemsOfLength:
         self.ids: list = []
         self.weights: list[Counter] = []
         self.prints = np.zeros(0, np.uint64)
+        self.unsure: dict[int, list[int]] = defaultdict(list)  # items compared exactly, by hash of their shingles
         self._starts: list[np.ndarray] = []
         self._rows: list[np.ndarray] = []
 
@@ -136,6 +140,9 @@ class ItemIndex:
             group.ids.append(key)
             group.weights.append(_weights(own, group.size))
             shingles = _shingle_hashes(_word_hashes(own), group.size)
+            if len(group.weights[-1]) < max(FEW, group.shingles):
+                for value in np.unique(shingles).tolist():
+                    group.unsure[value].append(len(group.ids) - 1)
             hashes[len(own)].append(shingles)
             known[group.size].append(shingles)
         for length, group in self.lengths.items():
@@ -192,12 +199,25 @@ class ItemIndex:
             some |= total[at[1:]] > total[at[:-1]]
         return np.flatnonzero(some)
 
+    def _unsure(self, group: _ItemsOfLength, shingles: np.ndarray) -> set[tuple[int, int]]:
+        """(window, item) pairs of the items whose fingerprints are not trusted that have enough shingles in common."""
+        if not group.unsure:
+            return set()
+        enough, pairs = self.similarity * group.shingles - 1e-9, set()
+        hits = np.isin(shingles, np.fromiter(group.unsure, np.uint64, len(group.unsure)))
+        for window in np.flatnonzero(hits.sum(axis=1) >= enough).tolist():
+            shared = Counter(item for value in shingles[window][hits[window]].tolist() for item in group.unsure[value])
+            pairs.update((window, item) for item, n in shared.items() if n >= enough)
+        return pairs
+
     def _verify(self, group, first, count, shingles, own, begin, width, best) -> None:
         step = max(1, _HASHED // count)
         for a in range(0, len(first), step):
             part = first[a : a + step]
-            prints = majority(shingles[part[:, None] + np.arange(count)].ravel(), np.full(len(part), count))
-            for window, item in zip(*group.near(prints), strict=True):
+            own_shingles = shingles[part[:, None] + np.arange(count)]
+            prints = majority(own_shingles.ravel(), np.full(len(part), count))
+            pairs = set(zip(*(x.tolist() for x in group.near(prints)), strict=True))
+            for window, item in sorted(pairs | self._unsure(group, own_shingles)):
                 at = int(part[window]) - begin
                 s = weighted_similarity(_weights(own[at : at + width], group.size), group.weights[item])
                 if s >= self.similarity and s > best.get((group, item), (0,))[0]:

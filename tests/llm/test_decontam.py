@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallybook.llm import decontam
@@ -97,3 +98,20 @@ def test_windows_at_the_least_similarity_are_within_the_radius(shared):
     sides = [np.concatenate([common, rng.integers(0, 2**63, (2000, own)).astype(np.uint64)], axis=1) for _ in range(2)]
     prints = [majority(s.ravel(), np.full(2000, shared + own)) for s in sides]
     assert (np.bitwise_count(prints[0] ^ prints[1]) > decontam.RADIUS).mean() < 0.002
+
+
+def test_repetitive_items_equal_brute_force():
+    rng = np.random.default_rng(9)
+    items, docs = [], []
+    for i in range(30):
+        a, b = f"a{i}", f"b{i}"
+        items.append((i, " ".join([a, b] * 6 + [a])))  # two shingles, 5 and 4 times
+        docs.append((i, " ".join([b, a] * 6 + [b])))  # 4 and 5 times, in a document that is one window
+        short = [f"s{i}_{k}" for k in range(9)]  # 5 shingles
+        items.append((100 + i, " ".join(short)))
+        docs.append((100 + i, " ".join(short[: int(rng.integers(7, 9))])))
+    index = decontam.ItemIndex(items, 5, 0.8)
+    found = index.search(pa.array([t for _, t in docs]))
+    expected = brute(docs, items)
+    assert {(i, r["item_id"]): r["similarity"] for i, rows in enumerate(found) for r in rows} == expected
+    assert sum(k < 100 for _, k in expected) == 30
