@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import bpe, decontam, editcounts, idfiles, language, maxent, shards, simhash, toxicity, vectors
+from tallybook.llm import bpe, decontam, editcounts, idfiles, language, maxent, negatives, quality, runs, shards, simhash
+from tallybook.llm import toxicity, vectors
 from tallybook.llm.tagging import held_out
 from tallybook.operators.scratch import materialize, scratch_path
 
@@ -146,6 +147,75 @@ def op10_arrow_id_files(spark: SparkSession, folder: str) -> DataFrame:
     return index.join(stored.hint("merge"), here).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def _with_planted_tails(docs: DataFrame) -> DataFrame:
+    """In about one document of ten, all words from a place on repeat the first few words from there.
+
+    Id and text decide which, from where and how many; documents without an id or words stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    # White space between words.
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    chosen = docs.withColumn("_g", F.floor(h / 10)).withColumn("_words", F.when(h % 10 == 0, words))
+    size, g = F.size("_words"), F.col("_g")
+    chosen = chosen.withColumn("_n", F.when(size > 0, size)).withColumn("_a", (g % F.col("_n")).cast("int"))
+    rest = F.col("_n") - F.col("_a")
+    chosen = chosen.withColumn("_p", (F.floor(rest / (g % 8 + 3)) + 1).cast("int"))
+    unit = F.slice("_words", F.col("_a") + 1, F.col("_p"))
+    tail = F.slice(F.flatten(F.array_repeat(unit, F.ceil(rest / F.col("_p")).cast("int"))), F.lit(1), rest)
+    planted = F.array_join(F.concat(F.slice("_words", F.lit(1), F.col("_a")), tail), " ")
+    return chosen.select("doc_id", F.when(F.col("_n").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _with_planted_tails(_table(spark, folder, "documents", "doc_id", "text"))
+    found = runs.with_runs(docs, drop=["text"])
+    # Lists come by start, then period, so the first of equals is the one wanted.
+    more = lambda best, r: r["length"] * best["period"] > best["length"] * r["period"]
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(more(best, r), r).otherwise(best))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.concat(F.array_join(listed, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    found = found.select("doc_id", "runs", "collapsed", best.alias("best"), text.alias("listed"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.call_function("div", F.col("best.length") * 1000, F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.col("listed").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def quality_model(spark: SparkSession, folder: str) -> quality.QualityModel:
+    """Learned from the labelled documents of two folds of three."""
+    docs = _table(spark, folder, "documents", "doc_id", "text")
+    labels = _table(spark, folder, "labels", "doc_id", "quality").filter(~held_out("doc_id", 3, 1))
+    return quality.learn(docs, labels)
+
+
+def op12_nbsvm_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents", "doc_id", "text")
+    scored = quality.with_quality(docs, quality_model(spark, folder), drop=["text"])
+    return scored.select(
+        "doc_id",
+        held_out("doc_id", 3, 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op13_slot_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "embeddings", "vec_id", "embedding", "label")
+    x = F.col("embedding").cast("array<double>")
+    finite = F.forall(x, lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.filter(F.coalesce(finite, F.lit(False))).select(
+        "vec_id", moved.alias("label"), F.transform(x, lambda v: F.floor(v * 256)).alias("vector")
+    )
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -158,8 +228,37 @@ def queries() -> dict[str, Query]:
         "op8_edited_counts": op8_edited_counts,
         "op9_maxent_scores": op9_maxent_scores,
         "op10_arrow_id_files": op10_arrow_id_files,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_nbsvm_quality": op12_nbsvm_quality,
+        "op13_slot_negatives": op13_slot_negatives,
     }
 
 
+_SLOT_NEGATIVES = """
+WITH rows AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           [floor(256 * x::DOUBLE) FOR x IN embedding] AS vector
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scores AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_dot_product(a.vector, r.vector)::BIGINT AS score
+    FROM rows a JOIN rows r ON a.vec_id <> r.vec_id
+    WHERE a.vec_id % 50 = 0
+), positives AS (
+    SELECT * FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), ranked AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id,
+           row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS place,
+           n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same
+     AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, place::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE place <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_slot_negatives": _SLOT_NEGATIVES}

@@ -106,5 +106,5 @@ def test_the_whole_pipeline_is_its_stages(spark):
 
 def test_every_operator_has_one_query():
     numbers = [int(name[2:].split("_")[0]) for name in queries()]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries())
