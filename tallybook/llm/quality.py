@@ -45,6 +45,8 @@ from tallybook.llm.text import codes_of, offsets_of, slices
 BITS = 18
 SAMPLE_TEXTS = 2000
 SAMPLE_BYTES = 6_000_000
+#: Up to so many labels (of some 30 bytes) go to every task; more are joined to the texts by a shuffle.
+BROADCAST_LABELS = 1_000_000
 _SMOOTH = 1.0  # added to every count
 _PENALTY = 1.0  # bound of a dual weight, before labels are weighed
 _ROUNDS = 40
@@ -232,9 +234,11 @@ def learn(
 
     Ratios are counted over all of them; at most ``most`` texts and ``most_bytes`` of
     each label, picked by a hash of the text, go into the fit. What reaches the driver
-    is that sample, and 2^BITS counts.
+    is that sample, and 2^BITS counts. Texts are shuffled only where the labels are too
+    many to broadcast.
     """
     known = labels.select(key, F.col(label).alias("label")).filter(F.col("label").isin(0, 1))
+    known = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known.hint("merge")
     labelled = texts.select(key, text).join(known, key)
     marks = texts.select(key, *text_marks(text)).join(known, key).select("label", "hash", "bytes")
     sample = labelled_sample(texts, marks, text, most, most_bytes)

@@ -105,8 +105,10 @@ def test_scores_are_those_of_the_formula(spark):
         assert score == pytest.approx(1 / (1 + np.exp(-(model.curve[0] * distance + model.curve[1]))), abs=1e-6)
 
 
-def test_ratios_count_every_labelled_text(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_ratios_count_every_labelled_text(spark, monkeypatch, broadcast):
     seen = {}
+    monkeypatch.setattr(quality, "BROADCAST_LABELS", broadcast)
     monkeypatch.setattr(quality, "fitted", lambda spark, fit, shared: seen.setdefault("ratios", shared[0]))
     rows = [(i, f"good{i % 3} words" if i % 2 else "BAD!! words") for i in range(50)] + [(None, "x"), (99, None), (98, "unlabelled")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
