@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -267,10 +268,39 @@ def _append_sales(spark: SparkSession, folder: str) -> DataFrame:
     second = sheet.filter(odd)
     load.append_sales(second, target, contiguous_ids=True, load_id="second")
     tables = load.append_sales(second, target, contiguous_ids=True, load_id="second").tables
+    return _row_counts(tables).union(_item_ids(tables))
+
+
+def _thirds(spark: SparkSession, folder: str) -> tuple[list[DataFrame], str]:
+    sheet, third = star_sheet(spark, folder), F.regexp_extract("InvoiceNo", r"\d+", 0).cast("bigint") % 3
+    return [sheet.filter(third == i) for i in range(3)], scratch_path(spark, "load")
+
+
+def _two_writers(spark: SparkSession, folder: str) -> DataFrame:
+    """A third of the sheet, then the others loaded by two writers at once: one is second and loads on top."""
+    (first, *others), target = _thirds(spark, folder)
+    load.load_sales(first, target, contiguous_ids=True)
+    with ThreadPoolExecutor(2) as both:
+        list(both.map(lambda sheet: load.append_sales(sheet, target, contiguous_ids=True), others))
+    return _row_counts(store.read_tables(spark, target)).union(_item_ids(store.read_tables(spark, target)))
+
+
+def _compacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Two loads made one, a third one after it, and the files that a scan of the tables then reads from."""
+    (first, second, third), target = _thirds(spark, folder)
+    load.load_sales(first, target, contiguous_ids=True)
+    load.append_sales(second, target, contiguous_ids=True)
+    load.compact_sales(spark, target)
+    tables = load.append_sales(third, target, contiguous_ids=True).tables
+    read = tables.invoices.select(F.regexp_extract(F.input_file_name(), "load=([^/]*)", 1).alias("load")).distinct()
+    loads = read.agg(F.lit("loads read").alias("table_name"), F.count(F.lit(1)).alias("rows"))
+    return _row_counts(tables).union(_item_ids(tables)).union(loads)
+
+
+def _item_ids(tables: RetailTables) -> DataFrame:
     ids = tables.invoice_items.agg(F.max("item_id").alias("last"), F.countDistinct("item_id").alias("distinct"))
-    last = ids.select(F.lit("last item").alias("table_name"), F.col("last").alias("rows"))
-    distinct = ids.select(F.lit("distinct items").alias("table_name"), F.col("distinct").alias("rows"))
-    return _row_counts(tables).union(last).union(distinct)
+    named = [("last item", "last"), ("distinct items", "distinct")]
+    return ids.select(F.inline(F.array(*(F.struct(F.lit(n).alias("table_name"), F.col(c).alias("rows")) for n, c in named))))
 
 
 def _row_counts(tables: RetailTables) -> DataFrame:
@@ -438,6 +468,8 @@ def queries() -> dict[str, Query]:
         "table_scan": _table_scan,
         "append_new_keys": _append_new_keys,
         "append_sales": _append_sales,
+        "two_writers": _two_writers,
+        "compact_tables": _compacted,
         "reset_tables": _reset_tables,
         "physical_layout": _layout("bucket"),
         "range_layout": _layout("range"),

@@ -294,6 +294,10 @@ _WEEK = "(VALUES (1,'Mon'),(2,'Tue'),(3,'Wed'),(4,'Thu'),(5,'Fri'),(6,'Sat'),(7,
 _HEAT = """SELECT CAST(isodow(invoice_date) AS BIGINT) AS dow, CAST(hour(invoice_date) AS BIGINT) AS hour, count(*) AS orders
   FROM invoices WHERE NOT is_cancellation GROUP BY 1, 2"""
 
+_LOADED = " UNION ALL ".join([
+    *(f"SELECT '{t}' AS table_name, count(*) AS rows FROM s_{t}" for t in ("countries", "customers", "products", "invoices")),
+    *(f"SELECT '{t}', count(*) FROM clean" for t in ("invoice_items", "last item", "distinct items"))])
+
 ORACLE: dict[str, str] = {
     # views
     "order_totals": _star(f"SELECT invoice_no, invoice_date, customer_id, {_big('country_id')}, {money('cents')} AS order_total, {_big('units')} FROM totals"),
@@ -415,9 +419,9 @@ ORACLE: dict[str, str] = {
     "write_tables": _star(_TABLE_ROWS.replace("{}", "count(*)")),
     "table_scan": _star(f"SELECT invoice_no, invoice_date, customer_id, {_big('country_id')}, is_cancellation FROM invoices"),
     "append_new_keys": _star("SELECT customer_id, CAST(CASE WHEN customer_id % 2 = 0 THEN country_id ELSE country_id + 1 END AS BIGINT) AS country_id FROM customers"),
-    "append_sales": _sheet(" UNION ALL ".join([
-        *(f"SELECT '{t}' AS table_name, count(*) AS rows FROM s_{t}" for t in ("countries", "customers", "products", "invoices")),
-        *(f"SELECT '{t}', count(*) FROM clean" for t in ("invoice_items", "last item", "distinct items"))])),
+    "append_sales": _sheet(_LOADED),
+    "two_writers": _sheet(_LOADED),
+    "compact_tables": _sheet(f"{_LOADED} UNION ALL SELECT 'loads read', 2"),
     "reset_tables": _star(_TABLE_ROWS.replace("{}", "count(*) FILTER (WHERE false)")),
     "physical_layout": _star(f"SELECT invoice_no, invoice_date, customer_id, {_big('country_id')}, {money('cents')} AS order_total, {_big('units')} FROM totals"),
     "range_layout": _star(f"SELECT invoice_no, invoice_date, customer_id, {_big('country_id')}, {money('cents')} AS order_total, {_big('units')} FROM totals"),

@@ -16,14 +16,18 @@ from tallybook.model import COPIES, CORRUPT, RAW_SCHEMA, SOURCE_ORDER, RetailTab
 from tallybook.operators.scratch import materialize
 from tallybook.plans.clean import REASON, clean_sales, quarantine_reason, quarantined
 from tallybook.plans.normalize import build_countries, normalize
-from tallybook.plans.quality import row_violations
+from tallybook.plans.quality import added_violations, row_violations
+from tallybook.sources.log import State
 from tallybook.sources.tables import (
+    KEYED,
     added_rows,
     commit_load,
-    committed_loads,
+    compact,
+    known_keys,
     load_path,
     new_keys,
     new_load_id,
+    on_top,
     read_tables,
     table_scan,
     write_load,
@@ -116,28 +120,38 @@ def set_aside_rows(spark: SparkSession, folder: str) -> DataFrame:
     return table_scan(spark, folder, "set_aside", SET_ASIDE)
 
 
+def compact_sales(spark: SparkSession, folder: str) -> State:
+    """One load of all that count, the rows that they set aside included; counts stay those of each load."""
+    return compact(spark, folder, {"set_aside": SET_ASIDE})
+
+
 def _published(
-    staged: DataFrame, clean: DataFrame, incoming: RetailTables, folder: str, load_id: str, fresh: bool
-) -> Load:
-    """Write all of a load, check it, and only then make it count."""
+    staged: DataFrame, clean: DataFrame, incoming: RetailTables, folder: str, load_id: str, seen: State | None
+) -> State:
+    """Write all of a load, check it, and only then make it count: on top of ``seen``, or in place of what there was."""
     spark = staged.sparkSession
     aside = _set_aside_columns(quarantined(staged))
     aside.write.mode("overwrite").parquet(load_path(folder, "set_aside", load_id))
-    written = write_load(incoming, folder, load_id)
-    broken = row_violations(written).filter("violations > 0").collect()
+    written = write_load(incoming, folder, load_id, seen.buckets if seen else 0)
+    rules = row_violations(written)
+    if seen is not None:
+        known = {name: known_keys(spark, folder, name, seen) for name in KEYED}
+        countries = table_scan(spark, folder, "countries", state=seen)
+        known["countries"] = countries.select(F.col("country_id").alias("key"))
+        rules = rules.union(added_violations(written, known))
+    broken = rules.filter("violations > 0").collect()
     if broken:
         found = ", ".join(f"{r['table_name']} {r['rule']}: {r['violations']}" for r in broken)
         raise ValueError(f"load {load_id} is not published, its rows break rules: {found}")
     counts = load_counts(staged, clean, written)
     counts.write.mode("overwrite").parquet(load_path(folder, "counts", load_id))
-    commit_load(spark, folder, load_id, fresh)
-    return _reported(spark, clean, folder, load_id)
+    return commit_load(spark, folder, load_id, fresh=seen is None, seen=seen)
 
 
-def _reported(spark: SparkSession, clean: DataFrame | None, folder: str, load_id: str) -> Load:
+def _reported(spark: SparkSession, clean: DataFrame | None, folder: str, load_id: str, tables: RetailTables) -> Load:
     counts = spark.read.schema(COUNTS).parquet(load_path(folder, "counts", load_id))
     aside = spark.read.schema(SET_ASIDE).parquet(load_path(folder, "set_aside", load_id))
-    return Load(clean, read_tables(spark, folder), counts, aside)
+    return Load(clean, tables, counts, aside)
 
 
 def load_sales(
@@ -155,13 +169,13 @@ def load_sales(
     staged = _staged(raw, null_keys)
     clean = materialize(clean_sales(staged, null_keys), "clean")
     countries = materialize(build_countries(clean), "countries")
-    incoming = normalize(clean, contiguous_ids, countries)
-    return _published(staged, clean, incoming, folder, load_id or new_load_id(), fresh=True)
+    incoming, load_id = normalize(clean, contiguous_ids, countries), load_id or new_load_id()
+    state = _published(staged, clean, incoming, folder, load_id, seen=None)
+    return _reported(raw.sparkSession, clean, folder, load_id, read_tables(raw.sparkSession, folder, state))
 
 
-def _new_countries(clean: DataFrame, known: DataFrame) -> DataFrame:
+def _new_countries(clean: DataFrame, known: DataFrame, last: int) -> DataFrame:
     """The names that are not there yet, numbered on."""
-    last = known.agg(F.coalesce(F.max("country_id"), F.lit(0))).scalar()
     names = clean.select(F.col("Country").alias("name")).distinct()
     fresh = build_countries(new_keys(names, known, "name", None).withColumnRenamed("name", "Country"))
     return fresh.select((F.col("country_id") + last).cast("int").alias("country_id"), "name")
@@ -180,17 +194,25 @@ def append_sales(
     are; new ones are added, with the country ids of the existing table. All lines
     are added, numbered on from the last item. Without a ``load_id`` the same sheet
     loaded twice doubles its lines; with one, a load that is in the log is not done
-    again, and one that failed is done over.
+    again, and one that failed is done over. Others may load into the folder at the
+    same time; whoever comes second takes the ids after the first one's.
+    The added rows are checked against the rules, references to rows of earlier loads
+    included, before they count.
     """
     spark, load_id = raw.sparkSession, load_id or new_load_id()
-    if load_id in committed_loads(spark, folder):
-        return _reported(spark, None, folder, load_id)
-    staged = _staged(raw, null_keys)
-    clean = materialize(clean_sales(staged, null_keys), "clean")
-    existing = read_tables(spark, folder)
-    fresh = materialize(_new_countries(clean, existing.countries), "new-countries")
-    incoming = normalize(clean, contiguous_ids, existing.countries.union(fresh))
-    last = existing.invoice_items.agg(F.coalesce(F.max("item_id"), F.lit(0).cast("bigint"))).scalar()
-    numbered = incoming.invoice_items.withColumn("item_id", F.col("item_id") + last)
-    added = added_rows(replace(incoming, countries=fresh, invoice_items=numbered), existing)
-    return _published(staged, clean, added, folder, load_id, fresh=False)
+    prepared: list[DataFrame] = []  # cleaned once, however often others come first
+
+    def load(state: State) -> State:
+        if not prepared:
+            staged = _staged(raw, null_keys)
+            prepared.extend([staged, materialize(clean_sales(staged, null_keys), "clean")])
+        staged, clean = prepared
+        known = table_scan(spark, folder, "countries", state=state)
+        fresh = materialize(_new_countries(clean, known, state.last_country), "new-countries")
+        incoming = normalize(clean, contiguous_ids, known.union(fresh))
+        numbered = incoming.invoice_items.withColumn("item_id", F.col("item_id") + state.last_item)
+        added = added_rows(replace(incoming, countries=fresh, invoice_items=numbered), folder, state)
+        return _published(staged, clean, added, folder, load_id, seen=state)
+
+    tables = on_top(spark, folder, load_id, load)
+    return _reported(spark, prepared[1] if prepared else None, folder, load_id, tables)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.model import PRIMARY_KEYS, RetailTables
+from tallybook.sources.tables import known_among, unregistered
 
 UNIQUE_KEYS = [*PRIMARY_KEYS.items(), ("countries", "name")]
 NOT_NULL = {
@@ -139,3 +140,31 @@ def check_constraints(tables: RetailTables) -> DataFrame:
     """
     keys = [_key_rules(tables, t, key, unique=True, exists=True) for t, key in UNIQUE_KEYS]
     return _union([*keys, row_violations(tables)])
+
+
+def added_violations(added: RetailTables, known: dict[str, DataFrame]) -> DataFrame:
+    """The rules about keys for rows that are added to existing tables.
+
+    ``known`` holds the keys (column ``key``) of each table that others point to, as they
+    are before. Unique: how many added keys occur twice or are known. Exists: how many
+    different values of added rows point to nothing that is known or added. Only the keys
+    of the added rows are shuffled; what is known is read past them.
+    """
+    rules = []
+
+    def rule(table: str, name: str, violating: DataFrame) -> None:
+        count = violating.agg(F.count(F.lit(1)).alias("violations"))
+        rules.append(count.select(F.lit(table).alias("table_name"), F.lit(name).alias("rule"), "violations"))
+
+    for table, key in UNIQUE_KEYS:
+        uses = getattr(added, table).select(F.col(key).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
+        twice = uses.filter("uses > 1").select("key")
+        if table in known and key == PRIMARY_KEYS[table]:
+            twice = twice.union(known_among(uses, "key", known[table])).distinct()
+        rule(table, f"unique({key})", twice)
+    for table, column, to, key in FOREIGN_KEYS:
+        own = getattr(added, to).select(F.col(key).alias("key"))
+        asked = getattr(added, table).select(F.col(column).alias("key")).filter(F.col("key").isNotNull()).distinct()
+        missing = asked.join(own, "key", "left_anti")
+        rule(table, f"exists({column} in {to})", unregistered(missing, "key", known[to]))
+    return _union(rules)
