@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.model import PRIMARY_KEYS, RetailTables
-from tallybook.sources.tables import known_among, unregistered
+from tallybook.sources.tables import known_among
 
 UNIQUE_KEYS = [*PRIMARY_KEYS.items(), ("countries", "name")]
 NOT_NULL = {
@@ -148,23 +148,23 @@ def added_violations(added: RetailTables, known: dict[str, DataFrame]) -> DataFr
     ``known`` holds the keys (column ``key``) of each table that others point to, as they
     are before. Unique: how many added keys occur twice or are known. Exists: how many
     different values of added rows point to nothing that is known or added. Only the keys
-    of the added rows are shuffled; what is known is read past them.
+    of the added rows are shuffled; what is known is read past them, once for each key.
     """
-    rules = []
-
-    def rule(table: str, name: str, violating: DataFrame) -> None:
-        count = violating.agg(F.count(F.lit(1)).alias("violations"))
-        rules.append(count.select(F.lit(table).alias("table_name"), F.lit(name).alias("rule"), "violations"))
-
-    for table, key in UNIQUE_KEYS:
-        uses = getattr(added, table).select(F.col(key).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
-        twice = uses.filter("uses > 1").select("key")
-        if table in known and key == PRIMARY_KEYS[table]:
-            twice = twice.union(known_among(uses, "key", known[table])).distinct()
-        rule(table, f"unique({key})", twice)
-    for table, column, to, key in FOREIGN_KEYS:
-        own = getattr(added, to).select(F.col(key).alias("key"))
-        asked = getattr(added, table).select(F.col(column).alias("key")).filter(F.col("key").isNotNull()).distinct()
-        missing = asked.join(own, "key", "left_anti")
-        rule(table, f"exists({column} in {to})", unregistered(missing, "key", known[to]))
-    return _union(rules)
+    return _union([_added_key_rules(added, table, key, known) for table, key in UNIQUE_KEYS])
+
+
+def _added_key_rules(added: RetailTables, table: str, key: str, known: dict[str, DataFrame]) -> DataFrame:
+    pointing = _pointing_to(table, key)
+    uses, there = _key_uses(added, [(table, key), *pointing]), F.lit(False)
+    if table in known and key == PRIMARY_KEYS[table]:
+        found = known_among(uses, "_key", known[table]).select(F.col("key").alias("_there"))
+        uses, there = uses.join(found, F.col("_key") == F.col("_there"), "left"), F.col("_there").isNotNull()
+    rules = {(table, f"unique({key})"): (F.col("_0") > 1) | ((F.col("_0") > 0) & there)}
+    for j, (t, c) in enumerate(pointing, 1):
+        rules[(t, f"exists({c} in {table})")] = (F.col("_0") == 0) & ~there & (F.col(f"_{j}") > 0)
+    counted = uses.agg(*(F.count_if(broken).alias(f"v{i}") for i, broken in enumerate(rules.values())))
+    entries = [
+        F.struct(F.lit(t).alias("table_name"), F.lit(rule).alias("rule"), F.col(f"v{i}").alias("violations"))
+        for i, (t, rule) in enumerate(rules)
+    ]
+    return counted.select(F.inline(F.array(*entries)))
