@@ -31,9 +31,9 @@ SMALL_BASKET = 64
 SEED_ITEMS = 256
 #: Below this many pairs per line, listing all of them is cheaper than a floor.
 CHEAP_PAIRS_PER_LINE = 8
-#: A large basket's pairs are listed in blocks of about this many.
-BLOCK_PAIRS = 1 << 18
-#: Blocks are dealt to this many tasks at most.
+#: A large basket's items are cut into parts of about this many; a tile pairs two parts.
+PART_ITEMS = 1 << 9
+#: Tiles are dealt to this many tasks at most.
 MOST_TASKS = 1 << 14
 
 _SLACK = 1 + 1e-9  # keeps a bound from being rounded below the true value
@@ -133,41 +133,66 @@ def _count_large(lines: DataFrame, norms: DataFrame, floor: _Floor) -> DataFrame
     top = norms.agg(F.max("norm_large")).first()[0]
     item_bound = _bound(F.col("norm_large"), F.lit(top))
     tagged = lines.join(norms.select("item", "norm_large").filter(floor.reachable(item_bound)), "item")
-    left, right = _sides(tagged, "norm_large")
-    left = left.filter(floor.reachable_as_first(_bound(F.col("norm_large_a"), F.lit(top)), F.col("a")))
-    # A basket of n lines has up to n * n / 2 pairs, cut into blocks of at most about
-    # BLOCK_PAIRS by a hash of the first item. The number of tasks follows the pairs,
-    # so blocks that are small in bytes but long to pair stay apart.
-    sizes = tagged.groupBy("basket").agg(F.count(F.lit(1)).cast("double").alias("_size"))
-    share = F.col("_size") * F.col("_size") / (2 * BLOCK_PAIRS)
-    sizes = sizes.select("basket", F.ceil(share).cast("int").alias("_blocks"), share.alias("_share"))
-    sizes = materialize(sizes, "basket-blocks")
-    total = math.ceil(sizes.agg(F.sum("_share")).first()[0] or 0)
-    sizes = sizes.drop("_share")
-    parts = min(MOST_TASKS, max(total, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    block = F.pmod(F.xxhash64("a"), F.col("_blocks").cast("bigint")).cast("int")
-    left = left.join(sizes, "basket").withColumn("block", block).drop("_blocks")
-    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    right = right.join(sizes, "basket").withColumn("block", every).drop("_blocks")
-    left = left.repartition(parts, "basket", "block")
-    right = right.repartition(parts, "basket", "block")
-    open_pair = floor.reachable_pair(_bound(F.col("norm_large_a"), F.col("norm_large_b")), F.col("a"), F.col("b"))
-    return (
-        _join_sides(left, right, ["basket", "block"], open_pair)
-        .groupBy("a", "b")
-        .agg(F.sum(F.col("n_a") * F.col("n_b")).alias("large_count"))
+    first, second, tiles = _grid(tagged, floor.reachable_as_first(_bound(F.col("norm_large"), F.lit(top)), F.col("item")))
+    spread = max(tiles, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    on = ["basket", "row", "column"]
+    first, second = (side.repartition(min(MOST_TASKS, spread), *on) for side in (first, second))
+    ordered = (F.col("row") < F.col("column")) | (F.col("x") < F.col("y"))
+    open_pair = floor.reachable_pair(
+        _bound(F.col("norm_large_x"), F.col("norm_large_y")), F.least("x", "y"), F.greatest("x", "y")
+    )
+    met = first.join(second, on).filter(ordered & open_pair)
+    return met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
+        F.sum(F.col("n_x") * F.col("n_y")).alias("large_count")
     )
 
 
+def _grid(lines: DataFrame, leads: Column) -> tuple[DataFrame, DataFrame, int]:
+    """The two sides of each basket's tiles (columns x and y), and about how many tiles there are.
+
+    A hash deals the items of a basket to parts of about PART_ITEMS, items that ``leads`` (that can
+    be the first of a pair in the answer) to the parts before the others. Tile (row, column), with
+    row <= column and a leading row, pairs two parts: an item of part i stands at the first side of
+    tiles (i, i), (i, i + 1), ... and at the second side of (0, i), ..., (i, i). So a basket of n items
+    in k parts has n * (k + 1) copies at most, and every pair meets in one tile.
+    """
+    marked = lines.withColumn("_leads", leads)
+    sizes = marked.groupBy("basket").agg(F.count_if("_leads").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    head, rest = (F.ceil(c / PART_ITEMS).cast("int") for c in (F.col("_first"), F.col("_size") - F.col("_first")))
+    sizes = materialize(sizes.select("basket", head.alias("_head"), rest.alias("_rest")), "basket-parts")
+    h, r = F.col("_head").cast("double"), F.col("_rest").cast("double")
+    tiles = math.ceil(sizes.agg(F.sum(h * (h + 1) / 2 + h * r)).first()[0] or 0)
+    head, rest, mixed = F.col("_head"), F.col("_rest"), F.xxhash64("item")
+    part = F.when(F.col("_leads"), F.pmod(mixed, head)).otherwise(head + F.pmod(mixed, rest))
+    dealt = marked.join(sizes, "basket").filter(head > 0).withColumn("_part", part.cast("int"))
+
+    def side(dealt: DataFrame, name: str, own: str, other: str, from_: Column, to: Column) -> DataFrame:
+        kept = [F.col("item").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "norm_large"))]
+        return dealt.select("basket", *kept, F.col("_part").alias(own), F.explode(F.sequence(from_, to)).alias(other))
+
+    first = side(dealt.filter("_leads"), "x", "row", "column", F.col("_part"), head + rest - 1)
+    second = side(dealt, "y", "column", "row", F.lit(0), F.least(F.col("_part"), head - 1))
+    return first, second, tiles
+
+
 def _look_up_large(pairs: DataFrame, large: DataFrame) -> DataFrame:
-    """Counts in large baskets for given pairs."""
-    left, right = _sides(large)
+    """Counts in large baskets for given pairs.
+
+    A pair is looked for in the baskets of the rarer of its items only.
+    """
+    uses = large.groupBy("item").agg(F.count(F.lit(1)).alias("uses"))
+    by_item = [uses.select(F.col("item").alias(c), F.col("uses").alias(f"uses_{c}")) for c in ("a", "b")]
+    known = pairs.select("a", "b").join(by_item[0], "a").join(by_item[1], "b")
+    rare = F.col("uses_a") <= F.col("uses_b")
+    asked = known.select(
+        "a", "b", F.when(rare, F.col("a")).otherwise(F.col("b")).alias("item"), F.when(rare, F.col("b")).otherwise(F.col("a")).alias("other")
+    )
+    other = large.select("basket", F.col("item").alias("other"), F.col("n").alias("n_other"))
     return (
-        pairs.select("a", "b")
-        .join(left, "a")
-        .join(right, ["basket", "b"])
+        asked.join(large.select("basket", "item", "n"), "item")
+        .join(other, ["basket", "other"])
         .groupBy("a", "b")
-        .agg(F.sum(F.col("n_a") * F.col("n_b")).alias("large_count"))
+        .agg(F.sum(F.col("n") * F.col("n_other")).alias("large_count"))
     )
 
 

@@ -98,3 +98,38 @@ def test_empty_and_single_items(spark):
 def test_fewer_pairs_than_asked_for(spark):
     lines = [("a", "x", 1), ("a", "y", 2), ("b", "x", 1), ("b", "y", 1)]
     check(spark, lines, k=50, small_basket=1)
+
+
+@pytest.mark.parametrize("part", [1, 3, 50])
+def test_tiles_of_any_size_give_the_same_pairs(spark, monkeypatch, part):
+    monkeypatch.setattr(pairs, "PART_ITEMS", part)
+    lines = random_lines(20, 8, 60, 50, 3) + [("hot", f"i{i:03}", 1 + i % 3) for i in range(60)]
+    check(spark, lines, k=20, small_basket=5)
+    check(spark, [("hot", f"i{i:03}", 1) for i in range(40)], k=30, small_basket=1, cheap_pairs_per_line=0)
+
+
+def test_every_pair_meets_in_one_tile_and_copies_are_few(spark, monkeypatch):
+    """A basket of n items in k parts has n * (k + 1) copies, not one of all items in each block of pairs."""
+    monkeypatch.setattr(pairs, "PART_ITEMS", 10)
+    n = 300
+    lines = frame(spark, [("hot", f"i{i:03}", 1) for i in range(n)]).withColumn("norm_large", F.lit(1.0))
+    first, second, tiles = pairs._grid(lines, F.lit(True))
+    met = first.join(second, ["basket", "row", "column"]).filter("row < column OR x < y")
+    found = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    assert found.count() == found.distinct().count() == n * (n - 1) // 2
+    assert first.count() + second.count() == n * (n // 10 + 1)
+    assert tiles == 30 * 31 // 2
+    # Pairs of items that cannot lead are not listed.
+    leading = F.col("item") < "i007"
+    first, second, tiles = pairs._grid(lines, leading)
+    met = first.join(second, ["basket", "row", "column"]).filter("row < column OR x < y")
+    assert met.count() == 7 * 6 // 2 + 7 * (n - 7)
+    assert first.count() + second.count() <= 7 * 31 + n and tiles == 31
+
+
+def test_looked_up_pairs_read_the_baskets_of_the_rarer_item(spark):
+    lines = [(f"b{i}", "common", 1) for i in range(200)] + [("b3", "rare", 2), ("b5", "rare", 1), ("x", "rare", 1)]
+    large, wanted = frame(spark, lines), spark.createDataFrame([("common", "rare")], "a string, b string")
+    assert rows(pairs._look_up_large(wanted, large)) == [("common", "rare", 3)]
+    plan = pairs._look_up_large(wanted, large)._jdf.queryExecution().optimizedPlan().toString()
+    assert "uses_a" in plan and "CASE WHEN" in plan
