@@ -22,8 +22,8 @@ from tallybook.sources.star import star_sheet, star_tables
 try:
     import corpus_pipeline
     from tallybook.llm import queries as llm
-except ImportError as missing:  # the subpackage may be left out as a whole
-    if missing.name not in ("corpus_pipeline", "tallybook.llm"):
+except ImportError as missing:  # the subpackage may be left out as a whole, and libraries that only it needs
+    if (missing.name or "").startswith("tallybook.") and missing.name != "tallybook.llm":
         raise
     llm = corpus_pipeline = None
 
@@ -58,12 +58,21 @@ def _lines(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(*RAW_COLUMNS, *extra)
 
 
+def _cleaned(sheet: DataFrame) -> DataFrame:
+    """The sheet cleaned after it is written, as a load does it.
+
+    Cleaning asks for a column many times; each time Spark would compute it from the joins
+    behind the sheet.
+    """
+    return clean.clean_sales(materialize(sheet, "raw"))
+
+
 def _from_clean(plan: Callable[[DataFrame], DataFrame]) -> Query:
-    return _sheet(lambda sheet: plan(clean.clean_sales(sheet)))
+    return _sheet(lambda sheet: plan(_cleaned(sheet)))
 
 
 def _written_clean(sheet: DataFrame) -> DataFrame:
-    return materialize(clean.clean_sales(sheet), "clean")
+    return materialize(_cleaned(sheet), "clean")
 
 
 def _with_countries(plan: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
@@ -119,7 +128,8 @@ def _set_aside(sheet: DataFrame) -> DataFrame:
 
 
 def _cleaning_report(sheet: DataFrame) -> DataFrame:
-    return load.cleaning_report(sheet, _written_clean(sheet))
+    raw = materialize(sheet, "raw")
+    return load.cleaning_report(raw, materialize(clean.clean_sales(raw), "clean"))
 
 
 def _load_counts(sheet: DataFrame) -> DataFrame:

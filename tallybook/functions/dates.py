@@ -23,6 +23,6 @@ def day_short_name(iso_day: str) -> Column:
     return F.element_at(F.array(*[F.lit(d) for d in DAY_NAMES]), F.col(iso_day).cast("int"))
 
 
-def months_between_starts(later: str, earlier: str) -> Column:
-    """Whole months between two month starts."""
-    return (F.year(later) - F.year(earlier)) * 12 + F.month(later) - F.month(earlier)
+def month_index(column: str) -> Column:
+    """Months since January of the year 0."""
+    return F.year(column) * 12 + F.month(column) - 1

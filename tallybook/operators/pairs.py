@@ -148,7 +148,7 @@ def _count_large(lines: DataFrame, norms: DataFrame, floor: _Floor) -> DataFrame
 
 
 def _grid(lines: DataFrame, leads: Column) -> tuple[DataFrame, DataFrame, int]:
-    """The two sides of each basket's tiles (columns x and y), and about how many tiles there are.
+    """The two sides of each basket's tiles (columns x and y), and how many full tiles their pairs would fill.
 
     A hash deals the items of a basket to parts of about PART_ITEMS, items that ``leads`` (that can
     be the first of a pair in the answer) to the parts before the others. Tile (row, column), with
@@ -158,10 +158,12 @@ def _grid(lines: DataFrame, leads: Column) -> tuple[DataFrame, DataFrame, int]:
     """
     marked = lines.withColumn("_leads", leads)
     sizes = marked.groupBy("basket").agg(F.count_if("_leads").alias("_first"), F.count(F.lit(1)).alias("_size"))
-    head, rest = (F.ceil(c / PART_ITEMS).cast("int") for c in (F.col("_first"), F.col("_size") - F.col("_first")))
-    sizes = materialize(sizes.select("basket", head.alias("_head"), rest.alias("_rest")), "basket-parts")
-    h, r = F.col("_head").cast("double"), F.col("_rest").cast("double")
-    tiles = math.ceil(sizes.agg(F.sum(h * (h + 1) / 2 + h * r)).first()[0] or 0)
+    h, r = F.col("_first").cast("double"), (F.col("_size") - F.col("_first")).cast("double")
+    head, rest = (F.ceil(c / PART_ITEMS).cast("int") for c in (h, r))
+    work = (h * (h + 1) / 2 + h * r) / PART_ITEMS**2
+    sizes = materialize(sizes.select("basket", head.alias("_head"), rest.alias("_rest"), work.alias("_work")), "basket-parts")
+    tiles = math.ceil(sizes.agg(F.sum("_work")).first()[0] or 0)
+    sizes = sizes.drop("_work")
     head, rest, mixed = F.col("_head"), F.col("_rest"), F.xxhash64("item")
     part = F.when(F.col("_leads"), F.pmod(mixed, head)).otherwise(head + F.pmod(mixed, rest))
     dealt = marked.join(sizes, "basket").filter(head > 0).withColumn("_part", part.cast("int"))

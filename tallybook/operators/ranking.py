@@ -85,35 +85,6 @@ def global_ntile(df: DataFrame, n: int, order: Sequence[Column], out: str = "nti
     return numbered.withColumn(out, _bucket(F.col("_rank"), F.col("_total"), n)).drop("_rank", "_total")
 
 
-def score_ntiles(
-    df: DataFrame, n: int, key: str, measures: dict[str, tuple[str, bool]]
-) -> DataFrame:
-    """Several NTILE(n) scores of the same rows in one sort.
-
-    ``measures`` maps a score name to (column, descending). The measures are
-    stacked into one long frame and range-sorted together by (measure, value,
-    key). Every measure then owns a run of exactly as many ranks as there are
-    rows, so the rank inside a measure is a remainder of the global one.
-    """
-    signed = [
-        (F.col(c) * (-1 if descending else 1)).cast("decimal(30,2)").alias(score)
-        for score, (c, descending) in measures.items()
-    ]
-    stacked = df.select(key, *signed).unpivot(key, list(measures), "_measure", "_value")
-    numbered = _numbered(stacked, [F.col("_measure"), F.col("_value"), F.col(key)], "_rank", "scores")
-    rows = _div(F.col("_total"), F.lit(len(measures)))
-    scored = numbered.withColumn("_score", _bucket((F.col("_rank") - 1) % rows + 1, rows, n))
-
-    def pick(column: str, score: str) -> Column:
-        return F.max(F.when(F.col("_measure") == score, F.col(column)))
-
-    picked = []
-    for score, (column, descending) in measures.items():
-        value = pick("_value", score) * (-1 if descending else 1)
-        picked += [value.cast(df.schema[column].dataType).alias(column), pick("_score", score).alias(score)]
-    return scored.groupBy(key).agg(*picked)
-
-
 def sorted_counts(df: DataFrame, column: str) -> DataFrame:
     """Distinct values of a column with their number of rows, sorted and written.
 

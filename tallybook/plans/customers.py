@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.aggregates import revenue, rows
-from tallybook.functions.dates import month_start, months_between_starts
+from tallybook.functions.dates import month_index
 from tallybook.functions.money import ratio
 from tallybook.functions.segments import rfm_segment
 from tallybook.model import RetailTables
-from tallybook.operators.ranking import score_ntiles
+from tallybook.operators.selection import score_ntiles
 from tallybook.plans.views import customer_rfm, order_totals, sales_invoices
 
 SCORES = 5
@@ -87,27 +87,48 @@ def one_time_vs_repeat(tables: RetailTables) -> DataFrame:
     )
 
 
+def _active_months(tables: RetailTables, first: int, last: int) -> DataFrame:
+    """Per named customer the months of its purchases, as offsets from the first month of all, ascending.
+
+    While they are gathered, a customer's months are the bits of a few plain numbers, 64
+    months in each, so a customer's invoices fold into one short row on the map side.
+    """
+    offset = month_index("invoice_date") - first
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (offset % 64).cast("int"))
+    words = [
+        F.bit_or(F.when(F.floor(offset / 64) == w, bit)).alias(f"_{w}") for w in range((last - first) // 64 + 1)
+    ]
+    named = sales_invoices(tables).filter(F.col("customer_id").isNotNull() & F.col("invoice_date").isNotNull())
+
+    def months_of(w: int) -> Column:
+        all_of_word = F.sequence(F.lit(64 * w), F.lit(min(64 * w + 63, last - first)))
+        return F.filter(all_of_word, lambda m: F.coalesce(F.getbit(F.col(f"_{w}"), m % 64), F.lit(0)) == 1)
+
+    months = [months_of(w) for w in range(len(words))]
+    return named.groupBy("customer_id").agg(*words).select("customer_id", F.concat(*months).alias("months"))
+
+
 def cohort_retention(tables: RetailTables) -> DataFrame:
     """Customers by month of first purchase and month of activity.
 
-    A customer has one row per active month before the window, so the window sees
-    a handful of rows per customer however often that customer buys.
+    One shuffle of a row per customer; what follows it is one row per pair of months.
+    The range of months comes from the data, by a job while the frame is built.
     """
-    active = (
-        sales_invoices(tables)
-        .filter(F.col("customer_id").isNotNull())
-        .select("customer_id", month_start().alias("active_month"))
-        .distinct()
-    )
-    cohort = F.min("active_month").over(Window.partitionBy("customer_id"))
+    month = month_index("invoice_date")
+    first, last = sales_invoices(tables).agg(F.min(month), F.max(month)).first()
+    active = _active_months(tables, first or 0, last or 0)
+    pairs = active.select(F.get("months", F.lit(0)).alias("cohort"), F.explode("months").alias("active"))
+
+    def start(offset: str) -> Column:
+        return F.add_months(F.lit("0000-01-01").cast("date"), F.col(offset) + (first or 0)).cast("timestamp_ntz")
+
     return (
-        active.withColumn("cohort_month", cohort)
-        .groupBy("cohort_month", "active_month")
+        pairs.groupBy("cohort", "active")
         .agg(rows("active_customers"))
         .select(
-            F.col("cohort_month").cast("timestamp_ntz").alias("cohort_month"),
-            F.col("active_month").cast("timestamp_ntz").alias("active_month"),
-            months_between_starts("active_month", "cohort_month").alias("months_since_first"),
+            start("cohort").alias("cohort_month"),
+            start("active").alias("active_month"),
+            (F.col("active") - F.col("cohort")).alias("months_since_first"),
             "active_customers",
         )
         .orderBy("cohort_month", "active_month")

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallybook.operators.ranking import exact_percentile, global_ntile, global_row_number, score_ntiles
+from tallybook.operators import selection
+from tallybook.operators.ranking import exact_percentile, global_ntile, global_row_number
+from tallybook.operators.selection import bucket_ends, find_cuts, score_ntiles
 from tests.conftest import rows
 
 
@@ -63,3 +65,38 @@ def test_percentile_of_one_value_and_of_nothing(spark):
     many = spark.range(5000).select(F.lit(Decimal("2.50")).alias("v"))
     assert exact_percentile(many, "v", 0.5, "p").first()[0] == Decimal("2.50")
     assert exact_percentile(many.filter("false"), "v", 0.5, "p").first()[0] is None
+
+
+@pytest.mark.parametrize("size", [0, 1, 4, 5, 6, 777])
+@pytest.mark.parametrize("bins", [2, 5, 4096])
+def test_cuts_found_by_counting_equal_the_window(spark, monkeypatch, size, bins):
+    """Few and many different values, one that a third of all rows share, nulls, both ends of the range."""
+    monkeypatch.setattr(selection, "BINS", bins)
+    i = F.col("id")
+    df = spark.range(size).select(
+        (i * 7919 % 100_003 - 500).alias("id"),
+        F.when(i % 3 == 0, 7).otherwise(i * 31 % 400 - 200).cast("int").alias("a"),
+        F.when(i % 11 > 0, i * i * 1_000_003).alias("b"),
+        F.when(i == 3, -(1 << 61)).when(i == 4, 1 << 61).otherwise(i % 2).cast("bigint").alias("c"),
+    )
+    windows = {"x": F.desc("a"), "y": F.asc_nulls_first("b"), "z": F.asc("c"), "w": F.desc_nulls_first("b")}
+    expected = df.select("*", *(F.ntile(6).over(Window.orderBy(o, "id")).alias(s) for s, o in windows.items()))
+    got = score_ntiles(df, 6, "id", {"x": ("a", True), "y": ("b", False), "z": ("c", False), "w": ("b", True)})
+    assert sorted(rows(got.select(*expected.columns)), key=repr) == sorted(rows(expected), key=repr)
+
+
+def test_bucket_ends_are_those_of_ntile(spark):
+    for size in (0, 1, 2, 4, 5, 9, 10, 11):
+        parts = [r[0] for r in spark.range(size).select(F.ntile(4).over(Window.orderBy("id"))).collect()]
+        last = [i + 1 for i in range(size - 1) if parts[i] != parts[i + 1]]
+        assert bucket_ends(size, 4) == last
+
+
+def test_scores_sort_and_move_no_rows(spark):
+    df = spark.range(100).select("id", (F.col("id") % 7).alias("v"))
+    plan = score_ntiles(df, 5, "id", {"s": ("v", False)})._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    with pytest.raises(TypeError):
+        score_ntiles(df.withColumn("v", F.lit(1.5)), 5, "id", {"s": ("v", False)})
+    with pytest.raises(ValueError):
+        find_cuts(df.withColumn("v", F.lit((1 << 62) + 1)), "id", {"v": [3]})
