@@ -7,6 +7,12 @@ single space with an ASCII character or Latin letter on each side that is not
 white space: no run of letters, digits or signs goes on over the space, and the
 next match begins with it. A text without such a place is encoded in one piece.
 
+A run of white space has no such place, and the library's pattern search overflows its
+stack on runs of about a million characters. What the pattern does there is known: no
+match before a run reaches into it, and one match takes it up to its end, or but for
+its last character if something else follows. So long runs are cut out by hand and
+merged as the one piece that they are.
+
 Defined results: a null or empty text has no ids; null ids decode to no bytes, as
 do ids that the rank file does not have. Columns of the input are kept, except
 that an output column replaces an input column of the same name.
@@ -32,6 +38,9 @@ PIECE_CHARS = 1 << 16
 # ASCII that is not white space, and letters that are letters in every version of Unicode.
 _SOLID = "[!-~À-ÖØ-öø-ɏ]"
 SAFE_BOUNDARY = re.compile(f"(?<={_SOLID})(?= {_SOLID})")
+LONG_SPACE = 1 << 12
+# White space in Unicode.
+_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,7 +52,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(maxsize=4)
 def encoder(rank_file: str, pattern: str) -> tiktoken.Encoding:
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(rank_file), special_tokens={})
+    """A coder that is named after its rank file."""
+    return tiktoken.Encoding(rank_file, pat_str=pattern, mergeable_ranks=read_ranks(rank_file), special_tokens={})
+
+
+@lru_cache(maxsize=4)
+def _whole_piece_encoder(rank_file: str) -> tiktoken.Encoding:
+    """Takes a text as one match, whatever it holds."""
+    return tiktoken.Encoding("whole", pat_str="(?s:.+)", mergeable_ranks=read_ranks(rank_file), special_tokens={})
 
 
 @lru_cache(maxsize=4)
@@ -67,9 +83,25 @@ def safe_pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def encode_text(text: str, coder: tiktoken.Encoding, size: int = PIECE_CHARS) -> np.ndarray:
-    """The ids of one text."""
-    parts = [coder.encode_ordinary(piece) for piece in safe_pieces(text, size)]
+def long_spaces(text: str, least: int = LONG_SPACE) -> Iterator[tuple[str, bool]]:
+    """The text in parts, and whether a part is the long match that white space makes."""
+    start = 0
+    for run in re.finditer(f"{_SPACE}{{{max(2, least)},}}", text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        yield text[start : run.start()], False
+        yield text[run.start() : end], True
+        start = end
+    yield text[start:], False
+
+
+def encode_text(text: str, coder: tiktoken.Encoding, size: int = PIECE_CHARS, space: int = LONG_SPACE) -> np.ndarray:
+    """The ids of one text, by a coder from ``encoder``."""
+    parts = []
+    for part, is_space in long_spaces(text, space):
+        if is_space:
+            parts.append(_whole_piece_encoder(coder.name).encode_ordinary(part))
+        else:
+            parts += [coder.encode_ordinary(piece) for piece in safe_pieces(part, size)]
     return np.concatenate([np.asarray(p, dtype=np.int32) for p in parts])
 
 

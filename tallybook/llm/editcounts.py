@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tallybook.llm.bpe import encoder, safe_pieces
+from tallybook.llm.bpe import encode_text, encoder, safe_pieces
 from tallybook.llm.frames import map_batches
 from tallybook.llm.text import offsets_of, slices
 
@@ -134,7 +134,7 @@ def apply_edits(text: str, tree: SegmentTree, edits: Iterable[dict | None], coun
 
 def _counter(rank_file: str, pattern: str) -> Count:
     coder = encoder(rank_file, pattern)
-    return lambda piece: len(coder.encode_ordinary(piece))
+    return lambda piece: len(encode_text(piece, coder))
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:

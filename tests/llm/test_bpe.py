@@ -4,7 +4,7 @@ import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallybook.llm.bpe import decode, encode, encode_text, encoder, safe_pieces
+from tallybook.llm.bpe import decode, encode, encode_text, encoder, long_spaces, safe_pieces
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -39,3 +39,23 @@ def test_ids_that_the_ranks_lack_give_no_bytes(spark):
     found = decode(spark.createDataFrame(rows, "ids array<int>"), RANKS).collect()
     coder = encoder(RANKS, PATTERN)
     assert [bytes(r["decoded"]) for r in found] == [coder.decode_bytes([1, 2]), b"", b""]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.sampled_from(list("a1' \t\n\r\x0b\x85\u2003\x1c.é")), max_size=80), st.sampled_from([1, 2, 4]))
+def test_white_space_cut_by_hand_gives_the_ids_of_the_whole_text(text, least):
+    coder = encoder(RANKS, PATTERN)
+    assert "".join(part for part, _ in long_spaces(text, least)) == text
+    assert encode_text(text, coder, 5, least).tolist() == coder.encode_ordinary(text)
+
+
+def test_millions_of_white_space_characters(spark):
+    coder = encoder(RANKS, PATTERN)
+    runs = [" " * 2_000_000, "\n" * 2_000_000, " \n\t" * 700_000, "\u2003 " * 600_000]
+    texts = [*runs, *(f"word{r}word 1{r}\n" for r in runs)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    for r in decode(encode(df, RANKS, PATTERN), RANKS).collect():
+        assert bytes(r["decoded"]).decode() == texts[r["doc_id"]]
+    for piece in (" ", "\n", " \n\t", "\u2003 "):
+        short = f"word{piece * 60_000}word"  # what the library can do by itself
+        assert encode_text(short, coder).tolist() == coder.encode_ordinary(short)
