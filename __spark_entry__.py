@@ -15,6 +15,8 @@ from tallybook.operators.pairs import top_pairs
 from tallybook.operators.ranking import exact_percentile, global_ntile, global_row_number
 from tallybook.operators.scratch import materialize, scratch_path
 from tallybook.plans import clean, customers, load, markets, normalize, operations, products, quality, reports, trends, views
+from tallybook.plans.results import kept_query
+from tallybook.plans.sums import with_sums
 from tallybook.sources import tables as store
 from tallybook.sources.sales import read_sales, with_source_order
 from tallybook.sources.star import star_sheet, star_tables
@@ -307,6 +309,16 @@ def _compacted(spark: SparkSession, folder: str) -> DataFrame:
     return _row_counts(tables).union(_item_ids(tables)).union(loads)
 
 
+def _summed_loads(spark: SparkSession, folder: str) -> DataFrame:
+    """Order totals after three loads that each bring lines of most invoices, from the sums of the loads."""
+    sheet, target = star_sheet(spark, folder), scratch_path(spark, "load")
+    parts = [sheet.filter(F.col("StockCode").cast("bigint") % 3 == i) for i in range(3)]
+    load.load_sales(parts[0], target)
+    for part in parts[1:]:
+        load.append_sales(part, target)
+    return _plain(views.order_totals(with_sums(spark, target)).select("invoice_no", "order_total", "units"))
+
+
 def _item_ids(tables: RetailTables) -> DataFrame:
     ids = tables.invoice_items.agg(F.max("item_id").alias("last"), F.countDistinct("item_id").alias("distinct"))
     named = [("last item", "last"), ("distinct items", "distinct")]
@@ -376,6 +388,14 @@ def _run_query(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(views.run_query(spark, sql, {"least": 40}))
 
 
+def _kept_query(spark: SparkSession, folder: str) -> DataFrame:
+    """The same question twice; the second answer is the stored one."""
+    target = _written(spark, folder)[1]
+    sql = "SELECT country, orders, revenue FROM v_country_revenue WHERE orders >= :least"
+    kept_query(spark, target, sql, {"least": 40})
+    return _plain(kept_query(spark, target, sql, {"least": 40}))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Orders and revenue per month."""
     return trends.revenue_by_month(star_tables(spark, "/root/testdata/sf0.001"))
@@ -480,12 +500,14 @@ def queries() -> dict[str, Query]:
         "append_sales": _append_sales,
         "two_writers": _two_writers,
         "compact_tables": _compacted,
+        "summed_loads": _summed_loads,
         "reset_tables": _reset_tables,
         "physical_layout": _layout("bucket"),
         "range_layout": _layout("range"),
         "register_views": _register_views,
         "all_views": _all_views,
         "run_query": _run_query,
+        "kept_query": _kept_query,
         **_llm_queries(),
     }
 

@@ -422,6 +422,9 @@ ORACLE: dict[str, str] = {
     "append_sales": _sheet(_LOADED),
     "two_writers": _sheet(_LOADED),
     "compact_tables": _sheet(f"{_LOADED} UNION ALL SELECT 'loads read', 2"),
+    "summed_loads": _sheet(f"""SELECT "InvoiceNo" AS invoice_no, {money('sum("Quantity" * CAST(round("UnitPrice" * 100) AS BIGINT))')}
+        AS order_total, CAST(sum("Quantity") AS BIGINT) AS units
+      FROM clean WHERE NOT starts_with("InvoiceNo", 'C') GROUP BY 1"""),
     "reset_tables": _star(_TABLE_ROWS.replace("{}", "count(*) FILTER (WHERE false)")),
     "physical_layout": _star(f"SELECT invoice_no, invoice_date, customer_id, {_big('country_id')}, {money('cents')} AS order_total, {_big('units')} FROM totals"),
     "range_layout": _star(f"SELECT invoice_no, invoice_date, customer_id, {_big('country_id')}, {money('cents')} AS order_total, {_big('units')} FROM totals"),
@@ -430,5 +433,6 @@ ORACLE: dict[str, str] = {
             ("v_order_totals", "totals"), ("v_monthly_revenue", "months"), ("v_country_revenue", "per_country"),
             ("v_product_performance", "performance"), ("v_customer_rfm", "rfm")))),
     "register_views": _star(f"SELECT month, orders, {money('cents')} AS revenue FROM months"),
+    "kept_query": _star(f"SELECT country, orders, {money('cents')} AS revenue FROM per_country WHERE orders >= 40"),
     "run_query": _star(f"SELECT country, orders, {money('cents')} AS revenue FROM per_country WHERE orders >= 40"),
 }

@@ -17,6 +17,7 @@ from tallybook.operators.scratch import materialize
 from tallybook.plans.clean import REASON, clean_sales, quarantine_reason, quarantined
 from tallybook.plans.normalize import build_countries, normalize
 from tallybook.plans.quality import added_violations, row_violations
+from tallybook.plans.sums import SUM_TABLES, write_sums
 from tallybook.sources.log import State
 from tallybook.sources.tables import (
     KEYED,
@@ -121,8 +122,8 @@ def set_aside_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def compact_sales(spark: SparkSession, folder: str) -> State:
-    """One load of all that count, the rows that they set aside included; counts stay those of each load."""
-    return compact(spark, folder, {"set_aside": SET_ASIDE})
+    """One load of all that count, with the rows that they set aside and their sums; counts stay those of each load."""
+    return compact(spark, folder, {"set_aside": SET_ASIDE, **SUM_TABLES})
 
 
 def _published(
@@ -143,6 +144,7 @@ def _published(
     if broken:
         found = ", ".join(f"{r['table_name']} {r['rule']}: {r['violations']}" for r in broken)
         raise ValueError(f"load {load_id} is not published, its rows break rules: {found}")
+    write_sums(spark, folder, load_id, seen)
     counts = load_counts(staged, clean, written)
     counts.write.mode("overwrite").parquet(load_path(folder, "counts", load_id))
     return commit_load(spark, folder, load_id, fresh=seen is None, seen=seen)

@@ -62,11 +62,11 @@ def read_state(spark: SparkSession, folder: str) -> State:
 
 def write_state(spark: SparkSession, folder: str, state: State) -> None:
     """Make the entry the next one of the log, or raise ``CommitConflict``."""
-    if not _create_once(spark, f"{folder}/log", f"{state.seq:012}.json", json.dumps(asdict(state))):
+    if not create_once(spark, f"{folder}/log", f"{state.seq:012}.json", json.dumps(asdict(state))):
         raise CommitConflict(f"{folder}: entry {state.seq} of the log is another writer's")
 
 
-def _create_once(spark: SparkSession, folder: str, name: str, text: str) -> bool:
+def create_once(spark: SparkSession, folder: str, name: str, text: str) -> bool:
     """Whether the file got its name; False if a file has it already."""
     draft = f"_draft-{uuid.uuid4().hex}"  # readers pass over names that begin with an underscore
     place = urlparse(folder)

@@ -57,10 +57,17 @@ def _timestamp(text: Column, pattern: str | None) -> Column:
     if pattern is None:
         return text.try_cast("timestamp_ntz")
     instant = F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{pattern} xx"))
-    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_seconds(instant).cast("decimal(18,6)"))
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
     return F.lit(_EPOCH).cast("timestamp_ntz") + since
 
 
+def _whole_number(text: Column, kind: T.DataType) -> Column:
+    """A whole number, which a spreadsheet may write as 6.0; null for any other text and for fractions."""
+    number = text.try_cast("decimal(38,10)")
+    return F.when(number == F.floor(number), number.try_cast(kind))
+
+
 def _typed(lines: DataFrame, timestamp_format: str | None) -> DataFrame:
     """Text columns as the types of the sheet; what does not fit goes to the corrupt-record column."""
     typed = {}
@@ -68,6 +75,8 @@ def _typed(lines: DataFrame, timestamp_format: str | None) -> DataFrame:
         text = F.col(field.name)
         if isinstance(field.dataType, T.TimestampNTZType):
             typed[field.name] = _timestamp(text, timestamp_format)
+        elif isinstance(field.dataType, T.IntegralType):
+            typed[field.name] = _whole_number(text, field.dataType)
         elif not isinstance(field.dataType, T.StringType):
             typed[field.name] = text.try_cast(field.dataType)
     misfit = reduce(Column.__or__, (F.col(c).isNotNull() & value.isNull() for c, value in typed.items()))

@@ -30,6 +30,15 @@ from tests.conftest import rows
 DAY = "2011-03-06 00:10"
 
 
+@pytest.fixture(autouse=True)
+def few_tasks(spark, monkeypatch):
+    """Small loads in few tasks."""
+    monkeypatch.setattr(tables, "LEAST_BUCKETS", 2)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def sheet_of(make_sheet, numbers, **other):
     return make_sheet(*({"InvoiceNo": str(n), "StockCode": f"P{n % 7}", "CustomerID": float(n % 5 + 1), **other} for n in numbers))
 
@@ -55,7 +64,7 @@ def test_many_threads_get_one_number_each(spark, tmp_path):
 
     def run(me):
         for _ in range(10):
-            if log._create_once(spark, str(tmp_path / "log"), "000.json", str(me)):
+            if log.create_once(spark, str(tmp_path / "log"), "000.json", str(me)):
                 won.append(me)
 
     threads = [threading.Thread(target=run, args=(i,)) for i in range(8)]

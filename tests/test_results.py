@@ -1,0 +1,44 @@
+"""Results that are kept until the next load."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+from tallybook.plans import results
+from tallybook.plans.results import kept_query, results_place
+from tallybook.sources.log import read_state
+from tallybook.sources.tables import append_new_keys, write_tables
+from tests.conftest import rows
+
+DAY = "2011-03-06 00:10"
+SQL = "SELECT country, orders FROM v_country_revenue WHERE orders >= :least"
+
+
+def test_a_question_is_answered_once_for_each_load(spark, make_tables, tmp_path, monkeypatch):
+    folder = str(tmp_path / "t")
+    write_tables(make_tables([("1", DAY, 7, 1, False)], [("1", "a", 1, "2.00")]), folder)
+    asked = []
+    run = results.run_query
+    monkeypatch.setattr(results, "run_query", lambda *a: asked.append(a) or run(*a))
+    first = kept_query(spark, folder, SQL, {"least": 1})
+    again = kept_query(spark, folder, SQL, {"least": 1})
+    assert rows(first) == rows(again) == [("country 1", 1)] and len(asked) == 1
+    assert all("/results/" in file for file in again.inputFiles())  # no table is read
+    assert rows(kept_query(spark, folder, SQL, {"least": 2})) == [] and len(asked) == 2
+    assert rows(kept_query(spark, folder, SQL, {"least": "1"})) == [("country 1", 1)] and len(asked) == 3
+    assert kept_query(spark, folder, SQL, {"least": 2}).columns == ["country", "orders"] and len(asked) == 3
+    append_new_keys(make_tables([("2", DAY, 7, 1, False)], [("2", "a", 1, "2.00")]), folder)
+    assert rows(kept_query(spark, folder, SQL, {"least": 1})) == [("country 1", 2)] and len(asked) == 4
+    assert rows(first) == [("country 1", 1)]
+
+
+def test_a_result_counts_once_it_is_in_the_index(spark, make_tables, tmp_path, monkeypatch):
+    folder = str(tmp_path / "t")
+    write_tables(make_tables([("1", DAY, 7, 1, False)], [("1", "a", 1, "2.00")]), folder)
+    monkeypatch.setattr(results, "create_once", lambda *_: False)
+    assert kept_query(spark, folder, "SELECT 1 AS one") is None  # written, but not entered
+    monkeypatch.undo()
+    place = Path(results_place(folder, read_state(spark, folder)))
+    assert len(list(place.glob("rows-*"))) == 1 and not list(place.glob("index/*.json"))
+    assert rows(kept_query(spark, folder, "SELECT 1 AS one")) == [(1,)]
+    assert len(list(place.glob("rows-*"))) == 2

@@ -84,6 +84,19 @@ def test_exported_text_dates_and_reasons(exported):
     ]
 
 
+def test_fractions_of_seconds_and_whole_numbers_with_a_point(spark, tmp_path):
+    head, times = EXPORT.splitlines()[0], ["8:26:01.5", "8:26:01.25", "8:26:01"]
+    numbers = ["6.0", "-12.000", "6.5", "1e2", "3000000000", "", " 7 ", "six"]
+    lines = [f"{i},A,x,{q},12/1/2010 {times[i % 3]},1.0,7,X" for i, q in enumerate(numbers)]
+    (tmp_path / "s.csv").write_text("\n".join([head, *lines]) + "\n")
+    raw = read_sales(spark, str(tmp_path / "s.csv"), timestamp_format="M/d/yyyy H:mm:ss[.SSS][.SS][.S]").orderBy(SOURCE_ORDER)
+    got = raw.collect()
+    assert [r.Quantity for r in got] == [6, -12, None, 100, None, None, 7, None]
+    assert [r[CORRUPT] is not None for r in got] == [False, False, True, False, True, False, False, True]
+    assert [r.InvoiceDate.microsecond for r in got[:3]] == [500_000, 250_000, 0]
+    assert len({r.InvoiceDate for r in got}) == 3
+
+
 def test_line_breaks_in_quoted_text(spark, tmp_path):
     head = EXPORT.splitlines()[0]
     (tmp_path / "m.csv").write_text(f'{head}\n1,A,"two\nlines",1,2010-12-01T08:26:00,1.0,7,X\n')
