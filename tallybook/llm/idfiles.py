@@ -11,11 +11,12 @@ of a file is filled with zeros that the mask leaves out. A document lies in one
 Files are written by the tasks that encode, into a folder that all executors
 share, under a name that depends on the task's partition only; a task that runs
 again writes the same bytes and moves them into place. The folder may be in any
-store that ``pyarrow.fs`` can open.
+store that ``pyarrow.fs`` can open, ``s3a://`` included.
 
 The ids come from the tokenizers library. Its tokenizer here drops white space
 and never merges across it, so it is asked once for each distinct word of a
-slice, and answers are kept for a bounded number of words.
+slice, and answers are kept for a bounded number of words. Plain words are asked for
+many at a time: each ends with the one id of a piece that ends a match.
 
 Defined results: a null or empty text has the end id alone; rows with a null key
 come first; rows with equal keys are in the order of (crc32 of the text, text).
@@ -23,9 +24,11 @@ come first; rows with equal keys are in the order of (crc32 of the text, text).
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +46,18 @@ from tallybook.operators.scratch import materialize
 SEQUENCE = 2048
 BATCH_ROWS = 16
 FILE_IDS = 1 << 24
-_CACHED_WORDS = 400_000  # in each of two generations
+_CACHED_WORDS = 800_000
+_CACHED_IDS = 1 << 23
 _CACHED_CHARS = 64
+_JOINED = 1000  # words coded as one text
+_WORD_END = "</w>"
 
 # Marks between a letter and punctuation, where the tokenizer cuts anyway. Not after
 # a capital I with a dot (U+0130): its lower case ends in a combining dot.
-_BEFORE_MARK = r"([A-Za-zÀ-ÖØ-öø-įı-ɏ])([.,!?;:]+)"
+_LETTER = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]"
+_BEFORE_MARK = f"({_LETTER})([.,!?;:]+)"
+# Words that are one match of the tokenizer's pattern, whatever white space is around them.
+_ONE_MATCH = f"^({_LETTER}+|[.,!?;:]+)$"
 
 
 @lru_cache(maxsize=2)
@@ -56,38 +65,86 @@ def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def _ends_word(path: str) -> np.ndarray:
+    """Of each id, whether its piece is the end of a match of the tokenizer's pattern."""
+    vocabulary = _tokenizer(path).get_vocab()
+    ends = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+    ends[[i for piece, i in vocabulary.items() if piece.endswith(_WORD_END)]] = True
+    return ends
+
+
 class WordCoder:
-    """Ids of texts by a tokenizer that never merges across white space."""
+    """Ids of texts by a tokenizer that never merges across white space.
+
+    Known words have a number; their ids lie one after the other in a flat array. When
+    there are too many words or ids, all are forgotten.
+    """
 
     def __init__(self, path: str) -> None:
         self._path = path
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-
-    def _ids_of(self, words: list[str]) -> list[bytes]:
-        found = [self._new.get(w) or self._old.get(w) for w in words]
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        coded = _tokenizer(self._path).encode_batch_fast([words[i] for i in missing], add_special_tokens=False)
-        for i, encoding in zip(missing, coded, strict=True):
-            found[i] = np.array(encoding.ids, "<u4").tobytes()
-        if len(self._new) > _CACHED_WORDS:
-            self._old, self._new = self._new, {}
-        self._new.update((w, ids) for w, ids in zip(words, found, strict=True) if len(w) <= _CACHED_CHARS)
-        return found
+        self._forget()
+
+    def _forget(self) -> None:
+        self._numbers: dict[str, int] = {}
+        self._flat = np.empty(1 << 16, np.uint32)
+        self._starts = np.zeros(1 << 14, np.int64)
+        self._known = 0
+
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids of each word), each word a text of its own."""
+        lists = [e.ids for e in _tokenizer(self._path).encode_batch_fast(words, add_special_tokens=False)]
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(counts.sum())), counts
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that are one match each: many in a text, told apart by the ids that end a match."""
+        texts = [" ".join(words[i : i + _JOINED]) for i in range(0, len(words), _JOINED)]
+        ids, _ = self._alone(texts)
+        counts = np.diff(np.flatnonzero(_ends_word(self._path)[ids]), prepend=-1)
+        if len(counts) != len(words) or counts.sum() != len(ids):  # a tokenizer with other matches
+            return self._alone(words)
+        return ids, counts
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Codes new words; gives their numbers."""
+        single = pc.match_substring_regex(words, _ONE_MATCH).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(single), np.flatnonzero(~single)])
+        texts = words.take(pa.array(order)).to_numpy(zero_copy_only=False).tolist()
+        cut = int(single.sum())
+        parts = [self._joined(texts[:cut]), self._alone(texts[cut:])]
+        ids, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        end, known = int(self._starts[self._known]), self._known + len(texts)
+        while end + len(ids) > len(self._flat):
+            self._flat = np.concatenate([self._flat, np.empty_like(self._flat)])
+        while known >= len(self._starts):
+            self._starts = np.concatenate([self._starts, np.zeros_like(self._starts)])
+        self._flat[end : end + len(ids)] = ids
+        self._starts[self._known + 1 : known + 1] = end + np.cumsum(counts)
+        numbers = np.arange(self._known, known)
+        self._numbers.update((w, i) for w, i in zip(texts, numbers.tolist(), strict=True) if len(w) <= _CACHED_CHARS)
+        self._known = known
+        placed = np.empty(len(order), np.int64)
+        placed[order] = numbers
+        return placed
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text)."""
         spaced = pc.replace_substring_regex(pc.fill_null(texts, ""), _BEFORE_MARK, r"\1 \2")
         lists = pc.ascii_split_whitespace(spaced)
         codes, words = codes_of(lists.flatten())
-        pieces = self._ids_of(words.to_pylist())
-        flat = np.frombuffer(b"".join(pieces), "<u4")
-        sizes = np.array([len(p) // 4 for p in pieces], np.int64)
-        starts = offsets_of(sizes)[:-1]
-        lengths = sizes[codes]
-        ends = offsets_of(lengths)
-        ids = flat[np.repeat(starts[codes] - ends[:-1], lengths) + np.arange(ends[-1])]
-        return ids, np.diff(ends[lists.offsets.to_numpy()])
+        asked = words.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self._numbers.get, asked, repeat(-1)), np.int64, len(asked))
+        fresh = np.flatnonzero(numbers < 0)
+        if len(fresh):
+            numbers[fresh] = self._learn(words.take(pa.array(fresh)))
+        begins, ends = self._starts[numbers], self._starts[numbers + 1]
+        lengths = (ends - begins)[codes]
+        stops = offsets_of(lengths)
+        ids = self._flat[np.repeat(begins[codes] - stops[:-1], lengths) + np.arange(stops[-1])]
+        if self._known > _CACHED_WORDS or self._starts[self._known] > _CACHED_IDS:
+            self._forget()
+        return ids, np.diff(stops[lists.offsets.to_numpy()])
 
 
 @lru_cache(maxsize=1)
@@ -105,7 +162,13 @@ def id_type(tokenizer: str, end_id: int) -> pa.DataType:
     return pa.uint16() if max(_tokenizer(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else pa.uint32()
 
 
+def arrow_uri(path: str) -> str:
+    """The path with the scheme that Arrow has for a store that Hadoop names otherwise."""
+    return re.sub("^s3[an]://", "s3://", path)
+
+
 def _open(path: str) -> tuple[pa.fs.FileSystem, str]:
+    path = arrow_uri(path)
     return pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
 
 

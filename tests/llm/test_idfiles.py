@@ -34,6 +34,28 @@ def test_words_give_the_ids_of_the_whole_text(texts):
     assert ids.tolist() == [i for e in expected for i in e]
 
 
+def test_words_asked_for_together_give_the_same_ids(monkeypatch):
+    from tallybook.llm import idfiles
+
+    monkeypatch.setattr(idfiles, "_JOINED", 7)
+    monkeypatch.setattr(idfiles, "_CACHED_WORDS", 50)  # forgets between the calls
+    words = ["plain", "ÀÉÎõ", "İstanbul", "e\u0301a", "x1", "<|endoftext|>", "</w>", "...", "?!", "don't", "日本", "a" * 100]
+    texts = [" ".join(words[i % 12] + "z" * (i % 9) * (i % 2) for i in range(k, k + 40)) for k in range(30)]
+    t, coder = Tokenizer.from_file(PATH), WordCoder(PATH)
+    for part in (texts[:10], texts[10:], texts):
+        ids, counts = coder.encode(pa.array(part))
+        expected = [e.ids for e in t.encode_batch(part, add_special_tokens=False)]
+        assert counts.tolist() == [len(e) for e in expected]
+        assert ids.tolist() == [i for e in expected for i in e]
+
+
+def test_hadoop_schemes_are_opened_as_arrow_names_them():
+    from tallybook.llm.idfiles import arrow_uri
+
+    assert arrow_uri("s3a://bucket/ids") == "s3://bucket/ids"
+    assert [arrow_uri(p) for p in ("file:/x", "/s3a://x", "hdfs://n/x")] == ["file:/x", "/s3a://x", "hdfs://n/x"]
+
+
 def test_every_sequence_is_at_a_computed_place(tmp_path):
     rng = np.random.default_rng(0)
     ids = rng.integers(0, 60_000, 1000).astype(np.uint32)
