@@ -35,10 +35,12 @@ import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -63,6 +65,7 @@ SKIP_ROWS = 1 << 12
 # Rows of weights: constant, word before, word before that, both, classes further back.
 _FIRST_ROW = np.cumsum([0, 1, CONTEXTS, CONTEXTS, PAIR_ROWS])
 ROWS = int(_FIRST_ROW[-1]) + SKIP_ROWS
+_ROW_TYPE = np.min_scalar_type(ROWS)
 BATCH = 1 << 14
 RATE = 0.15
 _FAN = 8  # tasks whose weights are averaged together
@@ -97,6 +100,18 @@ def count_words(texts: DataFrame) -> DataFrame:
     return materialize(counts.withColumn("hash", F.xxhash64("word")), "word-counts")
 
 
+def _frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words from some count on, ``most`` of them at least, so that only few are left to be sorted."""
+    size = F.floor(F.log2("n") * 8)
+    sizes = counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("words")).collect()  # 512 rows at most
+    found = 0
+    for row in sorted(sizes, key=lambda r: -r["size"]):
+        found += row["words"]
+        if found >= most:
+            return counts.filter(size >= row["size"])
+    return counts
+
+
 @dataclass
 class Vocabulary:
     """The head words, most frequent first, and totals of all words."""
@@ -124,7 +139,8 @@ class Vocabulary:
         ones = F.sum((F.col("n") == 1).cast("bigint"))
         twos = F.sum((F.col("n") == 2).cast("bigint"))
         total, distinct, one, two = counts.agg(F.sum("n"), F.count(F.lit(1)), ones, twos).first()
-        head = counts.filter(F.col("word") != END).orderBy(F.desc("n"), "word").limit(most).select("word", "n").toArrow()
+        head = _frequent(counts.filter(F.col("word") != END), most).orderBy(F.desc("n"), "word").limit(most)
+        head = head.select("word", "n").toArrow()
         discount = min(0.9, max(0.1, (one or 0) / max(1, (one or 0) + 2 * (two or 0))))
         return cls(head.column("word").to_pylist(), head.column("n").to_numpy(), total or 0, distinct, discount, most)
 
@@ -144,11 +160,12 @@ class Tokens:
 def tokens_of(texts: pa.Array, vocabulary: Vocabulary) -> Tokens:
     flat, counts = words_of(texts)
     codes, words = codes_of(flat)
-    distinct = words.to_pylist()
-    rank = vocabulary.rank
-    ids = np.fromiter((rank.get(w, -1) for w in distinct), np.int64, len(distinct))
+    distinct = words.to_numpy(zero_copy_only=False).tolist()
+    ids = np.fromiter(map(vocabulary.rank.get, distinct, repeat(-1)), np.int64, len(distinct))
     tail = np.flatnonzero(ids < 0)
-    ids[tail] = [vocabulary.most + _signed(distinct[i][-LETTERS:]) % BUCKETS for i in tail]
+    letters, endings = codes_of(pc.utf8_slice_codeunits(words.take(pa.array(tail)), -LETTERS))
+    buckets = np.fromiter((_signed(e) % BUCKETS for e in endings.to_pylist()), np.int64, len(endings))
+    ids[tail] = vocabulary.most + buckets[letters]
     lengths = counts + 1
     ends = offsets_of(lengths)
     is_end = np.zeros(ends[-1], bool)
@@ -248,9 +265,9 @@ class Model:
         return np.stack(rows, axis=1) + _FIRST_ROW, classes
 
     def logits(self, rows: np.ndarray) -> np.ndarray:
-        total = self.weights[rows[:, 0]]
+        total = self.weights.take(rows[:, 0], axis=0)
         for k in range(1, rows.shape[1]):
-            total = total + self.weights[rows[:, k]]
+            total += self.weights.take(rows[:, k], axis=0)
         return total
 
     def base(self, count: np.ndarray) -> np.ndarray:
@@ -287,27 +304,34 @@ def _starting_model(counts: DataFrame, vocabulary: Vocabulary) -> Model:
 
 def _step(model: Model, rows: np.ndarray, classes: np.ndarray, squares: np.ndarray) -> None:
     """One gradient step (with a learning rate per weight) on a minibatch."""
-    logits = model.logits(rows)
-    logits -= logits.max(axis=1, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(axis=1, keepdims=True)
+    error = model.logits(rows)
+    error -= error.max(axis=1, keepdims=True)
+    np.exp(error, out=error)
+    error /= -error.sum(axis=1, keepdims=True)
     every = np.arange(len(rows))
     topic = classes - SINGLES - TOPICS
     taken = np.where((topic >= 0) & (topic < TOPICS), model.unseen[np.clip(topic, 0, TOPICS - 1)], 0).astype(np.float32)
-    error = -p
     error[every, classes] += 1 - taken
     error[:, UNKNOWN] += taken
     for k in range(1, rows.shape[1]):
-        order = np.argsort(rows[:, k], kind="stable")
+        order = np.argsort(rows[:, k].astype(_ROW_TYPE), kind="stable")  # small types are sorted by their digits
         sorted_rows = rows[order, k]
         starts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
         met = sorted_rows[starts]
-        slope = np.add.reduceat(error[order], starts, axis=0)
-        squares[met] += slope * slope
-        model.weights[met] += RATE * slope / np.sqrt(squares[met])
-    slope = error.sum(axis=0)
-    squares[0] += slope * slope
-    model.weights[0] += RATE / 10 * slope / np.sqrt(squares[0])
+        # Two classes as one complex number: half as many additions.
+        slope = np.add.reduceat(error.take(order, axis=0).view(np.complex64), starts, axis=0).view(np.float32)
+        _move(model.weights, squares, met, slope, RATE)
+    _move(model.weights, squares, np.zeros(1, np.int64), error.sum(axis=0, keepdims=True), RATE / 10)
+
+
+def _move(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, slope: np.ndarray, rate: float) -> None:
+    """Adds the slopes of the met rows, each weight at its own rate."""
+    sums = squares.take(met, axis=0)
+    sums += slope * slope
+    squares[met] = sums
+    slope /= np.sqrt(sums, out=sums)
+    slope *= rate
+    weights[met] += slope
 
 
 def _trainer(shared):
@@ -378,9 +402,10 @@ def _log10_softmax(model: Model, rows: np.ndarray, classes: np.ndarray) -> tuple
         part = slice(at, at + BATCH)
         logits = model.logits(rows[part])
         top = logits.max(axis=1)
-        norm = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        own[part] = logits[np.arange(len(logits)), classes[part]] - norm
-        unknown[part] = logits[:, UNKNOWN] - norm
+        logits -= top[:, None]
+        chosen, unseen = logits[np.arange(len(logits)), classes[part]], logits[:, UNKNOWN].copy()
+        norm = np.log(np.exp(logits, out=logits).sum(axis=1))
+        own[part], unknown[part] = chosen - norm, unseen - norm
     return own / math.log(10), unknown / math.log(10)
 
 
@@ -409,7 +434,8 @@ def _scorer(shared):
             tail = np.flatnonzero(~is_head & ~is_end)
             key, group = np.unique(tokens.owner[tail] * max(1, len(tokens.distinct)) + tokens.words[tail], return_inverse=True)
             word = key % max(1, len(tokens.distinct))
-            hashes = np.fromiter((_signed(tokens.distinct[w]) for w in word), np.int64, len(word))
+            asked, asked_at = np.unique(word, return_inverse=True)
+            hashes = np.fromiter((_signed(tokens.distinct[w]) for w in asked.tolist()), np.int64, len(asked))[asked_at]
             topic = np.zeros(len(key), np.int64)
             topic[group] = classes[tail] - SINGLES - TOPICS
             values = [hashes, np.bincount(group, minlength=len(key)), topic.astype(np.int32)]

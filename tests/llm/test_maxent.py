@@ -104,3 +104,34 @@ def test_no_training_texts(spark):
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in found] == [(3, 0, 0, 0.0, 0.0), (1, 0, 0, 0.0, 0.0)]
     assert maxent.score(docs.limit(0), None, counts).collect() == []
     assert docs.filter(held_out("doc_id", 5, 1)).count() <= 2
+
+
+@pytest.mark.parametrize("most", [1, 5, 40, 1000])
+def test_head_words_are_the_most_frequent(spark, most):
+    rows = [(f"w{i:03d}", 1 + (i * 37) % 90 if i % 3 else 1, i) for i in range(200)] + [(maxent.END, 500, -1)]
+    counts = spark.createDataFrame(rows, "word string, n bigint, hash bigint")
+    wanted = sorted(((n, w) for w, n, _ in rows if w != maxent.END), key=lambda x: (-x[0], x[1]))[:most]
+    found = maxent.Vocabulary.of(counts, most)
+    assert list(zip(found.counts.tolist(), found.words, strict=True)) == wanted
+    assert (found.tokens, found.distinct) == (sum(r[1] for r in rows), 201)
+
+
+def test_a_step_moves_weights_by_the_summed_slopes():
+    rng = np.random.default_rng(3)
+    rows = np.stack([np.zeros(500, int), *(f + rng.integers(0, 6, 500) for f in maxent._FIRST_ROW[1:])], axis=1)
+    classes = rng.integers(0, maxent.SINGLES + maxent.TOPICS, 500)
+    weights = rng.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32)
+    vocabulary = maxent.Vocabulary([], np.zeros(0), 0, 0, 0.5)
+    model = maxent.Model(vocabulary, np.zeros(0), np.ones(maxent.TOPICS), np.zeros(maxent.TOPICS), weights.copy())
+    squares = np.ones_like(weights)
+    maxent._step(model, rows, classes, squares)
+    logits = weights[rows].sum(axis=1, dtype=np.float64)
+    p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    wanted = np.zeros(weights.shape)
+    for i in range(500):
+        for k in range(rows.shape[1]):
+            wanted[rows[i, k]] -= p[i]
+            wanted[rows[i, k], classes[i]] += 1
+    rate = np.full((maxent.ROWS, 1), maxent.RATE)
+    rate[0] /= 10
+    np.testing.assert_allclose(model.weights - weights, rate * wanted / np.sqrt(1 + wanted**2), atol=2e-5)
