@@ -504,6 +504,7 @@ def queries() -> dict[str, Query]:
         "reset_tables": _reset_tables,
         "physical_layout": _layout("bucket"),
         "range_layout": _layout("range"),
+        "curve_layout": _layout("curve"),
         "register_views": _register_views,
         "all_views": _all_views,
         "run_query": _run_query,

@@ -428,6 +428,7 @@ ORACLE: dict[str, str] = {
     "reset_tables": _star(_TABLE_ROWS.replace("{}", "count(*) FILTER (WHERE false)")),
     "physical_layout": _star(f"SELECT invoice_no, invoice_date, customer_id, {_big('country_id')}, {money('cents')} AS order_total, {_big('units')} FROM totals"),
     "range_layout": _star(f"SELECT invoice_no, invoice_date, customer_id, {_big('country_id')}, {money('cents')} AS order_total, {_big('units')} FROM totals"),
+    "curve_layout": _star(f"SELECT invoice_no, invoice_date, customer_id, {_big('country_id')}, {money('cents')} AS order_total, {_big('units')} FROM totals"),
     "all_views": _star(" UNION ALL ".join(
         f"SELECT '{view}' AS view, count(*) AS rows, {money('sum(cents)')} AS total FROM {cte}" for view, cte in (
             ("v_order_totals", "totals"), ("v_monthly_revenue", "months"), ("v_country_revenue", "per_country"),

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybook.model import CONFLICT_KEYS, PRIMARY_KEYS, TABLE_SCHEMAS, RetailTables
+from tallybook.operators.curve import along_curve
 from tallybook.sources.log import CommitConflict, State, read_state, write_state
 
 #: Tables whose keys are registered. Countries are few, and their names are read as they are.
@@ -307,11 +308,15 @@ def write_layout(tables: RetailTables, prefix: str, folder: str, buckets: int, b
     ``by="range"``, for such tables: items are range-sorted by invoice and line,
     which cuts through a huge invoice, and invoices by date, so that a date filter
     skips files.
+
+    ``by="curve"``: invoices are laid out along date and customer together, items along
+    invoice and product, so that a filter on any one of the four skips most files.
     """
-    if by not in ("bucket", "range"):
-        raise ValueError(f"by must be 'bucket' or 'range', not {by!r}")
+    if by not in ("bucket", "range", "curve"):
+        raise ValueError(f"by must be 'bucket', 'range' or 'curve', not {by!r}")
     spark = tables.invoices.sparkSession
     ranges = {"invoices": ["invoice_date", "invoice_no"], "invoice_items": ["invoice_no", "item_id"]}
+    curves = {"invoices": ["invoice_date", "customer_id"], "invoice_items": ["invoice_no", "stock_code"]}
     for name, df in tables.items():
         shaped = _shaped(name, df)
         if name not in ranges:
@@ -320,6 +325,8 @@ def write_layout(tables: RetailTables, prefix: str, folder: str, buckets: int, b
             # One task per bucket, so a bucket is one sorted file and not one per task.
             placed = shaped.repartition(buckets, "invoice_no")
             writer = placed.write.bucketBy(buckets, "invoice_no").sortBy("invoice_no")
+        elif by == "curve":
+            writer = along_curve(shaped, curves[name], PRIMARY_KEYS[name], buckets).write
         else:
             order = ranges[name]
             writer = shaped.repartitionByRange(buckets, *order).sortWithinPartitions(*order).write
