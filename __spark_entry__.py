@@ -250,15 +250,20 @@ def _load_exported(spark: SparkSession, folder: str) -> DataFrame:
     return done.counts.select("step", "rows").union(aside).union(narrow)
 
 
+# Lines of a file of the sheet in many files; fewer than 24 files are not written.
+_FILE_LINES = 150_000
+
+
 def _split_order(spark: SparkSession, folder: str) -> DataFrame:
-    """A sheet of many files and splits, read by three tasks."""
+    """A sheet of many files and splits, read by three tasks, or by one for eight files if they are more."""
     lines = with_source_order(spark.read.parquet(f"{folder}/lineitem.parquet"), "number")
+    files = max(24, -(-lines.count() // _FILE_LINES))
     number = F.lpad(F.col("number").cast("string"), 12, "0")
     other = {"Quantity": "1", "InvoiceDate": "2011-01-05T10:00:00", "UnitPrice": "1.0"}
     sheet = lines.select(*(number.alias(c) if c == "InvoiceNo" else F.lit(other.get(c, "7")).alias(c) for c in RAW_COLUMNS))
     path = scratch_path(spark, "files")
-    sheet.repartitionByRange(24, "InvoiceNo").sortWithinPartitions("InvoiceNo").write.option("header", True).csv(path)
-    settings = {"spark.sql.files.maxPartitionNum": "3", "spark.sql.files.maxPartitionBytes": "20000"}
+    sheet.repartitionByRange(files, "InvoiceNo").sortWithinPartitions("InvoiceNo").write.option("header", True).csv(path)
+    settings = {"spark.sql.files.maxPartitionNum": str(files // 8), "spark.sql.files.maxPartitionBytes": "20000"}
     before = {k: spark.conf.get(k, None) for k in settings}
     try:
         for key, value in settings.items():

@@ -6,6 +6,10 @@ from pathlib import Path
 
 import pytest
 
+import __spark_entry__ as entry
+from tallybook.sources.sales import read_sales
+from tests.conftest import SMALL
+
 ROOT = Path(__file__).parents[1]
 
 
@@ -15,3 +19,20 @@ def test_the_tables_queries_stay_when_a_library_is_missing(missing):
     done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True)
     tables, known = map(int, done.stdout.split())
     assert tables == known > 80
+
+
+def test_a_longer_sheet_is_read_by_more_tasks(spark, monkeypatch):
+    """The lines that one task of split_order reads do not grow with the sheet."""
+    read = []
+
+    def noted(session, path):
+        read.append((spark.conf.get("spark.sql.files.maxPartitionNum"), len(list(Path(path).glob("*.csv")))))
+        return read_sales(session, path)
+
+    monkeypatch.setattr(entry, "read_sales", noted)
+    [three] = entry.queries()["split_order"](spark, SMALL).collect()
+    monkeypatch.setattr(entry, "_FILE_LINES", 100)
+    [more] = entry.queries()["split_order"](spark, SMALL).collect()
+    files = -(-more["rows"] // 100)
+    assert read == [("3", 24), (str(files // 8), files)]
+    assert more == three and more["rows"] == more["ids"] and more["misplaced"] == 0
