@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 
 from tallybook.operators.scratch import materialize
 
+#: A block of ``numbered_by`` holds 2^17 values of its column, so at most as many rows.
+BLOCK_BITS = 17
+MOST_BLOCKS = 1 << 18
+
 _SLICE_BITS = 33  # monotonically_increasing_id: slice number above, row in slice below
 
 
@@ -79,6 +83,23 @@ def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "row_nu
     return _numbered(df, order, out, "row-number").drop("_total")
 
 
+def numbered_by(df: DataFrame, order: str, out: str) -> DataFrame:
+    """Contiguous 1..N over the whole table by a unique BIGINT column, in one shuffle of the rows. Runs jobs.
+
+    Whole numbers need no sampled ranges: rows of each block of 2^BLOCK_BITS values are
+    counted first, and a block's rows are numbered on from those of the blocks before.
+    Values so sparse that they make more blocks than are broadcast are range-sorted.
+    """
+    blocked = df.withColumn("_slice", F.shiftright(F.col(order), BLOCK_BITS))
+    sizes = materialize(blocked.groupBy("_slice").agg(F.count(F.lit(1)).alias("_rows")), "block-sizes")
+    if sizes.count() > MOST_BLOCKS:
+        return global_row_number(df, [F.col(order)], out)
+    starts = F.broadcast(_slice_starts(sizes, F.sum("_rows")).select("_slice", "_start"))  # bounded by the line above
+    in_block = F.row_number().over(Window.partitionBy("_slice").orderBy(order))
+    numbered = blocked.withColumn("_in_slice", in_block).join(starts, "_slice")
+    return numbered.withColumn(out, F.col("_start") + F.col("_in_slice")).drop("_slice", "_in_slice", "_start")
+
+
 def global_ntile(df: DataFrame, n: int, order: Sequence[Column], out: str = "ntile") -> DataFrame:
     """NTILE(n) over the whole table. Runs jobs while the frame is built."""
     numbered = _numbered(df, order, "_rank", "ntile")
