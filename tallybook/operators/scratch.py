@@ -16,6 +16,9 @@ from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Of intermediate tables and of loads.
+COMPRESSION = "zstd"
+
 _own_roots: dict[str, str] = {}
 _scopes: list[list[str]] = []
 
@@ -57,7 +60,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write the frame once and return it as a scan of the written table."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", COMPRESSION).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

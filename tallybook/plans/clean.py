@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.text import MISSING_TEXT, strip
 from tallybook.model import COPIES, CORRUPT, RAW_COLUMNS, SOURCE_ORDER
+from tallybook.operators.scratch import materialize
 
 # The sheet's text columns.
 TEXT_COLUMNS = ["InvoiceNo", "StockCode", "Description", "Country"]
@@ -17,6 +18,8 @@ REASON = "reason"
 # to more than DECIMAL(10,2) holds.
 KEY_LENGTHS = {"InvoiceNo": 20, "StockCode": 20, "Country": 64}
 PRICE_LIMIT = 99_999_999.995
+#: So many digests of repeated lines are broadcast at most.
+REPEATED_DIGESTS = 4_000_000
 
 
 def trim_strings(raw: DataFrame) -> DataFrame:
@@ -114,19 +117,42 @@ def drop_duplicates(lines: DataFrame) -> DataFrame:
     )
 
 
+def drop_written_duplicates(lines: DataFrame) -> DataFrame:
+    """The same rows as ``drop_duplicates`` of lines made from a written table. Runs jobs.
+
+    Lines are read several times instead of being shuffled: a digest that occurs once
+    is the digest of a line without copies. Only the 8 bytes of the digests are
+    shuffled, and whole lines where a digest occurs again, so lines that differ under
+    one digest stay apart. Lines without copies stay in the order they were written in.
+    """
+    marked = lines.withColumn("_digest", F.xxhash64(*CLEAN_COLUMNS))
+    digests = marked.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("_digest")
+    again = materialize(digests, "repeated-digests")
+    if again.count() > REPEATED_DIGESTS:
+        return drop_duplicates(lines)
+    again = F.broadcast(again)  # bounded by the line above
+    once = marked.join(again, "_digest", "left_anti").withColumn(COPIES, F.lit(1).cast("bigint"))
+    repeated = drop_duplicates(marked.join(again, "_digest", "left_semi"))
+    return once.select(*repeated.columns).union(repeated)
+
+
 def loadable(raw: DataFrame, null_keys: str = "quarantine") -> DataFrame:
     """Raw rows without those set aside, trimmed."""
     kept = trim_strings(raw.filter(quarantine_reason(raw, null_keys).isNull()))
     return null_as_text(kept) if null_keys == "text" else kept
 
 
-def clean_sales(raw: DataFrame, null_keys: str = "quarantine") -> DataFrame:
+def clean_sales(raw: DataFrame, null_keys: str = "quarantine", written: bool | None = None) -> DataFrame:
     """The whole cleaning: the nine clean columns, source order and copies.
 
+    ``written`` says that ``raw`` is a written table: it may be read several times, which
+    saves the shuffle of all lines. Rows that have their reason already are taken as written.
+
     ``null_keys="text"`` keeps rows without invoice number, stock code or country
     under the key ``nan`` instead of setting them aside.
     """
     if null_keys not in ("quarantine", "text"):
         raise ValueError(f"null_keys must be 'quarantine' or 'text', not {null_keys!r}")
     priced = drop_nonpositive_price(drop_no_description(loadable(raw, null_keys)))
-    return drop_duplicates(cast_customer(flag_cancellation(priced)))
+    lines = cast_customer(flag_cancellation(priced))
+    return drop_written_duplicates(lines) if (REASON in raw.columns if written is None else written) else drop_duplicates(lines)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybook.model import COPIES, CORRUPT, RAW_SCHEMA, SOURCE_ORDER, RetailTables
-from tallybook.operators.scratch import materialize
+from tallybook.operators.scratch import COMPRESSION, materialize
 from tallybook.plans.clean import REASON, clean_sales, quarantine_reason, quarantined
 from tallybook.plans.normalize import build_countries, normalize
 from tallybook.plans.quality import added_violations, row_violations
@@ -132,7 +132,7 @@ def _published(
     """Write all of a load, check it, and only then make it count: on top of ``seen``, or in place of what there was."""
     spark = staged.sparkSession
     aside = _set_aside_columns(quarantined(staged))
-    aside.write.mode("overwrite").parquet(load_path(folder, "set_aside", load_id))
+    aside.write.mode("overwrite").option("compression", COMPRESSION).parquet(load_path(folder, "set_aside", load_id))
     written = write_load(incoming, folder, load_id, seen.buckets if seen else 0)
     rules = row_violations(written)
     if seen is not None:

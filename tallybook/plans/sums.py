@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from tallybook.functions.money import cents_to_money, line_cents
 from tallybook.model import RetailTables
+from tallybook.operators.scratch import COMPRESSION, materialize
 from tallybook.plans.views import sales_invoices
 from tallybook.sources.log import State, read_state
 from tallybook.sources.tables import load_path, read_load, read_tables, table_scan
@@ -54,18 +55,22 @@ def write_sums(spark: SparkSession, folder: str, load_id: str, seen: State | Non
     """Write the sums of a written load that is to count on top of ``seen`` (None: by itself)."""
 
     def write(name: str, sums: DataFrame) -> None:
-        sums.select(SUM_TABLES[name].fieldNames()).write.mode("overwrite").parquet(load_path(folder, name, load_id))
+        writer = sums.select(SUM_TABLES[name].fieldNames()).write.mode("overwrite").option("compression", COMPRESSION)
+        writer.parquet(load_path(folder, name, load_id))
 
     own = read_load(spark, folder, load_id)
     lines = own.invoice_items.select("invoice_no", "stock_code", line_cents().alias("cents"), F.col("quantity").alias("units"))
     write("invoice_sums", lines.groupBy("invoice_no").agg(*_added()))
     numbers = _stored(spark, folder, "invoice_sums", load_id).select("invoice_no")
     known = table_scan(spark, folder, "invoices", state=seen) if seen is not None and seen.live else None
-    # Folded per invoice and product first, so a huge invoice brings a row per product to the join.
-    folded = lines.groupBy("invoice_no", "stock_code").agg(*_added())
-    told = folded.join(_status(own, numbers, known), "invoice_no", "left")
-    write("product_sums", told.filter(~F.col("is_cancellation")).groupBy("stock_code").agg(*_added()))
-    write("open_sums", told.filter(F.col("is_cancellation").isNull()))
+    # Lines meet their invoice as they are and are added up by product next, which leaves adaptive execution
+    # free to split a huge invoice. Both tables come from one pass.
+    told, is_open = lines.join(_status(own, numbers, known), "invoice_no", "left"), F.col("is_cancellation").isNull()
+    kept = told.filter(is_open | ~F.col("is_cancellation"))
+    number = F.when(is_open, F.col("invoice_no")).alias("invoice_no")
+    both = materialize(kept.groupBy(is_open.alias("_open"), number, "stock_code").agg(*_added()), "sums")
+    write("product_sums", both.filter(~F.col("_open")))
+    write("open_sums", both.filter("_open"))
 
 
 def _stored(spark: SparkSession, folder: str, name: str, load_id: str) -> DataFrame:

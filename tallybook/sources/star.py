@@ -100,19 +100,23 @@ def star_sheet(spark: SparkSession, folder: str) -> DataFrame:
         .join(nation, F.col("_nation") == F.col("n_nationkey"))
         .select("o_orderkey", "o_custkey", "o_orderdate", "n_name")
     )
+    # Small plain numbers go through the joins, not the keys and doubles they are made from.
+    needed = ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", SOURCE_ORDER]
+    derived = [F.col("l_quantity").cast("int").alias("_quantity"), _price_cents().alias("_cents")]
     lines = (
         with_source_order(_read(spark, folder, "lineitem"))
+        .select(*needed, *derived, (F.col("l_suppkey") % 50 == 0).alias("_nameless"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     )
     returned = F.col("l_returnflag") == "R"
     number = F.concat(F.when(returned, "C").otherwise(""), (500000 + F.col("l_orderkey")).cast("string"))
-    quantity = F.col("l_quantity").cast("int")
+    quantity = F.col("_quantity")
     spoiled = (F.col("l_orderkey") + F.col("l_linenumber")) % 211
     sheet = lines.select(
         F.when(F.col("l_linenumber") == 2, F.concat(F.lit(" "), number, F.lit(" "))).otherwise(number).alias("InvoiceNo"),
         F.lpad(_key("l_partkey"), 5, "0").alias("StockCode"),
-        F.when(F.col("l_suppkey") % 50 == 0, None)
+        F.when(F.col("_nameless"), None)
         .when(F.col("l_linenumber") == 7, F.upper("p_name"))
         .when(F.col("l_linenumber") == 3, F.concat(F.lit("  "), F.col("p_name"), F.lit(" ")))
         .otherwise(F.col("p_name"))
@@ -121,7 +125,7 @@ def star_sheet(spark: SparkSession, folder: str) -> DataFrame:
         _order_time((F.col("o_orderkey") * 7 + F.col("l_linenumber")) % 60).alias("InvoiceDate"),
         F.when(spoiled == 0, 0.0)
         .when(spoiled == 1, -1.0)
-        .otherwise(_price_cents() / 100)
+        .otherwise(F.col("_cents") / 100)
         .alias("UnitPrice"),
         F.when(F.col("o_orderkey") % 4 != 0, F.col("o_custkey").cast("double")).alias("CustomerID"),
         F.col("n_name").alias("Country"),

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from tallybook.model import CONFLICT_KEYS, PRIMARY_KEYS, TABLE_SCHEMAS, RetailTables
 from tallybook.operators.curve import along_curve
+from tallybook.operators.scratch import COMPRESSION
 from tallybook.sources.log import CommitConflict, State, read_state, write_state
 
 #: Tables whose keys are registered. Countries are few, and their names are read as they are.
@@ -113,7 +114,7 @@ def _register_keys(written: RetailTables, folder: str, load_id: str, buckets: in
         keys = getattr(written, name).select(key.alias("key"), F.lit(load_id).alias("load"))
         table = f"tallybook_{uuid.uuid4().hex}"
         place = f"{_registry_root(folder, buckets, name)}/load={load_id}"
-        bucketed = keys.repartition(buckets, "key").write.bucketBy(buckets, "key").mode("overwrite")
+        bucketed = keys.repartition(buckets, "key").write.bucketBy(buckets, "key").option("compression", COMPRESSION).mode("overwrite")
         bucketed.option("path", place).saveAsTable(table)
         spark.sql(f"DROP TABLE {table}")  # the files stay; the catalog is not needed to find them
     marker = spark.createDataFrame([(buckets,)], "buckets int").coalesce(1)
@@ -142,7 +143,7 @@ def write_load(tables: RetailTables, folder: str, load_id: str, buckets: int = 0
     ``buckets`` is that of the registry so far; 0 begins a new one by the number of keys.
     """
     for name, df in tables.items():
-        _shaped(name, df).write.mode("overwrite").parquet(load_path(folder, name, load_id))
+        _shaped(name, df).write.mode("overwrite").option("compression", COMPRESSION).parquet(load_path(folder, name, load_id))
     written = read_load(tables.invoices.sparkSession, folder, load_id)
     _register_keys(written, folder, load_id, buckets or _buckets_for(written))
     return written
@@ -275,7 +276,7 @@ def compact(spark: SparkSession, folder: str, also: dict[str, T.StructType] | No
     merged = read_tables(spark, folder, seen)
     for name, schema in (also or {}).items():
         rows = table_scan(spark, folder, name, schema, seen)
-        rows.write.mode("overwrite").parquet(load_path(folder, name, load_id))
+        rows.write.mode("overwrite").option("compression", COMPRESSION).parquet(load_path(folder, name, load_id))
     write_load(merged, folder, load_id, buckets or seen.buckets)
 
     def entry(now: State) -> State:
