@@ -55,6 +55,18 @@ def _spread(bits: int, step: int, first: int) -> list[int]:
     return [sum((n >> b & 1) << (b * step + first) for b in range(bits)) for n in range(1 << bits)]
 
 
+def _by_limits(number: Column, limits: Sequence[float], values: Sequence[int]) -> Column:
+    """``values[c]``, with c the limits that the number reaches, by halving them: a row is compared ``bits`` times.
+
+    A null reaches none.
+    """
+    if not limits:
+        return F.lit(values[0]).cast("bigint")
+    half = len(limits) // 2
+    above, below = (limits[half + 1 :], values[half + 1 :]), (limits[:half], values)
+    return F.when(number >= F.lit(limits[half]), _by_limits(number, *above)).otherwise(_by_limits(number, *below))
+
+
 def with_place(df: DataFrame, columns: Sequence[str], out: str, bits: int = BITS) -> DataFrame:
     """Adds the place of each row in the order, a BIGINT below 2^(bits * columns). Runs jobs."""
     if bits * len(columns) > 62:
@@ -66,10 +78,7 @@ def with_place(df: DataFrame, columns: Sequence[str], out: str, bits: int = BITS
     limits = numbered.agg(*[F.percentile_approx(n, shares).alias(n) for n in names]).first()
     parts = []
     for i, name in enumerate(names):
-        above = [F.when(F.col(name) >= F.lit(limit), 1).otherwise(0) for limit in sorted(set(limits[name] or ()))]
-        cell = reduce(Column.__add__, above, F.lit(0))
-        spread = F.array(*[F.lit(n).cast("bigint") for n in _spread(bits, len(columns), i)])
-        parts.append(F.element_at(spread, cell + 1))
+        parts.append(_by_limits(F.col(name), sorted(set(limits[name] or ())), _spread(bits, len(columns), i)))
     return numbered.withColumn(out, reduce(Column.__add__, parts)).drop(*names)
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybook.model import COPIES, SOURCE_ORDER
-from tallybook.operators import ranking
+from tallybook.operators import curve, ranking
 from tallybook.operators.scratch import materialize
 from tallybook.plans import clean, sums
 from tallybook.plans.load import load_sales
@@ -63,3 +63,14 @@ def test_the_sums_of_a_load_come_from_one_pass(spark, make_sheet, monkeypatch, t
     assert any("/invoice_items/" in file for file in frame.inputFiles())
     assert sorted(rows(sums._stored(spark, folder, "product_sums", "one"))) == [("A", 500, 5), ("B", 37, 1)]
     assert rows(sums._stored(spark, folder, "open_sums", "one")) == []
+
+
+@pytest.mark.parametrize("limits", [[], [2.0], [1.0, 2.0, 5.0, 9.0], [float(n) for n in range(63)]])
+def test_a_row_finds_its_cell_by_halving_the_limits(spark, limits):
+    values = [n * n + 3 for n in range(64)]
+    numbers = [None, float("nan"), *[n / 2 for n in range(-3, 140)]]
+    frame = spark.createDataFrame([(n,) for n in numbers], "n double").repartition(3)
+    place = curve._by_limits(F.col("n"), limits, values)
+    assert frame.select(place.alias("p")).schema["p"].dataType.simpleString() == "bigint"
+    for n, p in rows(frame.select("n", place)):
+        assert p == values[sum(n is not None and (n != n or n >= limit) for limit in limits)]
