@@ -48,7 +48,7 @@ def read_sales(
             .option("multiLine", multi_line)
             .csv(path)
         )
-        return _typed(with_source_order(sheet, fmt="csv"), timestamp_format)
+        return with_source_order(_typed(sheet, timestamp_format), fmt="csv")  # so values are read from text once
     raise ValueError(f"unsupported format: {fmt}")
 
 
@@ -57,15 +57,13 @@ def _timestamp(text: Column, pattern: str | None) -> Column:
     if pattern is None:
         return text.try_cast("timestamp_ntz")
     instant = F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{pattern} xx"))
-    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
-    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
-    return F.lit(_EPOCH).cast("timestamp_ntz") + since
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.lit(_EPOCH).cast("timestamp_ntz"))
 
 
 def _whole_number(text: Column, kind: T.DataType) -> Column:
     """A whole number, which a spreadsheet may write as 6.0; null for any other text and for fractions."""
     number = text.try_cast("decimal(38,10)")
-    return F.when(number == F.floor(number), number.try_cast(kind))
+    return F.coalesce(text.try_cast(kind), F.when(number == F.floor(number), number.try_cast(kind)))
 
 
 def _typed(lines: DataFrame, timestamp_format: str | None) -> DataFrame:
@@ -79,9 +77,12 @@ def _typed(lines: DataFrame, timestamp_format: str | None) -> DataFrame:
             typed[field.name] = _whole_number(text, field.dataType)
         elif not isinstance(field.dataType, T.StringType):
             typed[field.name] = text.try_cast(field.dataType)
-    misfit = reduce(Column.__or__, (F.col(c).isNotNull() & value.isNull() for c, value in typed.items()))
+    # Values are columns of their own first, as each is used twice.
+    valued = lines.withColumns({f"_typed_{c}": value for c, value in typed.items()})
+    misfit = reduce(Column.__or__, (F.col(c).isNotNull() & F.col(f"_typed_{c}").isNull() for c in typed))
     line = F.coalesce(F.col(CORRUPT), F.when(misfit, F.to_csv(F.struct(*RAW_COLUMNS))))
-    return lines.withColumns({**typed, CORRUPT: line}).select(*RAW_COLUMNS, CORRUPT, SOURCE_ORDER)
+    columns = [F.col(f"_typed_{c}" if c in typed else c).alias(c) for c in RAW_COLUMNS]
+    return valued.select(*columns, line.alias(CORRUPT))
 
 
 def with_source_order(scan: DataFrame, out: str = SOURCE_ORDER, fmt: str = "parquet") -> DataFrame:

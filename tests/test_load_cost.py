@@ -11,6 +11,7 @@ from tallybook.operators.scratch import materialize
 from tallybook.plans import clean, sums
 from tallybook.plans.load import load_sales
 from tallybook.plans.normalize import build_items
+from tallybook.sources.sales import read_sales
 from tests.conftest import rows
 
 
@@ -74,3 +75,13 @@ def test_a_row_finds_its_cell_by_halving_the_limits(spark, limits):
     assert frame.select(place.alias("p")).schema["p"].dataType.simpleString() == "bigint"
     for n, p in rows(frame.select("n", place)):
         assert p == values[sum(n is not None and (n != n or n >= limit) for limit in limits)]
+
+
+def test_a_csv_sheet_is_read_from_text_once(spark, tmp_path):
+    """Later jobs read the values that were written, and do not parse the text again."""
+    header = "InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country\n"
+    lines = ["1,A,x,6,12/1/2010 8:26,2.5,7,X", "2,A,x,6.0,12/1/2010 8:26,2.5,7.0,X", "3,A,x,6.5,12/1/2010 8:26,2.5,7,X"]
+    (tmp_path / "sheet.csv").write_text(header + "\n".join(lines) + "\n")
+    sheet = read_sales(spark, str(tmp_path / "sheet.csv"), timestamp_format="M/d/yyyy H:mm")
+    assert [(r.Quantity, r[SOURCE_ORDER]) for r in sheet.orderBy(SOURCE_ORDER).collect()] == [(6, 0), (6, 1), (None, 2)]
+    assert "cast(" not in sheet._jdf.queryExecution().executedPlan().toString().lower()
