@@ -13,6 +13,10 @@ basket, so one huge basket would be the whole job. Three facts avoid that:
   large baskets matter, which is tight when one basket dominates.
 
 Nothing is sampled or capped: what is left out provably ranks below the floor.
+
+Baskets and items are numbered once, items in their order, and a line carries the
+size of its basket and the norms of its item. So the passes that follow move whole
+numbers only and need no further join to tell small baskets and open pairs.
 """
 
 from __future__ import annotations
@@ -20,9 +24,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from tallybook.operators.ranking import global_row_number
 from tallybook.operators.scratch import materialize
 
 #: Baskets up to this many distinct items may list their pairs directly.
@@ -36,7 +41,9 @@ PART_ITEMS = 1 << 9
 #: Tiles are dealt to this many tasks at most.
 MOST_TASKS = 1 << 14
 
-_SLACK = 1 + 1e-9  # keeps a bound from being rounded below the true value
+# Keeps a bound from being rounded below the true value: a sum of m doubles is off by m / 2^53 at most, so
+# this covers items in up to 9e9 baskets.
+_SLACK = 1 + 1e-6
 
 
 @dataclass(frozen=True)
@@ -44,8 +51,8 @@ class _Floor:
     """Any pair of the answer ranks at or before this one."""
 
     count: int
-    a: str
-    b: str
+    a: str | int
+    b: str | int
 
     def reachable(self, bound: Column) -> Column:
         """Could a pair with this upper bound be in the answer?"""
@@ -66,9 +73,13 @@ def _bound(norm_a: Column, norm_b: Column) -> Column:
     return F.sqrt(norm_a) * F.sqrt(norm_b) * _SLACK
 
 
-def _norms(lines: DataFrame, out: str) -> DataFrame:
-    squares = (F.col("n") * F.col("n")).cast("decimal(20,0)")
-    return lines.groupBy("item").agg(F.sum(squares).cast("double").alias(out))
+def _norms(lines: DataFrame, out: str, large: Column | None = None) -> DataFrame:
+    """The norm of every item and, if ``large`` is given, the norm over the lines where it holds."""
+    squares = F.col("n").cast("double") * F.col("n").cast("double")
+    sums = [F.sum(squares).alias(out)]
+    if large is not None:
+        sums.append(F.coalesce(F.sum(F.when(large, squares)), F.lit(0.0)).alias(f"{out}_large"))
+    return lines.groupBy("item").agg(*sums)
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -113,11 +124,10 @@ def _find_floor(lines: DataFrame, sizes: DataFrame, norms: DataFrame, k: int) ->
 
 def _count_reachable(lines: DataFrame, norms: DataFrame, floor: _Floor) -> DataFrame:
     """Pairs of small baskets that the floor leaves open, with the bound of their
-    count in large baskets."""
+    count in large baskets. The lines carry their norms."""
     top = norms.agg(F.max("norm")).first()[0]
     item_bound = _bound(F.col("norm"), F.lit(top))
-    tagged = lines.join(norms.filter(floor.reachable(item_bound)), "item")
-    left, right = _sides(tagged, "norm", "norm_large")
+    left, right = _sides(lines.filter(floor.reachable(item_bound)), "norm", "norm_large")
     left = left.filter(floor.reachable_as_first(_bound(F.col("norm_a"), F.lit(top)), F.col("a")))
     open_pair = floor.reachable_pair(_bound(F.col("norm_a"), F.col("norm_b")), F.col("a"), F.col("b"))
     return (
@@ -128,15 +138,33 @@ def _count_reachable(lines: DataFrame, norms: DataFrame, floor: _Floor) -> DataF
     )
 
 
+def _tasks(lines: DataFrame, tiles: int) -> int:
+    return min(MOST_TASKS, max(tiles, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _list_whole(lines: DataFrame, norms: DataFrame, floor: _Floor, tiles: int) -> DataFrame:
+    """Pairs that reach the floor on large baskets alone, a row for each basket of at most PART_ITEMS items.
+
+    Such a basket is one tile, so nothing has to be dealt. The lines carry their norms.
+    """
+    top = norms.agg(F.max("norm_large")).first()[0]
+    item_bound = _bound(F.col("norm_large"), F.lit(top))
+    left, right = _sides(lines.filter(floor.reachable(item_bound)), "norm_large")
+    left = left.filter(floor.reachable_as_first(_bound(F.col("norm_large_a"), F.lit(top)), F.col("a")))
+    left, right = (side.repartition(_tasks(lines, tiles), "basket") for side in (left, right))
+    open_pair = floor.reachable_pair(_bound(F.col("norm_large_a"), F.col("norm_large_b")), F.col("a"), F.col("b"))
+    met = _join_sides(left, right, ["basket"], open_pair)
+    return met.select("a", "b", (F.col("n_a") * F.col("n_b")).alias("large_count"))
+
+
 def _count_large(lines: DataFrame, norms: DataFrame, floor: _Floor) -> DataFrame:
     """Pairs that reach the floor on large baskets alone, with their count there."""
     top = norms.agg(F.max("norm_large")).first()[0]
     item_bound = _bound(F.col("norm_large"), F.lit(top))
     tagged = lines.join(norms.select("item", "norm_large").filter(floor.reachable(item_bound)), "item")
     first, second, tiles = _grid(tagged, floor.reachable_as_first(_bound(F.col("norm_large"), F.lit(top)), F.col("item")))
-    spread = max(tiles, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     on = ["basket", "row", "column"]
-    first, second = (side.repartition(min(MOST_TASKS, spread), *on) for side in (first, second))
+    first, second = (side.repartition(_tasks(lines, tiles), *on) for side in (first, second))
     ordered = (F.col("row") < F.col("column")) | (F.col("x") < F.col("y"))
     open_pair = floor.reachable_pair(
         _bound(F.col("norm_large_x"), F.col("norm_large_y")), F.least("x", "y"), F.greatest("x", "y")
@@ -180,8 +208,11 @@ def _grid(lines: DataFrame, leads: Column) -> tuple[DataFrame, DataFrame, int]:
 def _look_up_large(pairs: DataFrame, large: DataFrame) -> DataFrame:
     """Counts in large baskets for given pairs.
 
-    A pair is looked for in the baskets of the rarer of its items only.
+    A pair is looked for in the baskets of the rarer of its items only, and of the
+    lines only those of the items asked for are moved.
     """
+    items = pairs.select(F.col("a").alias("item")).union(pairs.select(F.col("b").alias("item"))).distinct()
+    large = large.join(materialize(items, "asked-items"), "item", "left_semi")
     uses = large.groupBy("item").agg(F.count(F.lit(1)).alias("uses"))
     by_item = [uses.select(F.col("item").alias(c), F.col("uses").alias(f"uses_{c}")) for c in ("a", "b")]
     known = pairs.select("a", "b").join(by_item[0], "a").join(by_item[1], "b")
@@ -210,45 +241,64 @@ def top_pairs(
     is in the basket. Returns (a, b, pair_count).
     """
     lines = materialize(lines, "basket-lines")
+    # Written, so that a basket keeps its number.
     sizes = lines.groupBy("basket").agg(F.count(F.lit(1)).alias("size"))
+    sizes = materialize(sizes.withColumn("number", F.monotonically_increasing_id()), "basket-sizes")
     size = F.col("size").cast("decimal(19,0)")
     shape = sizes.agg(
         F.max("size").alias("largest"),
         F.sum("size").alias("lines"),
         (F.sum(size * (size - 1)) / 2).cast("double").alias("pairs"),
+        (F.sum(F.when(F.col("size") <= PART_ITEMS, size * (size + 1))) / 2).cast("double").alias("whole"),
     ).first()
     if not shape["lines"]:
         return _best(_count_all(lines)).limit(k)
-    any_large = shape["largest"] > small_basket
-    if not any_large and shape["pairs"] <= cheap_pairs_per_line * shape["lines"]:
+    if shape["largest"] <= small_basket and shape["pairs"] <= cheap_pairs_per_line * shape["lines"]:
         return _best(_count_all(lines)).limit(k)
 
-    large_ids = sizes.filter(F.col("size") > small_basket).select("basket")
-    large = lines.join(large_ids, "basket", "left_semi")
-    small = lines.join(large_ids, "basket", "left_anti")
-    norms = materialize(
-        _norms(lines, "norm")
-        .join(_norms(large, "norm_large"), "item", "left")
-        .withColumn("norm_large", F.coalesce("norm_large", F.lit(0.0))),
-        "item-norms",
-    )
-    floor = _find_floor(lines, sizes, norms, k)
+    by_number = sizes.select(F.col("number").alias("basket"), "size")
+    sized = lines.join(sizes, "basket").select(F.col("number").alias("basket"), "item", "n", "size")
+    sized = materialize(sized.filter(F.col("item").isNotNull()), "sized-lines")
+    named = _norms(sized, "norm", F.col("size") > small_basket)
+    named = materialize(global_row_number(named, [F.col("item")], "number"), "item-norms")
+    # From here on an item is its number, which sorts as the item does.
+    numbered = sized.join(named, "item").select("basket", F.col("number").alias("item"), "n", "size", "norm", "norm_large")
+    numbered = materialize(numbered, "numbered-lines")
+    norms = named.select(F.col("number").alias("item"), "norm", "norm_large")
+    floor = _find_floor(numbered.select("basket", "item", "n"), by_number, norms, k)
     if floor is None:  # fewer than k pairs among the seeds: there is nothing to rank against
         return _best(_count_all(lines)).limit(k)
-    counted = _count_reachable(small, norms, floor)
-    if not any_large:
-        return _best(counted.select("a", "b", F.col("small_count").alias("pair_count"))).limit(k)
 
+    best = _best(_count_open(numbered, norms, floor, shape, small_basket)).limit(k)
+    names = [named.select(F.col("number").alias(c), F.col("item").alias(f"item_{c}")) for c in ("a", "b")]
+    found = best.join(names[0], "a").join(names[1], "b")
+    return _best(found.select(F.col("item_a").alias("a"), F.col("item_b").alias("b"), "pair_count")).limit(k)
+
+
+def _count_open(lines: DataFrame, norms: DataFrame, floor: _Floor, shape: Row, small_basket: int) -> DataFrame:
+    """The counts of all pairs that the floor leaves open, over small and large baskets."""
+    size = F.col("size")
+    counted = _count_reachable(lines.filter(size <= small_basket), norms, floor)
+    if shape["largest"] <= small_basket:
+        return counted.select("a", "b", F.col("small_count").alias("pair_count"))
+
+    large = lines.filter(size > small_basket)
     total_bound = F.col("small_count") + F.col("large_bound")
     candidates = materialize(
         counted.filter(floor.reachable_pair(total_bound, F.col("a"), F.col("b"))), "pair-candidates"
     )
     by_large = floor.reachable_pair(F.col("large_bound"), F.col("a"), F.col("b"))
-    # Pairs open on large baskets alone are all in _count_large; the others are looked up.
-    listed = candidates.filter(by_large).join(_count_large(large, norms, floor), ["a", "b"], "full")
+    # Pairs open on large baskets alone are all listed there; the others are looked up.
+    tiles = math.ceil((shape["whole"] or 0) / PART_ITEMS**2)  # null: no basket is whole
+    listed = candidates.filter(by_large).select("a", "b", F.col("small_count").alias("pair_count"))
+    listed = listed.union(_list_whole(large.filter(size <= PART_ITEMS), norms, floor, tiles))
+    if shape["largest"] > PART_ITEMS:
+        huge = large.filter(size > PART_ITEMS).select("basket", "item", "n")
+        listed = listed.union(_count_large(huge, norms, floor))
+    counts = listed.groupBy("a", "b").agg(F.sum("pair_count").alias("pair_count"))
     asked = candidates.filter(~by_large)
+    if not asked.agg(F.count(F.lit(1))).first()[0]:
+        return counts
     looked_up = asked.join(_look_up_large(asked, large), ["a", "b"], "left")
-    zero = F.lit(0).cast("bigint")
-    total = F.coalesce("small_count", zero) + F.coalesce("large_count", zero)
-    counts = listed.select("a", "b", total.alias("pair_count")).union(looked_up.select("a", "b", total.alias("pair_count")))
-    return _best(counts).limit(k)
+    total = F.col("small_count") + F.coalesce("large_count", F.lit(0).cast("bigint"))
+    return counts.union(looked_up.select("a", "b", total.alias("pair_count")))

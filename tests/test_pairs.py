@@ -134,3 +134,29 @@ def test_looked_up_pairs_read_the_baskets_of_the_rarer_item(spark):
     assert rows(pairs._look_up_large(wanted, large)) == [("common", "rare", 3)]
     plan = pairs._look_up_large(wanted, large)._jdf.queryExecution().optimizedPlan().toString()
     assert "uses_a" in plan and "CASE WHEN" in plan
+
+
+def test_numbered_lines_are_joined_once_to_list_the_pairs(spark):
+    """Norms, sizes and parts were joined to the lines anew for every use, which made most of the time."""
+    lines = random_lines(30, 60, 40, 12, 3)
+    found = top_pairs(frame(spark, lines), 25, small_basket=3, cheap_pairs_per_line=0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 3  # of the lines with themselves, and the names of the two items of each best pair
+    assert rows(found) == brute_force(lines, 25)
+
+
+def test_pairs_over_whole_and_cut_baskets(spark, monkeypatch):
+    """A pair's count comes from small baskets, baskets of one part and baskets that are cut."""
+    monkeypatch.setattr(pairs, "PART_ITEMS", 8)
+    lines = [("hot", f"i{i:03}", 2) for i in range(40)]
+    lines += [(f"s{j}", code, 1) for j in range(4) for code in ("i007", "i031")]
+    lines += [(f"w{j}", f"i{i:03}", 1 + (i + j) % 2) for j in range(5) for i in range(5 + j, 35, 6)]
+    check(spark, lines, small_basket=3)
+    check(spark, lines, k=2, small_basket=4)
+
+
+def test_items_sort_as_themselves_and_unknown_ones_are_left_out(spark):
+    lines = [(f"b{j}", code, 1) for j in range(6) for code in ("9", "10", "a", "Z", "é", "")]
+    unknown = [("b0", None, 5), (None, "9", 5), (None, "a", 5), ("b1", None, 1)]
+    found = rows(top_pairs(frame(spark, lines + unknown), 12, small_basket=3, cheap_pairs_per_line=0))
+    assert found == brute_force(lines, 12)
